@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from receptory.llm.bpe import op7_bpe
+from receptory.llm.decontaminate import OP4_SQL, op4_decontaminate
+from receptory.llm.quality import op10_quality
 
-QUERIES = {"op7_bpe": op7_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+ORACLE_SQL = {"op4_decontaminate": OP4_SQL}
