@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from receptory.llm.bpe import op7_bpe
 from receptory.llm.decontaminate import OP4_SQL, op4_decontaminate
+from receptory.llm.order_minhash import op2_order_minhash
 from receptory.llm.quality import op10_quality
+from receptory.llm.warc import OP1_SQL, op1_warc
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
-ORACLE_SQL = {"op4_decontaminate": OP4_SQL}
+QUERIES = {"op1_warc": op1_warc, "op2_order_minhash": op2_order_minhash, "op4_decontaminate": op4_decontaminate, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_decontaminate": OP4_SQL}
