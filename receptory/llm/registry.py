@@ -7,7 +7,8 @@ from receptory.llm.decontaminate import OP4_SQL, op4_decontaminate
 from receptory.llm.ngram_jaccard import OP8_SQL, op8_ngram_jaccard
 from receptory.llm.order_minhash import op2_order_minhash
 from receptory.llm.quality import op10_quality
+from receptory.llm.toxicity import op5_toxicity
 from receptory.llm.warc import OP1_SQL, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op2_order_minhash": op2_order_minhash, "op4_decontaminate": op4_decontaminate, "op7_bpe": op7_bpe, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_quality": op10_quality}
+QUERIES = {"op1_warc": op1_warc, "op2_order_minhash": op2_order_minhash, "op4_decontaminate": op4_decontaminate, "op5_toxicity": op5_toxicity, "op7_bpe": op7_bpe, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_quality": op10_quality}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_ngram_jaccard": OP8_SQL}
