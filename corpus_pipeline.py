@@ -1,19 +1,70 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicate join, decontamination, encoding."""
+"""The corpus pipeline over the documents table.
+
+Toxic documents go; repeated chunks of lines are cut; of each group of near
+copies the document with the smallest doc_id stays; documents with benchmark
+passages go; the rest is encoded.  Each stage works on all rows its
+predecessor kept and, but for the last, returns the columns of documents.
+
+Rows with a null doc_id are never taken for copies of others; null texts pass
+the filters as texts without words.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from receptory.llm.bpe import encode_documents
+from receptory.llm.common import stored, table
+from receptory.llm.decontaminate import decontaminate
+from receptory.llm.line_dedup import dedup_lines
+from receptory.llm.ngram_jaccard import near_duplicates
+from receptory.llm.toxicity import fit_toxicity, without_toxic
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Near copies share four fifths of their shingles of five words.
+SHINGLE, LINK = 5, (80, 100)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only ids that go are joined, so rows of a group's smallest id stay, as do rows without an id."""
+    found = near_duplicates(docs, LINK, SHINGLE)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", cut_repeated_lines),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode),
+]
+#: The network of the first stage is learnt, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what each keeps is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
