@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the cluster sets it; a temporary folder only where it is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="receptory-"))
+from receptory.operators.keep import kept
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,10 +14,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round hooks every node to the least root among its neighbours' and
     halves the paths to the roots; rounds are logarithmic in path length.
     """
-    ensure_checkpoint_dir(links.sparkSession)
     pairs = links.where("a <> b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
+    both = kept(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         hooked = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "m").alias("m"))
@@ -31,7 +24,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         roots = hooked.groupBy(F.col("component").alias("root")).agg(F.min("m").alias("to"))
         moved = hooked.join(roots, F.col("component") == F.col("root")).select("node", F.col("component").alias("old"), F.least("m", "to").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        new = moved.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")).checkpoint()
+        new = kept(moved.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")))
         changed = new.where("component <> old").limit(1).count()
         labels = new.select("node", "component")
         if not changed:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from receptory.functions import scalars, stats
+from receptory.operators.keep import kept
 from receptory.plans.params import GroupParams
 
 
@@ -82,8 +83,8 @@ def position_chains(hits: DataFrame, distance: int) -> DataFrame:
 
 def local_groups(sequences: DataFrame, params: GroupParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups, their members and the selected motifs."""
-    motifs = selected_motifs(motif_statistics(sequences, params), params)
-    hits = motif_hits(sequences, motifs, params)
+    motifs = kept(selected_motifs(motif_statistics(sequences, params), params))
+    hits = kept(motif_hits(sequences, motifs, params))
     longest = totals(sequences).select((F.col("longest") - 2 * params.boundary).alias("most"), F.lit(1).alias("_j"))
     chains = position_chains(hits, params.motif_distance).join(F.broadcast(longest), F.lit(1) == F.col("_j"))
     alone = (F.col("chains") == 1) | F.lit(params.motif_distance < 1)
@@ -91,7 +92,7 @@ def local_groups(sequences: DataFrame, params: GroupParams) -> tuple[DataFrame,
         chains = chains.groupBy("motif").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most")).withColumn("chains", F.lit(1))
     tag = F.concat_ws("_", F.translate("motif", "%", "."), (F.when(alone, 1).otherwise(F.col("low")) + params.boundary).cast("string"), (F.when(alone, F.col("most")).otherwise(F.col("high")) + params.boundary).cast("string"))
     chains = chains.select("motif", "low", "high", tag.alias("tag"))
-    members = hits.join(chains, "motif").where("start between low and high").select("tag", "motif", "cdr3").distinct()
+    members = kept(hits.join(chains, "motif").where("start between low and high").select("tag", "motif", "cdr3").distinct())
     counted = members.groupBy("tag", "motif").agg(F.count("*").alias("cluster_size"))
     groups = counted.join(motifs.select("motif", "num_in_ref", "num_fold", "n_sample", "n_reference"), "motif")
     groups = stats.with_upper_tail(groups, "p", "cluster_size", "num_in_ref + cluster_size", "n_reference + n_sample - num_in_ref - cluster_size", "n_sample")
@@ -116,8 +117,8 @@ def global_groups(sequences: DataFrame, params: GroupParams, v_genes: DataFrame
     v_genes: (cdr3, v_gene) of the input rows, for global_vgene.
     """
     masked = masks(sequences, params.boundary)
-    kept = mask_groups(masked)
-    nodes = masked.where("in_sample = 1").select("mask", "cdr3", "residue").join(kept, "mask").withColumn("bit", scalars.residue_bit("residue"))
+    shared = mask_groups(masked)
+    nodes = masked.where("in_sample = 1").select("mask", "cdr3", "residue").join(shared, "mask").withColumn("bit", scalars.residue_bit("residue"))
     if params.all_aa_interchangeable:
         nodes = nodes.withColumn("part", F.lit(0))
     else:
@@ -127,6 +128,7 @@ def global_groups(sequences: DataFrame, params: GroupParams, v_genes: DataFrame
         nodes = nodes.join(v_genes.select("cdr3", F.coalesce("v_gene", F.lit("NA")).alias("v")).distinct(), "cdr3")
     else:
         nodes = nodes.withColumn("v", F.lit(""))
+    nodes = kept(nodes)
     groups = nodes.groupBy("mask", "v", "part").agg(F.count("*").alias("cluster_size"), F.countDistinct("cdr3").alias("unique_cdr3_sample"), F.max("n_r").alias("unique_cdr3_ref"), F.expr("bit_or(bit)").alias("found")).where("cluster_size >= 2")
     tag = F.concat_ws("_", "mask", F.when(F.col("v") != "", F.col("v")), scalars.residues_of("found"))
     groups = groups.withColumn("tag", tag)

@@ -84,7 +84,7 @@ CTES |= {
     "htests": f"select *, {tail('w', 'bg', '(n - bg)', 'k')} as p from (select tag, allele, count(*) as w from carriers join typed using (subject) group by tag, allele) join hsize using (tag) join hbg using (allele), hn",
     "hbest": "select tag, max(k) as hla_donors, least(1, min(p) * count(*)) as p from htests group by tag",
     "hq": bh("hbest", "p"),
-    "ids": "select cdr3, row_number() over (order by min(row_idx)) - 1 as seq_id from rows group by cdr3",
+    "ids": "select cdr3, row_number() over (order by min(row_idx), cdr3) - 1 as seq_id from rows group by cdr3",
     "idmasks": "select seq_id, p as position, substr(cdr3, 1, p) || '%' || substr(cdr3, p + 2) as mask from (select *, unnest(range(0, length(cdr3))) as p from ids)",
     "idmasks3": "select i.seq_id, position, mask from idmasks i join ids using (seq_id) where position >= 3 and position < length(cdr3) - 3",
     "edges": "select a.seq_id as a, b.seq_id as b, a.position from idmasks a join idmasks b on a.mask = b.mask and a.seq_id < b.seq_id",

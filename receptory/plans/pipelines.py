@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from receptory.functions import stats
 from receptory.operators import annotate, groups, merged
+from receptory.operators.keep import kept
 from receptory.plans.params import ClusterParams, GroupParams
 
 
@@ -48,7 +49,7 @@ class Convergence:
 def convergence_groups(rows: DataFrame, reference: DataFrame, params: GroupParams | None = None, hla: DataFrame | None = None) -> Convergence:
     """rows: (cdr3, v_gene, subject, row_idx only for permuted labels); reference: (cdr3); hla: (subject, allele)."""
     params = params or GroupParams()
-    sequences = groups.working_sequences(rows, reference, params)
+    sequences = kept(groups.working_sequences(rows, reference, params))
     parts, motifs = [], None
     if params.local:
         found, members, motifs = groups.local_groups(sequences, params)
@@ -64,7 +65,7 @@ def convergence_groups(rows: DataFrame, reference: DataFrame, params: GroupParam
     members = members.join(found.select("type", "tag"), ["type", "tag"], "left_semi")
     found = found.withColumn("_p", F.when(F.isnan("fisher_score"), 1.0).otherwise(F.col("fisher_score")))
     found = stats.benjamini_hochberg(found, "_p", "fdr_q", ["type"]).drop("_p")
-    donors = annotate.group_donors(members, rows)
+    donors = kept(annotate.group_donors(members, rows))
     found = annotate.donor_counts(found, donors)
     a = params.association
     if a:
