@@ -63,6 +63,18 @@ class Tokens:
         code = left.astype(U64) << U64(16) | low[at].astype(U64) << U64(8) | right.astype(U64)
         return cls(distinct, (mix(code) >> U64(52)).astype(np.int64), row_starts(size), token.ravel(), counts)
 
+    @classmethod
+    def of_parts(cls, texts: list[str], rows: int = 4000) -> Tokens:
+        """The same of many texts, read some rows at a time, so memory is bounded by the parts."""
+        parts = [cls.of(pa.array(texts[at : at + rows], pa.string())) for at in range(0, len(texts), rows)]
+        hashes, first, place = np.unique(np.concatenate([x.hashes for x in parts]), return_index=True, return_inverse=True)
+        size = np.concatenate([np.diff(x.trigram_starts) for x in parts])
+        base = row_starts(size)[first]
+        grams = np.concatenate([x.trigrams for x in parts])[np.repeat(base, size[first]) + spread(size[first])]
+        shift = row_starts(np.array([len(x.hashes) for x in parts]))
+        token = np.concatenate([place[x.token + at] for x, at in zip(parts, shift[:-1], strict=True)])
+        return cls(hashes, grams, row_starts(size[first]), token, np.concatenate([x.counts for x in parts]))
+
     def windows(self, width: int = WIDTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all overlapping windows: row, first token, length."""
         number = np.where(self.counts > 0, 1 + np.maximum(0, -(-(self.counts - width) // stride)), 0)
@@ -251,7 +263,7 @@ def fit(documents: list[list[str]], labels: np.ndarray, epochs: int = 14, batch:
         return BiGru({}, np.zeros(0, U64), constant=float((labels.sum() + 1) / (n + 2)) if n else 0.5)
     owner = np.repeat(np.arange(len(documents)), [len(x) for x in documents])
     texts = [x for own in documents for x in own]
-    t = Tokens.of(pa.array(texts, pa.string()))
+    t = Tokens.of_parts(texts)
     starts = row_starts(t.counts)
     seen = np.bincount(np.unique(np.repeat(owner, t.counts).astype(np.int64) << 32 | t.token) & 0xFFFFFFFF, minlength=len(t.hashes))
     common = np.argsort(-seen, kind="stable")[:WORDS]
