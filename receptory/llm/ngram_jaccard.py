@@ -9,12 +9,12 @@ more blocks are equal than are spare (pigeonhole).  Sets are joined on equal
 blocks and verified by their exact intersection.
 
 Copies share one set and are one class from the start, so they meet no join.
-Inside a block's members no pairs are enumerated: the least member is verified
-against the others, linked ones fall together as one component, and only keys
-whose members are still apart go on with the next member, until none is left
-or, after ROUNDS, the few pairs that are left apart are verified directly.
-Links that cannot change a component are thereby never made, and none between
-different components is missed.
+Of a block's members no pairs are made: the least member is verified against
+the others.  Where members are then still in different components, the sets
+that share such blocks, directly or through others, are one family; its sets
+are compared part by part within tasks, which return only links that join two
+components.  Links that cannot change a component are thereby never returned,
+and none between different components is missed.
 
 Edge cases: null and empty texts and texts without words have an empty set,
 link with nothing, and are their own component; a text of one or two words has
@@ -34,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, mix, prefix_hashes, row_starts, slices, span_hashes, spread, stored, table, text_bytes, text_column, word_spans
+from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, mix, prefix_hashes, row_starts, slices, small_batches, span_hashes, spread, stored, table, text_bytes, text_column, word_spans
 from receptory.llm.components import components
 
 #: Words of a shingle; a pair links when LINK[1] * intersection >= LINK[0] * union.
 SHINGLE, LINK = 3, (90, 100)
-#: Rounds of least members before the pairs still apart are verified directly.
-ROUNDS = 3
+#: Bytes of a part of a family that is compared at once; bits of the sketches used there.
+TILE_BYTES, TILE_BITS = 8 << 20, 2048
 #: Bits of the bitmaps that spare rows a shuffle; they never decide a result.
 FILTER_BITS = 25
 #: Members that one copy of a leader's set is compared with.
 LEADER_SHARE = 2000
+#: Text bytes that are made shingles at once.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -139,18 +141,16 @@ def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(raw)])
 
 
-def sketches(docs: DataFrame, link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys) of every row; keys are the sketch's join keys, eight bytes each."""
-    bands = Bands.of(link)
+def sized(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, set_id) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             rows, value = shingle_sets(batch.column(1), shingle)
             sizes, ids = set_hashes(rows, value, batch.num_rows)
-            own, keys = block_keys(rows, value, sizes, bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids), _binaries(keys, np.searchsorted(own, np.arange(batch.num_rows + 1)))], ["doc_id", "n_shingles", "set_id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids)], ["doc_id", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -158,25 +158,22 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1
 
 
-def exploded(sketched: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+def sketched(docs: DataFrame, link: tuple[int, int], shingle: int, bits: np.ndarray | None = None) -> DataFrame:
     """(key, set_id) of all sketch blocks, or of those whose key may be in the bitmap."""
-    sent = None if bits is None else sketched.sparkSession.sparkContext.broadcast(bits)
+    bands = Bands.of(link)
+    sent = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column(1)
-                cuts = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
-                raw = lists.buffers()[2]
-                keys = np.frombuffer(raw, np.uint8)[cuts[0] : cuts[-1]].view("<i8") if raw is not None and cuts[-1] > cuts[0] else np.zeros(0, np.int64)
-                ids = np.repeat(part.column(0).to_numpy(), np.diff(cuts) // 8)
-                if sent is not None:
-                    keep = in_bitmap(sent.value, mix(keys.view(U64)))
-                    keys, ids = keys[keep], ids[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "set_id"])
+        for batch in slices(batches, limit=SLICE):
+            rows, value = shingle_sets(batch.column(0), shingle)
+            sizes, ids = set_hashes(rows, value, batch.num_rows)
+            own, keys = block_keys(rows, value, sizes, bands)
+            if sent is not None:
+                keep = in_bitmap(sent.value, mix(keys))
+                own, keys = own[keep], keys[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[own])], ["key", "set_id"])
 
-    return sketched.select("set_id", "keys").mapInArrow(run, "key long, set_id long")
+    return docs.select(text_column()).mapInArrow(run, "key long, set_id long")
 
 
 def key_bitmap(keys: DataFrame) -> np.ndarray:
@@ -198,16 +195,16 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, sketched: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, known: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(set_id, hashes) of each wanted set_id, from one document that has it; other documents are not even split into words."""
-    holders = sketched.select("set_id", "doc_id").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    holders = known.select("set_id", "doc_id").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     holders = stored(holders, "holders")
     bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(holders.select(F.coalesce("doc_id", F.lit(0)).alias("key"))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
-            for part in slices([batch.filter(pa.array(in_bitmap(bits.value, mix(ids.view(U64)))))]):
+            for part in slices([batch.filter(pa.array(in_bitmap(bits.value, mix(ids.view(U64)))))], limit=SLICE):
                 rows, value = shingle_sets(part.column(1), shingle)
                 sizes, own = set_hashes(rows, value, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), _binaries(value, row_starts(sizes))], ["doc_id", "set_id", "hashes"])
@@ -249,42 +246,83 @@ def verified(pairs: DataFrame, sets: DataFrame, link: tuple[int, int] = LINK) ->
                             out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
+    small_batches(pairs.sparkSession)
     dealt = leaders.unionByName(members).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def set_links(docs: DataFrame, sketched: DataFrame, link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
+def set_links(docs: DataFrame, known: DataFrame, link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
     """(node, component) over set ids that are linked with another set."""
-    spark = docs.sparkSession
-    shared = stored(exploded(sketched).groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key"), "keys")
-    active = exploded(sketched, key_bitmap(shared)).distinct().join(shared, "key", "left_semi")
+    shared = stored(sketched(docs, link, shingle).groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key"), "keys")
+    active = sketched(docs, link, shingle, key_bitmap(shared)).distinct().join(shared, "key", "left_semi")
     active = stored(active, "members")
-    sets = stored(sets_of(docs, active.select("set_id").distinct(), sketched, shingle), "sets")
-    labels = spark.createDataFrame([], "node long, component long")
-    links = None
-    for turn in range(ROUNDS + 1):
-        labelled = active.join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("component", "set_id").alias("label"))
-        apart = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct("set_id", "label")).alias("leader")).where("l <> h")
-        here = stored(labelled.join(apart.select("key", "leader"), "key"), "apart")
-        if turn < ROUNDS:
-            pairs = here.where("set_id <> leader.set_id and label <> leader.label").select(F.col("leader.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
-            active = here.where("set_id <> leader.set_id").select("key", "set_id")
-        else:
-            x, y = here.alias("x"), here.alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.set_id < y.set_id and x.label <> y.label").select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-        found = stored(verified(pairs, sets, link), "links")
-        links = found if links is None else links.unionByName(found)
-        if here.limit(1).count() == 0:
-            break
-        labels = stored(components(links), "labels")
-    return labels
+    sets = stored(sets_of(docs, active.select("set_id").distinct(), known, shingle), "sets")
+    leader = active.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("other"), F.count("*").alias("n"))
+    starred = stored(active.join(leader.where("leader <> other"), "key"), "stars")
+    links = stored(verified(starred.where("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct(), sets, link), "links")
+    labels = stored(components(links), "labels")
+    labelled = starred.where("n > 2").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", "leader", F.coalesce("component", "set_id").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    rest = stored(labelled.join(apart, "key", "left_semi").select("set_id", "leader", "label").distinct(), "apart")
+    if not rest.limit(1).count():
+        return labels
+    family = components(rest.select(F.col("set_id").alias("a"), F.col("leader").alias("b")))
+    members = rest.select("set_id", "label").distinct().join(family, F.col("set_id") == F.col("node")).select(F.col("component").alias("family"), "set_id", "label")
+    more = stored(tiled_links(members, sets, link), "more")
+    return stored(components(links.unionByName(more)), "labels")
+
+
+def tiled_links(members: DataFrame, sets: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """Links (a, b) that join the labels within each family, whose sets share blocks directly or through others.
+
+    A family is cut into parts of TILE_BYTES, and each pair of parts is one
+    task's work.  There pairs with one label, with sizes too far apart, or
+    whose sketches of TILE_BITS bits differ in more bits than the sets may
+    differ in tokens, are passed over; the others are verified, and a link
+    makes their labels one.  So a task returns fewer links than it has sets.
+    """
+    rows = members.join(sets, "set_id")
+    parts = rows.groupBy("family").agg(F.ceil(F.sum(F.length("hashes") + 512) / TILE_BYTES).cast("int").alias("parts"))
+    rows = rows.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    tiles = rows.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)"))).select("family", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"), "part", "set_id", "label", "hashes")
+
+    def run(tile: pa.Table) -> pa.Table:
+        x, y = tile.column("x")[0].as_py(), tile.column("y")[0].as_py()
+        part, ids = tile.column("part").to_numpy(), tile.column("set_id").to_numpy()
+        value = [np.frombuffer(v.as_buffer(), "<u8") for v in tile.column("hashes").combine_chunks()]
+        _, label = np.unique(tile.column("label").to_numpy(), return_inverse=True)
+        size = np.array([len(v) for v in value])
+        bits = np.stack([np.packbits((np.bincount((v >> U64(53)).astype(np.int64), minlength=TILE_BITS) & 1).astype(np.uint8)).view(U64) for v in value])
+        order = np.argsort(size, kind="stable")
+        part, ids, label, size, bits = part[order], ids[order], label[order], size[order], bits[order]
+        value = [value[i] for i in order]
+        top = np.searchsorted(size, size * link[1] // link[0], "right")
+        out = []
+        for i in range(len(ids)):
+            near = np.arange(i + 1, top[i])
+            near = near[(label[near] != label[i]) & ((part[near] != part[i]) if x != y else True)]
+            if not len(near):
+                continue
+            differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1)
+            near = near[differ <= (link[1] - link[0]) * (size[near] + size[i]) // (link[1] + link[0])]
+            for j in near:
+                if label[i] == label[j]:
+                    continue
+                shared = len(np.intersect1d(value[i], value[j], assume_unique=True))
+                if link[1] * shared >= link[0] * (size[i] + size[j] - shared):
+                    out.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["a", "b"])
+
+    return tiles.groupBy("family", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    sketched = stored(sketches(docs, link, shingle), "sketches")
-    labels = set_links(docs, sketched, link, shingle)
-    rows = sketched.select("doc_id", "n_shingles", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
+    small_batches(docs.sparkSession)
+    known = stored(sized(docs, shingle), "sizes")
+    labels = set_links(docs, known, link, shingle)
+    rows = known.select("doc_id", "n_shingles", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
     least = rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("label").alias("group"), "least")
     joined = rows.join(least, (F.col("label") == F.col("group")) & (F.col("n_shingles") > 0), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
