@@ -47,7 +47,7 @@ K = 5
 #: Fold of crc32(doc_id) modulo FOLDS that is held out.
 FOLDS, HELD = 7, 2
 #: Text bytes of a block; tokens of a bigram bucket; (block, word) pairs of a unigram range.
-BLOCK_BYTES, BUCKET_TOKENS, RANGE_PAIRS = 8 << 20, 3_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_TOKENS, RANGE_PAIRS = 8 << 20, 1_000_000, 1_000_000
 END, BEGIN = U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47)
 ROWS = "kind string, bucket int, block string, data binary"
 _PAIR = U64(0xC2B2AE3D27D4EB4F)
