@@ -1,30 +1,37 @@
-"""Bounded bitmaps as literals, for filters made of built-in functions only.
+"""Bitmaps of bounded size, kept as small tables and joined by broadcast, for filters made of built-in functions only.
 
 A bitmap of 2**BITS bits says of a value "surely not in the set" or "perhaps".
 It only spares rows a shuffle; an exact join always follows.  However many
-values there are, its size is 2**BITS / 8 bytes.
+values there are, it has at most 2**BITS / 64 rows of two numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from receptory.llm.common import stored
+
 BITS = 22
 
 
-def bitmap_literal(values: DataFrame, column: str) -> bytes:
-    """The bitmap of a column of long values; at most 2**BITS / 8 bytes come to the driver, as one row a byte that has bits."""
-    h = f"shiftrightunsigned(xxhash64({column}), {64 - BITS})"
-    bits = values.selectExpr(f"cast(shiftright({h}, 3) as int) as at", f"shiftleft(1, cast({h} & 7 as int)) as bit")
-    out = bytearray(1 << (BITS - 3))
-    for at, byte in zip(*(x.to_pylist() for x in bits.groupBy("at").agg(F.bit_or("bit").alias("byte")).toArrow().columns), strict=True):
-        out[at] = byte
-    return bytes(out)
+def _place(column: str) -> str:
+    return f"shiftrightunsigned(xxhash64({column}), {64 - BITS})"
+
+
+def bitmap(values: DataFrame, column: str) -> DataFrame:
+    """(word, bits) of a column of long values."""
+    bits = values.selectExpr(f"cast(shiftright({_place(column)}, 6) as int) as word", f"shiftleft(1L, cast({_place(column)} & 63 as int)) as bit")
+    return stored(bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), "bitmap")
+
+
+def marked(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """rows with a column perhaps: whether the bitmap has the value's bit."""
+    held = F.broadcast(bits.withColumnRenamed("word", "_word").withColumnRenamed("bits", "_bits"))
+    found = rows.join(held, F.expr(f"cast(shiftright({_place(column)}, 6) as int)") == F.col("_word"), "left")
+    return found.withColumn("perhaps", F.expr(f"coalesce(getbit(_bits, cast({_place(column)} & 63 as int)) = 1, false)")).drop("_word", "_bits")
 
 
-def perhaps_in(bitmap: bytes, column: str) -> Column:
-    """Whether the bitmap has the value's bit."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - BITS)
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), F.shiftright(h, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, h.bitwiseAND(F.lit(7)).cast("int")) == 1
+def within(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """The rows whose value may be in the set."""
+    return marked(rows, column, bits).where("perhaps").drop("perhaps")

@@ -3,7 +3,8 @@
 A text is cut into lines: at line breaks, and longer lines after sentence ends
 or, without those, after LINE_CHARS characters.  A rolling hash over the last
 two line hashes chooses chunk boundaries, one in SPREAD; borders of text lines
-of several sentences are boundaries as well.  All depend on nearby content
+of several sentences are boundaries as well, and none is chosen that would leave
+one line of such a text line alone.  All depend on nearby content
 only, so what is inserted before a passage does not shift its chunks.  A chunk
 of two lines or more, and of MIN_CHARS characters or more, that has an equal
 before it, in this or any document, is removed; the first by doc_id and place
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receptory.llm.bits import bitmap_literal, perhaps_in
+from receptory.llm.bits import bitmap, marked, within
 from receptory.llm.common import stored, table
 
 LINE_CHARS, SPREAD, MIN_LINES, MIN_CHARS = 160, 4, 2, 60
@@ -46,7 +47,9 @@ def chunked(rows: DataFrame) -> DataFrame:
     out = put(out, "h", hashes)
     forced = F.expr("transform(h, (x, i) -> i = 0 or (get(h, i - 1).e and not x.e and i < size(h) - 1) or (i >= 2 and get(h, i - 1).e and not get(h, i - 2).e))")
     out = put(out, "forced", forced)
-    starts = F.expr(f"filter(transform(forced, (f, i) -> if(f or (case when get(forced, i - 1) then get(h, i - 1).h else get(h, i - 2).h * 31 + get(h, i - 1).h end) % {SPREAD} = 0, i, -1)), s -> s >= 0)")
+    hit = lambda i: f"((get(h, {i} - 2).h * 31 + get(h, {i} - 1).h) % {SPREAD} = 0)"
+    free = f"not get(forced, i - 1) and {hit('i')} and (get(forced, i - 2) or not {hit('(i - 1)')}) and not coalesce(get(forced, i + 1), true)"
+    starts = F.expr(f"filter(transform(forced, (f, i) -> if(f or (i >= 2 and {free}), i, -1)), s -> s >= 0)")
     out = put(out, "starts", starts)
     chunks = F.expr("transform(starts, (s, j) -> named_struct('k', j, 'lines', coalesce(get(starts, j + 1), size(h)) - s, 'body', array_join(slice(lines, s + 1, coalesce(get(starts, j + 1), size(h)) - s), '')))")
     out = put(out, "chunks", chunks)
@@ -70,9 +73,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     light = stored(candidates(rows).select("key", "doc_id", "k"), "chunks")
     again = light.groupBy("key").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.max(F.struct("doc_id", "k")).alias("last")).where("first <> last").select("key", "first")
     again = stored(again, "again")
-    keys = bitmap_literal(again, "key")
-    holders = bitmap_literal(light.where(perhaps_in(keys, "key")).select("doc_id"), "doc_id")
-    bodies = candidates(rows.where(perhaps_in(holders, "doc_id"))).where(perhaps_in(keys, "key")).dropDuplicates(["key", "doc_id", "k", "body"])
+    keys = bitmap(again, "key")
+    holders = bitmap(within(light, "key", keys), "doc_id")
+    bodies = within(candidates(within(rows, "doc_id", holders)), "key", keys).dropDuplicates(["key", "doc_id", "k", "body"])
     found = stored(bodies.join(again, "key"), "bodies")
     own = F.struct("doc_id", "k") == F.col("first")
     first = found.where(own).select("key", F.col("body").alias("first_body"))
@@ -82,13 +85,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks cut from text and n_chars (if there) set anew; adds removed_chunks and removed_chars."""
     gone = stored(repeated_chunks(docs), "removed")
-    touched = bitmap_literal(gone, "doc_id")
+    touched = bitmap(gone, "doc_id")
     lists = gone.groupBy("doc_id").agg(F.collect_set("k").alias("removed")).select(F.col("doc_id").alias("removed_of"), "removed")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    perhaps = perhaps_in(touched, "doc_id")
-    same = rows.where(~perhaps).select("row", F.col("text"), F.lit(0).alias("removed_chunks"))
-    cut = chunked(rows.where(perhaps).join(lists, F.col("doc_id") == F.col("removed_of"), "left"))
+    rows = marked(rows, "doc_id", touched)
+    same = rows.where("not perhaps").select("row", F.col("text"), F.lit(0).alias("removed_chunks"))
+    cut = chunked(rows.where("perhaps").join(lists, F.col("doc_id") == F.col("removed_of"), "left"))
     kept = F.expr("array_join(transform(filter(chunks, c -> not array_contains(removed, c.k)), c -> c.body), '')")
     cut = cut.select("row", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.expr("size(filter(removed, x -> true))"), F.lit(0)).alias("removed_chunks"))
     both = same.unionByName(cut)
@@ -108,7 +111,8 @@ u as (select rid, id, i, lines[i] as line, len(lines) as n from (select rid, id,
 a as (select *, cast('0x' || substr(md5(rtrim(line, e' \n')), 1, 8) as bigint) as h, ends_with(line, e'\n') as e from u),
 b as (select *, lag(h) over w as h1, lag(h, 2) over w as h2, coalesce(lag(e) over w, false) as e1, lag(e, 2) over w as e2 from a window w as (partition by rid order by i)),
 f as (select *, i = 1 or (e1 and not e and i < n) or (e1 and not coalesce(e2, true)) as forced from b),
-g as (select *, forced or (case when lag(forced) over w then h1 else h2 * 31 + h1 end) % {SPREAD} = 0 as start from f window w as (partition by rid order by i)),
+v as (select *, coalesce((h2 * 31 + h1) % {SPREAD} = 0, false) as hit, coalesce(lag(forced) over w, true) as f1, coalesce(lag(forced, 2) over w, false) as f2, coalesce(lead(forced) over w, true) as f9 from f window w as (partition by rid order by i)),
+g as (select *, forced or (i > 2 and not f1 and hit and (f2 or not coalesce(lag(hit) over w, false)) and not f9) as start from v window w as (partition by rid order by i)),
 k as (select *, sum(cast(start as int)) over (partition by rid order by i) - 1 as k from g),
 c as (select rid, id, k, count(*) as lines, string_agg(line, '' order by i) as body from k group by rid, id, k),
 d as (select *, rtrim(body, e' \n') as bare, lines >= {MIN_LINES} and length(body) >= {MIN_CHARS} as able from c),
