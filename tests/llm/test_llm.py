@@ -1,0 +1,263 @@
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from receptory.llm import bpe, decontaminate, katz, line_dedup, ngram_jaccard, order_minhash, pii, quality, toxicity, warc
+
+SCHEMA = "doc_id long, text string, n_chars long"
+
+
+def docs(spark, texts, first=0):
+    return spark.createDataFrame([(None if t is None and i % 2 else i + first, t, None if t is None else len(t)) for i, t in enumerate(texts)], SCHEMA)
+
+
+def words(r, n, vocabulary=400):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    warc.register(spark)
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b\r\nX: y", "x"), (3, None, None), (None, "u", "é" * 9000), (4, "http://a", ""), (5, "http://a", "x")], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.page_records(pages).repartition(2).write.format("warc").mode("append").save(path)
+    back = spark.read.format("warc").load(path)
+    got = {x.record_id: x for x in back.collect()}
+    assert got["urn:page:5"].record_type == "response" and got["urn:page:1"].refers_to == "urn:page:5" and got["urn:page:1"].payload_length == 1
+    assert got["urn:page:4"].record_type == "response" and got["urn:page:3"].refers_to == "urn:page:4"
+    assert bytes(got["urn:page:"].payload).decode() == "é" * 9000
+    assert got["urn:page:5"].payload_digest == base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+    some = spark.read.format("warc").schema("record_id string, target_uri string").load(path)
+    assert some.count() == 6
+    assert {x.record_id for x in back.where("record_type = 'revisit'").collect()} == {"urn:page:1", "urn:page:2", "urn:page:3"}
+    reader = warc.WarcReader(back.schema, {"path": path, "partition_bytes": "64"})
+    assert len(reader.partitions()) > 2 and sum(len(list(reader.records(p))) for p in reader.partitions()) == 6
+
+
+def test_foreign_warc(tmp_path):
+    rows = [{"record_type": "response", "record_id": f"urn:{i}", "target_uri": "u", "warc_date": "d", "refers_to": None, "payload_digest": "A", "payload_length": 5000 * i, "payload": b"p" * 5000 * i} for i in range(4)]
+    (tmp_path / "a.warc").write_bytes(b"".join(map(warc.record, rows)))
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    reader = warc.WarcReader(StructType().add("record_id", StringType()).add("payload_length", LongType()), {"path": str(tmp_path)})
+    assert [x for p in reader.partitions() for x in reader.records(p)] == [(f"urn:{i}", 5000 * i) for i in range(4)]
+
+
+def test_order_minhash(spark):
+    r = random.Random(1)
+    texts = [words(r, n) for n in (300, 3, 1, 200)] + ["", None, "x" * 5000]
+    rows = order_minhash.fingerprints(docs(spark, texts), runs=3).collect()
+    assert len(rows) == len(texts)
+    known = sorted(((None if t is None and i % 2 else i, t or "") for i, t in enumerate(texts)), key=lambda x: -1 if x[0] is None else x[0], reverse=True)
+    for (i, t), (_, nxt) in zip(known, known[1:] + known[:1]):
+        row = next(x for x in rows if x.doc_id == i)
+        half = len(t) // 2
+        assert row.edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest() and row.n_chars == len(t)
+    a = order_minhash.signature(order_minhash.symbols(texts[0].encode()))
+    swapped = " ".join(texts[0].split()[150:] + texts[0].split()[:150])
+    b = order_minhash.signature(order_minhash.symbols(swapped.encode()))
+    assert order_minhash.likeness(a, a) == 1 and order_minhash.likeness(a, b) < 0.8
+    assert order_minhash.fingerprints(docs(spark, [])).count() == 0
+
+
+def test_pii(spark):
+    texts = ["Mail bob.96@mail8.example.com, BOB.96@MAIL8.EXAMPLE.COM", "Mr. John Smith; Mr. Smith and Mrs. Smith", "4111 1111 1111 1111 +1 (774) 555-1544 774-555-1544", None, "", "nothing 4.0", "bob.96@mail8.example.com"]
+    got = [x.text for x in pii.replace_pii(docs(spark, texts), "k").orderBy("n_chars").collect()]
+    assert None in got and "" in got and "nothing 4.0" in got
+    mail = next(x for x in got if x and x.startswith("Mail")).removeprefix("Mail ").split(", ")
+    assert mail[0].upper() == mail[1] and mail[0] in got and "bob" not in mail[0]
+    name = next(x for x in got if x and x.startswith("Mr."))
+    assert name.count(name.split("; ")[0].split()[-1]) == 3 and "Smith" not in name
+    card = next(x for x in got if x and "+1 (" in x)
+    digits = [int(x) for x in card[:19] if x != " "]
+    assert sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits)) % 10 == 0
+    assert card[20:].replace("+1 (", "").replace(") ", "-").split(" ")[0] == card.split(" ")[-1]
+
+
+def test_surrogates_are_distinct(spark):
+    tokens = spark.createDataFrame([("given:n:cyrillic", f"t{i}") for i in range(60)] + [("local", c) for c in "abcdefghij"], "type string, token string")
+    got = pii.surrogates(tokens, "k").collect()
+    assert len(got) == 70 and len({(x.type, x.surrogate.lower()) for x in got}) == 70 and not {x.surrogate for x in got} & set("abcdefghij")
+
+
+def test_decontamination_by_brute_force(spark):
+    import re
+
+    r = random.Random(2)
+    items = [words(r, n, 30) for n in (25, 10, 4, 0, 12)] + [None]
+    texts = [words(r, 60, 30) + " " + items[i % 3] + "!" + words(r, 5, 30) for i in range(12)] + ["", None, items[0], "A é Z"]
+    bench = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    want = []
+    for t in texts:
+        w, hit, names = split(t), set(), set()
+        for i, x in enumerate(map(split, items)):
+            n = min(10, len(x))
+            for a in range(len(x) - n + 1) if n else ():
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == x[a : a + n]:
+                        hit |= set(range(b, b + n))
+                        names.add(str(i))
+        want.append((len(w), len(hit), sorted(names)))
+    for size in (decontaminate.BLOCK_BYTES, 40):
+        got = decontaminate.contamination(docs(spark, texts), bench, block_bytes=size).collect()
+        assert sorted((x.n_words, x.n_hit, list(x["items"])) for x in got) == sorted(want)
+    kept = decontaminate.decontaminate(docs(spark, texts), bench).collect()
+    assert len(kept) == sum(not x[1] for x in want)
+    found = decontaminate.longest_matches(docs(spark, [items[0]]), bench.where("item_id = 0")).collect()
+    assert max(x.n_words for x in found) == 25
+
+
+def test_toxicity_gradients_and_edges(spark):
+    t = toxicity.Tokens.of(pa.array(["foo bar baz qux foo", "bar zap", "lorem ipsum dolor sit"]))
+    m = toxicity.BiGru.start(np.sort(t.hashes[:4]))
+    _, f, n = t.windows()
+    y, w = np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    g = m.gradients(t, f, n, y, w)
+
+    def loss():
+        z = m.logits(t, f, n).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    for name in g:
+        at = tuple(np.array(np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)))
+        m.p[name][at] += 1e-3
+        up = loss()
+        m.p[name][at] -= 2e-3
+        assert (up - loss()) / 2e-3 == pytest.approx(float(g[name][at]), abs=2e-5)
+        m.p[name][at] += 1e-3
+    model = toxicity.fit([["all good here"], ["so bad idiot"]] * 30, np.array([0, 1] * 30), epochs=6)
+    got = {x.doc_id: x.predicted for x in toxicity.score_toxicity(docs(spark, ["all good here", "so bad idiot", "", "a " * 500]), model).collect()}
+    assert (got[0], got[1], got[2]) == (0, 1, 0)
+    assert toxicity.fit([], np.zeros(0)).scores(pa.array(["x"])).tolist() == [0.5]
+
+
+def test_katz_by_brute_force(spark):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    r = random.Random(3)
+    texts = [words(r, r.randrange(0, 80), 60) for _ in range(120)] + [None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in katz.score(spark.createDataFrame(rows, "doc_id long, text string"), 800, 300)[0].collect()}
+    token = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") + ["\0"] for i, t in rows}
+    train = [i for i in token if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni, pairs, heads = Counter(), Counter(), Counter()
+    for i in train:
+        uni.update(token[i])
+        pairs.update(zip(["\1"] + token[i], token[i]))
+        heads.update(["\1"] + token[i][:-1])
+    total = sum(uni.values())
+    factors = [katz.discounts(np.bincount([min(c, katz.K + 2) for c in x.values()], minlength=katz.K + 3)) for x in (uni, pairs)]
+    d = lambda x, c: x[c] if c <= katz.K else 1
+    one = {w: d(factors[0], c) * c / (total + 1) for w, c in uni.items()}
+    unknown = 1 - sum(one.values())
+    seen = defaultdict(list)
+    for (h, w), c in pairs.items():
+        seen[h].append((w, d(factors[1], c) * c / (heads[h] + 1)))
+    alpha = {h: (1 - sum(p for _, p in x)) / (1 - sum(one[w] for w, _ in x)) for h, x in seen.items()}
+
+    def p(h, w):
+        if (h, w) in pairs:
+            return dict(seen[h])[w]
+        return alpha.get(h, 1) * one.get(w, unknown)
+
+    for h in list(alpha)[:5]:
+        assert sum(p(h, w) for w in uni) + alpha[h] * unknown == pytest.approx(1)
+    for i, x in token.items():
+        assert got[i].n_tokens == len(x) and got[i].n_known == sum(w in uni for w in x) and got[i].train_tokens == total
+        assert got[i].score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["\1"] + x, x)))
+        assert got[i].base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in x))
+
+
+def test_bpe_against_library(spark):
+    import public_tokenizers as public
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    texts = ["", None, "a" * 3000, "日本 <|endoftext|>  \n\n x", "".join(chr(r.choice([r.randrange(32, 700), r.randrange(0x1F300, 0x1F600), 10, 32])) for _ in range(2000))]
+    got = bpe.encode_documents(docs(spark, texts), path, public.PATTERN).collect()
+    assert sorted(bytes(x.ids) for x in got) == sorted(np.array(own.encode_ordinary(t or ""), "<u4").tobytes() for t in texts)
+    assert {x.decoded_sha256 for x in got} == {hashlib.sha256((t or "").encode()).hexdigest() for t in texts}
+
+
+def _components(texts, size, link):
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()) for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and link[1] * len(sets[i] & sets[j]) >= link[0] * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return [len(x) for x in sets], root
+
+
+@pytest.mark.parametrize(("size", "link"), [(3, (90, 100)), (5, (80, 100))])
+def test_ngram_jaccard_by_brute_force(spark, size, link):
+    r = random.Random(5)
+    texts = ["", None, "one", "one two", "one two", "ONE two"]
+    for _ in range(6):
+        base = words(r, r.choice([12, 40, 120])).split()
+        for k in (0, 1, 2, 3, 4, 6):
+            own = list(base)
+            for _ in range(k):
+                own[r.randrange(len(own))] = f"z{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sizes, root = _components(texts, size, link)
+    got = {x.doc_id: x for x in ngram_jaccard.near_duplicates(rows, link, size).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].component_id for i in range(len(texts))] == root
+
+
+def test_tiles_of_a_family(spark, monkeypatch):
+    r = random.Random(6)
+    monkeypatch.setattr(ngram_jaccard, "TILE_BYTES", 4096)
+    base = list(range(300))
+    sets = [sorted({x for x in base if r.random() > 0.03} | {10**6 * i + j for j in range(i % 12)}) for i in range(14)]
+    value = [np.sort(ngram_jaccard.mix(np.array(x, np.uint64))) for x in sets]
+    members = spark.createDataFrame([(1, i, i) for i in range(14)], "family long, set_id long, label long")
+    stored = spark.createDataFrame([(i, bytearray(v.astype("<u8").tobytes())) for i, v in enumerate(value)], "set_id long, hashes binary")
+    root = list(range(14))
+    for x in ngram_jaccard.tiled_links(members, stored).collect():
+        assert 100 * len(set(sets[x.a]) & set(sets[x.b])) >= 90 * len(set(sets[x.a]) | set(sets[x.b]))
+        a, b = root[x.a], root[x.b]
+        root = [min(a, b) if y in (a, b) else y for y in root]
+    want = list(range(14))
+    for i in range(14):
+        for j in range(i):
+            if 100 * len(set(sets[i]) & set(sets[j])) >= 90 * len(set(sets[i]) | set(sets[j])):
+                a, b = want[i], want[j]
+                want = [min(a, b) if y in (a, b) else y for y in want]
+    assert root == want
+
+
+def test_line_dedup(spark):
+    r = random.Random(7)
+    passage = ". ".join(words(r, 9) for _ in range(7)) + "."
+    texts = [words(r, 40), passage + "\nown " + words(r, 9), "start " + words(r, 7) + "\n" + passage, "x\n" + passage + "\n" + words(r, 30), None, ""]
+    got = {(x.doc_id, x.text) for x in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    text = dict(got)
+    assert text[0] == texts[0] and text[1] == texts[1] and (None if None in text else 4) in text and text[5 if 5 in text else None] in ("", None)
+    assert text[2] == texts[2].replace(passage, "") and text[3] == texts[3].replace(passage + "\n", "")
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_quality(spark):
+    r = random.Random(8)
+    good, bad = [words(r, 50) + "." for _ in range(40)], [" | ".join(words(r, 50).split()) for _ in range(40)]
+    rows = docs(spark, good + bad + ["", None])
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(rows, labels)
+    got = {x.doc_id: x for x in quality.score_quality(rows, model).collect()}
+    assert np.mean([got[i].predicted == int(i < 40) for i in range(80)]) > 0.95 and 0 <= got[80].score <= 1
+    assert quality.fit([], np.zeros(0, int)).scores(pa.array(["x"])).tolist() == [0.5]
