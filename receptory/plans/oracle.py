@@ -58,8 +58,8 @@ CTES = {
     "plain": "select mask, cdr3, residue, n_r, 0 as part, '' as v from masks join mg using (mask) where s = 1",
     "compat": f"select * from (values {PAIRS}) as t(x, y)",
     "present": "select distinct mask, residue from plain",
-    "reach": "select mask, residue, residue as at from present union select r.mask, r.residue, p.residue from reach r join compat c on c.x = r.at join present p on p.mask = r.mask and p.residue = c.y",
-    "parts": f"select mask, residue, min(instr('{AMINO_ACIDS}', at)) as part from reach group by mask, residue",
+    "reach": "select mask, residue, residue as spot from present union select r.mask, r.residue, p.residue from reach r join compat c on c.x = r.spot join present p on p.mask = r.mask and p.residue = c.y",
+    "parts": f"select mask, residue, min(instr('{AMINO_ACIDS}', spot)) as part from reach group by mask, residue",
     "blosum": "select p.mask, p.cdr3, p.residue, n_r, q.part, '' as v from plain p join parts q using (mask, residue)",
     "vgenes": "select b.mask, b.cdr3, b.residue, n_r, b.part, coalesce(g.v_gene, 'NA') as v from blosum b join (select distinct cdr3, v_gene from rows) g using (cdr3)",
 }
