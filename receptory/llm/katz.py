@@ -47,7 +47,7 @@ K = 5
 #: Fold of crc32(doc_id) modulo FOLDS that is held out.
 FOLDS, HELD = 7, 2
 #: Text bytes of a block; tokens of a bigram bucket; (block, word) pairs of a unigram range.
-BLOCK_BYTES, BUCKET_TOKENS, RANGE_PAIRS = 8 << 20, 1_000_000, 1_000_000
+BLOCK_BYTES, BUCKET_TOKENS, RANGE_PAIRS = 6 << 20, 1_000_000, 1_000_000
 END, BEGIN = U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47)
 ROWS = "kind string, bucket int, block string, data binary"
 _PAIR = U64(0xC2B2AE3D27D4EB4F)
@@ -103,15 +103,21 @@ class Unigrams:
         return np.where(c > 0, self.d[np.where(c <= K, c, 0)] * c / (self.tokens + 1), self.unknown)
 
 
+def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all rows' words, A-Z lower-cased, and each row's number of words."""
+    data, offsets = text_bytes(array)
+    low = LOWER[data]
+    starts, ends, counts = word_spans(low, offsets, NOT_SPACE)
+    return span_hashes(prefix_hashes(BYTE_WEIGHT[low]), starts, ends), counts
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Blocks of tokens: (block, n_tokens, n_words, ids, data); data packs words, tokens, tokens by document, training flags."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=BLOCK_BYTES):
-            data, offsets = text_bytes(batch.column(2))
-            low = LOWER[data]
-            starts, ends, counts = word_spans(low, offsets, NOT_SPACE)
-            hashes = span_hashes(prefix_hashes(BYTE_WEIGHT[low]), starts, ends)
+            parts = [word_hashes(part.column(2)) for part in slices([batch], limit=1 << 20)]
+            hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             own = np.full(len(hashes) + len(counts), END)
             own[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
             words, token = np.unique(own, return_inverse=True)
