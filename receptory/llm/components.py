@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from receptory.llm.common import stored
+from receptory.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(root, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.select("a", F.col("m").alias("b"))).distinct()
         small = stored(small, "small")
         changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
+        discard(edges, large)
         edges = small
         if not changed:
             break

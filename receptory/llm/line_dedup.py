@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from receptory.llm.bits import bitmap, marked, within
-from receptory.llm.common import stored, table
+from receptory.llm.common import discard, stored, table
 
 LINE_CHARS, SPREAD, MIN_LINES, MIN_CHARS = 160, 4, 2, 60
 LINE_PATTERN = rf"[^\n.!?]{{0,{LINE_CHARS}}}(?:[.!?]+ *\n?|\n)|[^\n.!?]{{1,{LINE_CHARS}}}"
@@ -79,12 +79,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     found = stored(bodies.join(again, "key"), "bodies")
     own = F.struct("doc_id", "k") == F.col("first")
     first = found.where(own).select("key", F.col("body").alias("first_body"))
-    return found.where(~own).join(first, "key").where("body = first_body").select("doc_id", "k").distinct()
+    gone = stored(found.where(~own).join(first, "key").where("body = first_body").select("doc_id", "k").distinct(), "removed")
+    discard(light, again, keys, holders, found)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks cut from text and n_chars (if there) set anew; adds removed_chunks and removed_chars."""
-    gone = stored(repeated_chunks(docs), "removed")
+    gone = repeated_chunks(docs)
     touched = bitmap(gone, "doc_id")
     lists = gone.groupBy("doc_id").agg(F.collect_set("k").alias("removed")).select(F.col("doc_id").alias("removed_of"), "removed")
     names = docs.columns

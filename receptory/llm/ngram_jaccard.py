@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, mix, prefix_hashes, row_starts, slices, small_batches, span_hashes, spread, stored, table, text_bytes, text_column, word_spans
+from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, discard, mix, prefix_hashes, row_starts, slices, small_batches, span_hashes, spread, stored, table, text_bytes, text_column, word_spans
 from receptory.llm.components import components
 
 #: Words of a shingle; a pair links when LINK[1] * intersection >= LINK[0] * union.
@@ -212,7 +212,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, known: DataFrame, shingle: int =
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()).mapInArrow(run, "doc_id long, set_id long, hashes binary").alias("m")
     held = holders.alias("h")
     joined = made.join(held, (F.col("m.set_id") == F.col("h.set_id")) & F.col("m.doc_id").eqNullSafe(F.col("h.doc_id")))
-    return joined.select("m.set_id", "m.hashes").dropDuplicates(["set_id"])
+    out = stored(joined.select("m.set_id", "m.hashes").dropDuplicates(["set_id"]), "sets")
+    discard(holders)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
@@ -256,7 +258,7 @@ def set_links(docs: DataFrame, known: DataFrame, link: tuple[int, int] = LINK, s
     shared = stored(sketched(docs, link, shingle).groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key"), "keys")
     active = sketched(docs, link, shingle, key_bitmap(shared)).distinct().join(shared, "key", "left_semi")
     active = stored(active, "members")
-    sets = stored(sets_of(docs, active.select("set_id").distinct(), known, shingle), "sets")
+    sets = sets_of(docs, active.select("set_id").distinct(), known, shingle)
     leader = active.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("other"), F.count("*").alias("n"))
     starred = stored(active.join(leader.where("leader <> other"), "key"), "stars")
     links = stored(verified(starred.where("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct(), sets, link), "links")
@@ -264,12 +266,16 @@ def set_links(docs: DataFrame, known: DataFrame, link: tuple[int, int] = LINK, s
     labelled = starred.where("n > 2").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", "leader", F.coalesce("component", "set_id").alias("label"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     rest = stored(labelled.join(apart, "key", "left_semi").select("set_id", "leader", "label").distinct(), "apart")
+    discard(shared, active, starred)
     if not rest.limit(1).count():
+        discard(sets, links, rest)
         return labels
     family = components(rest.select(F.col("set_id").alias("a"), F.col("leader").alias("b")))
     members = rest.select("set_id", "label").distinct().join(family, F.col("set_id") == F.col("node")).select(F.col("component").alias("family"), "set_id", "label")
     more = stored(tiled_links(members, sets, link), "more")
-    return stored(components(links.unionByName(more)), "labels")
+    whole = stored(components(links.unionByName(more)), "labels")
+    discard(sets, links, rest, labels, more)
+    return whole
 
 
 def tiled_links(members: DataFrame, sets: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
