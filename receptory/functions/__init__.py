@@ -1 +1 @@
-"""See the package README."""
+"""Scalar functions and statistics as column expressions."""

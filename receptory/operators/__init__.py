@@ -1 +1 @@
-"""See the package README."""
+"""Operators: plans from DataFrames to DataFrames."""

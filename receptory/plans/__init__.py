@@ -1 +1 @@
-"""See the package README."""
+"""Parameters, composite pipelines, the query catalog and its SQL."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers, writers, in-memory sources and generators."""

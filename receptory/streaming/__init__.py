@@ -1 +1 @@
-"""See the package README."""
+"""The engine has no streaming operators: every result needs whole-table counts, so plans are batch plans."""
