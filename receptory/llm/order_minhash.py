@@ -61,12 +61,10 @@ def numbered_kmers(words: np.ndarray) -> np.ndarray:
     runs = kmers[order]
     fresh = np.ones(len(runs), bool)
     fresh[1:] = runs[1:] != runs[:-1]
-    if not fresh.all():
-        at = np.arange(len(runs))
-        number = np.empty(len(runs), U64)
-        number[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
-        kmers = mix(kmers + number * U64(0x9FB21C651E98DF25))
-    return kmers
+    at = np.arange(len(runs))
+    number = np.empty(len(runs), U64)
+    number[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return mix(kmers + number * U64(0x9FB21C651E98DF25))
 
 
 def signature(words: np.ndarray) -> np.ndarray:

@@ -64,6 +64,14 @@ def test_order_minhash(spark):
     assert order_minhash.fingerprints(docs(spark, [])).count() == 0
 
 
+def test_order_minhash_with_and_without_repeats():
+    text = " ".join(f"u{i}" for i in range(400))
+    sign = lambda t: order_minhash.signature(order_minhash.symbols(t.encode()))
+    assert order_minhash.likeness(sign(text), sign(text + " " + " ".join(f"u{i}" for i in range(8)))) > 0.8
+    once, again = (order_minhash.numbered_kmers(order_minhash.symbols(x.encode())) for x in ("a b c d e f", "a b c d e f a b c d e"))
+    assert set(once.tolist()) < set(again.tolist()) and len(set(again.tolist())) == len(again)
+
+
 def test_pii(spark):
     texts = ["Mail bob.96@mail8.example.com, BOB.96@MAIL8.EXAMPLE.COM", "Mr. John Smith; Mr. Smith and Mrs. Smith", "4111 1111 1111 1111 +1 (774) 555-1544 774-555-1544", None, "", "nothing 4.0", "bob.96@mail8.example.com"]
     got = [x.text for x in pii.replace_pii(docs(spark, texts), "k").orderBy("n_chars").collect()]
