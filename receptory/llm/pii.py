@@ -5,7 +5,8 @@ they occur: an e-mail's local part and domain, a phone's last ten digits, a
 given name, a surname.  Every distinct token of the whole table gets one keyed
 surrogate of its type: the same kinds of characters in the same places, a card
 with a valid check digit where it had one, an address of four octets, names of
-the same gender and script.  So a token has one surrogate in all documents
+the same gender and script.  Keys in hex digits, of 32 digits and more in either
+case, and passwords are replaced at their whole length.  So a token has one surrogate in all documents
 (coreference), rendered in the separators and the case it had there.
 
 Surrogates are checked for collisions: with the surrogate of another token of
@@ -47,13 +48,13 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)",
     "awskey": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
-    "hex": r"(?<![0-9A-Za-z])[0-9a-f]{32,60}(?![0-9A-Za-z])",
-    "password": r"(?<=password=)[A-Za-z0-9_-]{4,60}",
+    "hex": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+    "password": r"(?<=password=)[A-Za-z0-9_-]{4,}+",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_W}(?: {_W})?",
 }
 MASTER = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: What a text must have for any pattern to match; cheap to look for.
-NEEDS = rf"\d{{3}}|@|\d\.\d|password=|[0-9a-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
+NEEDS = rf"\d{{3}}|@|\d\.\d|password=|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 FIXED = ("phone", "card", "ssn", "ip", "hex", "awskey")
 ROUNDS = 64
 
@@ -90,6 +91,7 @@ def tokens_of() -> Column:
         f"when 'ssn' then array({one(_quote('ssn'), _digits('match'))}) "
         f"when 'name' then if(size({name}) = 2, array({one(f'concat({_quote("given:")}, {gender}, {_quote(":")}, {script(name + "[0]")})', f'lower({name}[0])')}, {one(f'concat({_quote("surname:")}, {script(name + "[1]")})', f'lower({name}[1])')}), "
         f"array({one(f'concat({_quote("surname:")}, {script(name + "[0]")})', f'lower({name}[0])')})) "
+        f"when 'hex' then array({one('kind', 'lower(match)')}) "
         f"else array({one('kind', 'match')}) end".replace("_at", "'@'")
     )
 
@@ -105,11 +107,13 @@ def _right10(x: str) -> str:
 def surrogate(key: str) -> Column:
     """The surrogate of columns type, token, attempt."""
     seed = f"concat_ws('|', {_quote(key)}, type, token, cast(attempt as string))"
-    digest = f"concat(sha2({seed}, 256), sha2(concat({seed}, '|more'), 256))"
-    byte = lambda i: f"cast(conv(substr(digest, cast(({i}) * 2 % 128 as int) + 1, 2), 16, 10) as int)"
+    # digests of 32 bytes, as many as the token has characters for and two at least
+    more = f"transform(sequence(2, greatest(2, cast(ceil(length(token) / 32) as int))), j -> sha2(concat({seed}, '|more', if(j = 2, '', cast(j as string))), 256))"
+    digests = f"concat(array(sha2({seed}, 256)), {more})"
+    byte = lambda i: f"cast(conv(substr(digests[cast(({i}) div 32 % size(digests) as int)], cast(({i}) % 32 * 2 as int) + 1, 2), 16, 10) as int)"
     pick = lambda chars, i: f"substr({_quote(chars)}, {byte(i)} % {len(chars)} + 1, 1)"
     lower, upper, digit, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
-    chars = "transform(sequence(1, greatest(length(token), 1)), i -> substr(token, i, 1))"
+    chars = "split(token, '')"
     same = f"transform({chars}, (c, i) -> case when c rlike '[0-9]' then {pick(digit, 'i')} when c rlike '\\\\p{{IsCyrillic}}' then {pick('абвгдежзиклмнопрстуфхц', 'i')} when c rlike '\\\\p{{Lu}}' then {pick(upper, 'i')} when c rlike '\\\\p{{L}}' then {pick(lower, 'i')} else c end)"
     longer = f"array_join(transform(sequence(0, cast(attempt / 4 as int)), i -> if(i = 0, '', {pick(lower, 'i + 50')})), '')"
     hexes = f"array_join(transform({chars}, (c, i) -> {pick(hexa, 'i')}), '')"
@@ -126,7 +130,7 @@ def surrogate(key: str) -> Column:
     cases.append(f"when type = 'domain' then concat(array_join(slice({same}, 1, length(token) - length(substring_index(token, '.', -1)) - 1), ''), {longer}, '.', substring_index(token, '.', -1))")
     fixed = ", ".join(map(_quote, FIXED))
     expression = f"case {' '.join(cases)} else concat(array_join({same}, ''), if(type in ({fixed}), '', {longer})) end"
-    return F.expr(f"element_at(transform(array({digest}), digest -> {expression}), 1)")
+    return F.expr(f"element_at(transform(array({digests}), digests -> {expression}), 1)")
 
 
 def surrogates(tokens: DataFrame, key: str) -> DataFrame:
@@ -155,10 +159,12 @@ def rendered() -> Column:
     refill = lambda x, digits: f"aggregate(sequence(1, length({x})), named_struct('out', '', 'n', 0), (a, i) -> if(substr({x}, i, 1) rlike '[0-9]', named_struct('out', concat(a.out, substr({digits}, a.n + 1, 1)), 'n', a.n + 1), named_struct('out', concat(a.out, substr({x}, i, 1)), 'n', a.n)), a -> a.out)"
     name = "split(regexp_replace(match, '^[^ ]+ ', ''), ' ')"
     cased = lambda i: f"if({name}[{i}] = upper({name}[{i}]), upper(s[{i}]), s[{i}])"
+    hexes = "if(match = lower(match), s[0], if(match = upper(match), upper(s[0]), array_join(zip_with(split(match, ''), split(s[0], ''), (a, b) -> if(a = lower(a), b, upper(b))), '')))"
     head = f"left({_digits('match')}, greatest(length({_digits('match')}) - 10, 0))"
     return F.expr(
         "case kind when 'email' then concat(if(match = upper(match), upper(s[0]), s[0]), '@', if(match = upper(match), upper(s[1]), s[1])) "
         f"when 'phone' then {refill('match', f'concat({head}, s[0])')} when 'card' then {refill('match', 's[0]')} when 'ssn' then {refill('match', 's[0]')} "
+        f"when 'hex' then {hexes} "
         f"when 'name' then concat(split(match, ' ')[0], ' ', {cased(0)}, if(size({name}) = 2, concat(' ', {cased(1)}), '')) else s[0] end"
     )
 

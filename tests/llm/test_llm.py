@@ -86,6 +86,23 @@ def test_pii(spark):
     assert card[20:].replace("+1 (", "").replace(") ", "-").split(" ")[0] == card.split(" ")[-1]
 
 
+def test_pii_of_long_and_upper_case_secrets(spark):
+    r = random.Random(12)
+    token = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(token))
+    long_hex, password = token + "0f" * 200, "Pw_" + "x7-" * 40
+    texts = [f"low {token}", f"TOKEN = {token.upper()}", f"mix {mixed}", f"long {long_hex}", f"at password={password} end"]
+    got = {x.doc_id: (x.text, x.n_entities) for x in pii.replace_pii(docs(spark, texts), "k").collect()}
+    assert all(n == 1 for _, n in got.values())
+    low, up, mix = (got[i][0].split()[-1] for i in range(3))
+    assert up == low.upper() and low != token and low == low.lower() and mix.lower() == low
+    assert all(a.isdigit() or a.isupper() == (not c.islower() and not c.isdigit()) for a, c in zip(mix, mixed))
+    new = got[3][0].split()[-1]
+    assert len(new) == len(long_hex) and new[64:128] != new[128:192] and "0f0f0f" not in new
+    new = got[4][0].removeprefix("at password=").removesuffix(" end")
+    assert len(new) == len(password) and "x7-x7-" not in new and new[:3] != "Pw_"
+
+
 def test_surrogates_are_distinct(spark):
     tokens = spark.createDataFrame([("given:n:cyrillic", f"t{i}") for i in range(60)] + [("local", c) for c in "abcdefghij"], "type string, token string")
     got = pii.surrogates(tokens, "k").collect()
