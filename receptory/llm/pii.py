@@ -54,7 +54,7 @@ PATTERNS = {
 }
 MASTER = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: What a text must have for any pattern to match; cheap to look for.
-NEEDS = rf"\d{{3}}|@|\d\.\d|password=|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
+NEEDS = rf"\d{{3}}|@|\d\.\d|password=|AKIA|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 FIXED = ("phone", "card", "ssn", "ip", "hex", "awskey")
 ROUNDS = 64
 
