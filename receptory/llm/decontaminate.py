@@ -275,7 +275,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         "n_words",
         union.alias("n_hit"),
         F.expr("array_sort(transform(spans, x -> struct(shiftright(x, 32) as first, (x & 4294967295) as last)))").alias("spans"),
-        F.array_sort("items").alias("items"),
+        F.array_sort(F.array_distinct("items")).alias("items"),
     )
 
 

@@ -145,6 +145,15 @@ def test_decontamination_by_brute_force(spark):
     assert max(x.n_words for x in found) == 25
 
 
+def test_repeated_benchmark_items_count_once(spark):
+    r = random.Random(13)
+    a, b = words(r, 12), words(r, 15)
+    bench = spark.createDataFrame([("x", a), ("x", a), ("x", b), ("y", b)], "item_id string, text string")
+    for size in (decontaminate.BLOCK_BYTES, 40):
+        got = decontaminate.contamination(docs(spark, [f"{a} and {b}", a]), bench, block_bytes=size).collect()
+        assert sorted((x.n_hit, list(x["items"])) for x in got) == [(12, ["x"]), (27, ["x", "y"])]
+
+
 def test_toxicity_gradients_and_edges(spark):
     t = toxicity.Tokens.of(pa.array(["foo bar baz qux foo", "bar zap", "lorem ipsum dolor sit"]))
     m = toxicity.BiGru.start(np.sort(t.hashes[:4]))
