@@ -5,7 +5,9 @@ or, without those, after LINE_CHARS characters.  A rolling hash over the last
 two line hashes chooses chunk boundaries, one in SPREAD; borders of text lines
 of several sentences are boundaries as well, and none is chosen that would leave
 one line of such a text line alone.  All depend on nearby content
-only, so what is inserted before a passage does not shift its chunks.  A chunk
+only, so what is inserted before a passage does not shift its chunks; but the
+cuts after LINE_CHARS characters do shift with it, and passages in text without
+sentence ends and line breaks are then not found.  A chunk
 of two lines or more, and of MIN_CHARS characters or more, that has an equal
 before it, in this or any document, is removed; the first by doc_id and place
 stays.  Equal keys are only a hint: a chunk is removed after its bytes are
