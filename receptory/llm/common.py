@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,20 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where it is unset, a local one in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="receptory-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df once to the shared folder and read it back."""
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Cut lineage: write df once to the shared folder, in partitions by some columns if given, and read it back."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -54,10 +57,29 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Send Python workers at most so many rows at once: rows of long texts or large sets then stay within a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done; it does so only when the driver collects its garbage."""
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Send Python workers at most so many rows at once while this lasts: rows of long texts or large sets then stay within a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until df has no such column in any case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,6 +203,3 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
         raise ValueError(f"{what}: more than {limit} rows")
     return rows
 
-
-def is_local(path: str) -> bool:
-    return path.startswith(("file:", "/")) or os.path.isabs(path)

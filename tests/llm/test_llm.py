@@ -1,13 +1,12 @@
 import base64
 import hashlib
 import random
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from receptory.llm import bpe, decontaminate, katz, line_dedup, ngram_jaccard, order_minhash, pii, quality, toxicity, warc
+from receptory.llm import bpe, decontaminate, line_dedup, order_minhash, pii, quality, toxicity, warc
 
 SCHEMA = "doc_id long, text string, n_chars long"
 
@@ -179,45 +178,6 @@ def test_toxicity_gradients_and_edges(spark):
     assert toxicity.fit([], np.zeros(0)).scores(pa.array(["x"])).tolist() == [0.5]
 
 
-def test_katz_by_brute_force(spark):
-    import math
-    import re
-    from collections import Counter, defaultdict
-
-    r = random.Random(3)
-    texts = [words(r, r.randrange(0, 80), 60) for _ in range(120)] + [None, ""]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = {x.doc_id: x for x in katz.score(spark.createDataFrame(rows, "doc_id long, text string"), 800, 300)[0].collect()}
-    token = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") + ["\0"] for i, t in rows}
-    train = [i for i in token if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, pairs, heads = Counter(), Counter(), Counter()
-    for i in train:
-        uni.update(token[i])
-        pairs.update(zip(["\1"] + token[i], token[i]))
-        heads.update(["\1"] + token[i][:-1])
-    total = sum(uni.values())
-    factors = [katz.discounts(np.bincount([min(c, katz.K + 2) for c in x.values()], minlength=katz.K + 3)) for x in (uni, pairs)]
-    d = lambda x, c: x[c] if c <= katz.K else 1
-    one = {w: d(factors[0], c) * c / (total + 1) for w, c in uni.items()}
-    unknown = 1 - sum(one.values())
-    seen = defaultdict(list)
-    for (h, w), c in pairs.items():
-        seen[h].append((w, d(factors[1], c) * c / (heads[h] + 1)))
-    alpha = {h: (1 - sum(p for _, p in x)) / (1 - sum(one[w] for w, _ in x)) for h, x in seen.items()}
-
-    def p(h, w):
-        if (h, w) in pairs:
-            return dict(seen[h])[w]
-        return alpha.get(h, 1) * one.get(w, unknown)
-
-    for h in list(alpha)[:5]:
-        assert sum(p(h, w) for w in uni) + alpha[h] * unknown == pytest.approx(1)
-    for i, x in token.items():
-        assert got[i].n_tokens == len(x) and got[i].n_known == sum(w in uni for w in x) and got[i].train_tokens == total
-        assert got[i].score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["\1"] + x, x)))
-        assert got[i].base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in x))
-
-
 def test_bpe_against_library(spark):
     import public_tokenizers as public
     import tiktoken
@@ -232,57 +192,6 @@ def test_bpe_against_library(spark):
     assert {x.decoded_sha256 for x in got} == {hashlib.sha256((t or "").encode()).hexdigest() for t in texts}
 
 
-def _components(texts, size, link):
-    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()) for w in ((t or "").lower().split() for t in texts)]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] and link[1] * len(sets[i] & sets[j]) >= link[0] * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
-    return [len(x) for x in sets], root
-
-
-@pytest.mark.parametrize(("size", "link"), [(3, (90, 100)), (5, (80, 100))])
-def test_ngram_jaccard_by_brute_force(spark, size, link):
-    r = random.Random(5)
-    texts = ["", None, "one", "one two", "one two", "ONE two"]
-    for _ in range(6):
-        base = words(r, r.choice([12, 40, 120])).split()
-        for k in (0, 1, 2, 3, 4, 6):
-            own = list(base)
-            for _ in range(k):
-                own[r.randrange(len(own))] = f"z{r.randrange(10**6)}"
-            texts.append(" ".join(own))
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    sizes, root = _components(texts, size, link)
-    got = {x.doc_id: x for x in ngram_jaccard.near_duplicates(rows, link, size).collect()}
-    assert [got[i].n_shingles for i in range(len(texts))] == sizes
-    assert [got[i].component_id for i in range(len(texts))] == root
-
-
-def test_tiles_of_a_family(spark, monkeypatch):
-    r = random.Random(6)
-    monkeypatch.setattr(ngram_jaccard, "TILE_BYTES", 4096)
-    base = list(range(300))
-    sets = [sorted({x for x in base if r.random() > 0.03} | {10**6 * i + j for j in range(i % 12)}) for i in range(14)]
-    value = [np.sort(ngram_jaccard.mix(np.array(x, np.uint64))) for x in sets]
-    members = spark.createDataFrame([(1, i, i) for i in range(14)], "family long, set_id long, label long")
-    stored = spark.createDataFrame([(i, bytearray(v.astype("<u8").tobytes())) for i, v in enumerate(value)], "set_id long, hashes binary")
-    root = list(range(14))
-    for x in ngram_jaccard.tiled_links(members, stored).collect():
-        assert 100 * len(set(sets[x.a]) & set(sets[x.b])) >= 90 * len(set(sets[x.a]) | set(sets[x.b]))
-        a, b = root[x.a], root[x.b]
-        root = [min(a, b) if y in (a, b) else y for y in root]
-    want = list(range(14))
-    for i in range(14):
-        for j in range(i):
-            if 100 * len(set(sets[i]) & set(sets[j])) >= 90 * len(set(sets[i]) | set(sets[j])):
-                a, b = want[i], want[j]
-                want = [min(a, b) if y in (a, b) else y for y in want]
-    assert root == want
-
-
 def test_line_dedup(spark):
     r = random.Random(7)
     passage = ". ".join(words(r, 9) for _ in range(7)) + "."
