@@ -1,75 +1,80 @@
-"""LM scoring: a Katz back-off bigram model.
+"""LM scoring: a Katz back-off model of any order.
 
     P(w|h) = d(c(hw)) c(hw) / (c(h) + 1)          if hw was seen
-           = alpha(h) P(w)                        if h was seen and hw was not
-           = P(w)                                 if h was not seen
+           = alpha(h) P(w|h')                     if h was seen and hw was not
+           = P(w|h')                              if h was not seen
     P(w)   = d(c(w)) c(w) / (N + 1)               of known words; all unknown ones share the rest
 
-d are Good-Turing discounts of counts up to K (with Katz's correction), so the
-back-off weight alpha(h), the mass left by seen words over the unigram mass of
-the unseen, normalises every history exactly.  The count of one in the
+h' is the history h without its first word.  d are Good-Turing discounts of
+each order's counts up to K (with Katz's correction), so the back-off weight
+alpha(h), the mass left by seen words over the lower order's mass of the
+unseen, normalises every history exactly.  The count of one in the
 denominators leaves a mass even where no count is small.
 
 The corpus is turned into blocks of tokens numbered by the block's own words.
-Counts are gathered by ranges of word hashes (unigrams) and by buckets of
-histories (bigrams); a history with more than a bucket's share of all tokens
-is dealt over all buckets by its next word.  Each bucket writes its part of
-the count table and, of every block, what its tokens' scores depend on: how
-often each small count was met, the logarithms of the rest, and back-offs by
-history.  Discounts are known once all buckets have counted; then the buckets'
-back-off weights are fixed and the parts summed by document.  Texts are read
-once, no table is sent to all executors but the weights of the dealt
-histories, of which there are fewer than buckets.
+Words are counted by ranges of their hashes, then each order's n-grams by
+buckets of histories: a block sends a bucket each distinct n-gram once, with
+its count in the block's training texts, and is sent its count in all.  So no
+text is read twice and what is sent of a token shrinks with its repeats.  A
+history with more than a bucket's share of all tokens is dealt over all
+buckets by its next word; there are fewer of those than buckets, and their
+weights are the only part of the model that every executor gets.  With all
+counts of its n-grams and the figures of the histories where its held-out
+texts may back off, a block evaluates the recursion token by token.
+
+Counts stay in stored tables, partitioned by kind: words (word hash, number,
+count) and n-grams (history hash, word number, count) by bucket.
 
 Edge cases: null and empty texts are one end token; repeated rows are learnt
-and scored each; null ids fall in the fold of the empty text; without training
-texts every token has the probability of the unknown; words are compared by
-64-bit hashes.
+and scored each; null ids fall in the fold of the empty text; doc_id is an
+integer column; without training texts every token has the probability of the
+unknown; words and histories are compared by 64-bit hashes; other columns are
+not read.
 """
 
 from __future__ import annotations
 
-import pickle
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, fold, mix, prefix_hashes, slices, span_hashes, stored, table, text_bytes, text_column, word_spans
+from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, fold, mix, prefix_hashes, row_starts, slices, span_hashes, stored, table, text_bytes, text_column, tidy, word_spans
 
+#: Words of the longest n-gram.
+ORDER = 2
 #: Counts up to K are discounted.
 K = 5
 #: Fold of crc32(doc_id) modulo FOLDS that is held out.
 FOLDS, HELD = 7, 2
-#: Text bytes of a block; tokens of a bigram bucket; (block, word) pairs of a unigram range.
+#: Text bytes of a block; tokens of a bucket; (block, word) pairs of a range of words.
 BLOCK_BYTES, BUCKET_TOKENS, RANGE_PAIRS = 6 << 20, 1_000_000, 1_000_000
 END, BEGIN = U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47)
-ROWS = "kind string, bucket int, block string, data binary"
 _PAIR = U64(0xC2B2AE3D27D4EB4F)
+_COUNTS = [f"x{i}" for i in range(K + 3)]
+BLOCKS = "block long, n_tokens long, n_words long, ids array<long>, words binary, tokens binary, sizes binary, train binary"
+COUNTED = "kind string, bucket int, block long, counts binary, numbers binary, large binary, mass binary, history long, word long, count long, lower long, share double, " + ", ".join(f"{x} long" for x in _COUNTS)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
-
-
-def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zlib.decompress(raw))
+def enc(x: np.ndarray) -> bytes:
+    """Unsigned numbers in the least width that holds them: the width, then the numbers, little-endian, deflated."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return zlib.compress(bytes([width]) + x.astype(f"<u{width}").tobytes(), 1)
 
 
-def small(x: np.ndarray) -> np.ndarray:
-    """The same numbers in the least unsigned type."""
-    top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+def dec(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def rows_of(out: list[tuple]) -> pa.Table:
-    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.binary())], names=["kind", "bucket", "block", "data"])
+def hashes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -83,24 +88,26 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.where((d > 0.01) & (d < 1), d, 1.0)
 
 
-@dataclass(frozen=True)
-class Unigrams:
-    """N and V of the training tokens, discounts, and the probability of the unknown word."""
+@dataclass
+class Model:
+    """What all tasks know: N, V and the texts of training, the count above which histories are dealt, the unknown word's share, and by order the discounts and the weights of dealt histories."""
 
     tokens: int
     words: int
     documents: int
-    d: np.ndarray
-    unknown: float
+    share: int
+    unknown: float = 1.0
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+    dealt: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
-    @classmethod
-    def of(cls, tokens: int, words: int, documents: int, n: np.ndarray) -> Unigrams:
-        d = discounts(n)
-        lost = sum((1 - d[r]) * r * n[r] for r in range(1, K + 1))
-        return cls(tokens, words, documents, d, (1 + lost) / (tokens + 1))
+    def seen(self, order: int, count: np.ndarray, history: np.ndarray | int) -> np.ndarray:
+        """P of n-grams that were counted, from their count and their history's."""
+        return self.d[order][np.where(count <= K, count, 0)] * count / (history + 1)
 
-    def probability(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.d[np.where(c <= K, c, 0)] * c / (self.tokens + 1), self.unknown)
+    def alpha(self, order: int, numbers: np.ndarray, large: np.ndarray, mass: np.ndarray, history: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The mass a history's seen words leave over the lower order's mass of the others; both are at least one count's share."""
+        left = 1 - (large + numbers @ (self.d[order][1:] * np.arange(1, K + 1))) / (history + 1)
+        return np.maximum(left, 1 / (history + 1)) / np.maximum(1 - mass, 1 / (lower + 1))
 
 
 def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,238 +119,284 @@ def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """Blocks of tokens: (block, n_tokens, n_words, ids, data); data packs words, tokens, tokens by document, training flags."""
+    """Blocks of tokens: their documents, distinct words, tokens by number of word, tokens by document, training flags."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=BLOCK_BYTES):
             parts = [word_hashes(part.column(2)) for part in slices([batch], limit=1 << 20)]
-            hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            own = np.full(len(hashes) + len(counts), END)
-            own[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
+            found, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            own = np.full(len(found) + len(counts), END)
+            own[np.arange(len(found)) + np.repeat(np.arange(len(counts)), counts)] = found
             words, token = np.unique(own, return_inverse=True)
-            packed = pack(words, small(token.ravel()), small(counts + 1), batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(own)]), pa.array([len(words)]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["block", "n_tokens", "n_words", "ids", "data"])
+            row = [name, len(own), len(words), batch.column(0).to_pylist(), words.astype("<u8").tobytes(), enc(token), enc(counts + 1), enc(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
+            name += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) != HELD).alias("train"), text_column())
-    return rows.mapInArrow(run, "block string, n_tokens long, n_words long, ids array<long>, data binary")
+    return rows.mapInArrow(run, BLOCKS)
 
 
-def count_unigrams(blocks: DataFrame, ranges: int) -> DataFrame:
-    """By ranges of word hashes: the count table (kind table) and each block's counts of its own words (kind reply)."""
+def _rows(columns: dict[str, list], n: int, schema: str = COUNTED) -> pa.RecordBatch:
+    """A batch of the schema from some of its columns; the others are null."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds[t]) if x in columns else pa.nulls(n, kinds[t]) for x, t in names], [x for x, _ in names])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbers(counts: np.ndarray) -> np.ndarray:
+    """How many items have count 0, 1, ... and K + 2 or more."""
+    return np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
+
+
+def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
+    """By ranges of hashes: rows of the count table (kind word), each block's counts and numbers of its words (reply), and numbers of counts (numbers)."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, token, sizes, train = unpack(raw.as_py())
+            for block, *raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                words, token, sizes, train = hashes(raw[0]), *map(dec, raw[1:])
                 counts = np.bincount(token, np.repeat(train, sizes), len(words)).astype(np.int64)
                 cuts = np.searchsorted((words >> U64(32)) * U64(ranges) >> U64(32), np.arange(ranges + 1).astype(U64))
-                yield from rows_of([("", i, block, pack(words[a:b], small(counts[a:b]))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]).to_batches()
+                some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                yield _rows({"bucket": [i for i, _, _ in some], "block": [block] * len(some), "words": [words[a:b].astype("<u8").tobytes() for _, a, b in some], "counts": [enc(counts[a:b]) for _, a, b in some]}, len(some), "bucket int, block long, words binary, counts binary")
 
     def total(part: pa.Table) -> pa.Table:
-        got = [unpack(x) for x in part.column("data").to_pylist()]
-        words, place = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([x[1] for x in got])).astype(np.int64)
-        bucket, at, out = part.column("bucket")[0].as_py(), 0, []
-        for block, (own, _) in zip(part.column("block").to_pylist(), got, strict=True):
-            out.append(("reply", bucket, block, pack(small(counts[place[at : at + len(own)]]))))
-            at += len(own)
-        seen = counts > 0
-        numbers = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
-        out.append(("table", bucket, None, pack(words[seen], small(counts[seen]))))
-        out.append(("numbers", bucket, None, pack(np.array([counts.sum(), seen.sum()]), numbers)))
-        return rows_of(out)
-
-    return blocks.select("block", "data").mapInArrow(run, ROWS).groupBy("bucket").applyInArrow(total, ROWS)
-
-
-def emit_bigrams(uni: Unigrams, buckets: int):
-    """From blocks with their words' counts: a row (kind doc) of documents' own figures, and one (kind gram) a bucket of their bigrams."""
+        names, blocks = [hashes(x) for x in part.column("words").to_pylist()], part.column("block").to_pylist()
+        words, place = np.unique(np.concatenate(names), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([dec(x) for x in part.column("counts").to_pylist()]), len(words)).astype(np.int64)
+        bucket, cuts = part.column("bucket")[0].as_py(), row_starts(np.array([len(x) for x in names]))
+        seen = np.flatnonzero(counts)
+        number = np.cumsum(counts > 0) - 1
+        own = [place[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = [_rows({"kind": ["reply"] * len(own), "bucket": [bucket] * len(own), "block": blocks, "counts": [enc(counts[x]) for x in own], "numbers": [enc(np.maximum(number[x], 0)) for x in own]}, len(own))]
+        out.append(_rows({"kind": ["word"] * len(seen), "bucket": [bucket] * len(seen), "history": words[seen].view(np.int64), "word": number[seen], "count": counts[seen]}, len(seen)))
+        out.append(_rows({"kind": ["numbers"], "bucket": [bucket], "word": [len(seen)], "count": [int(counts.sum())]} | {x: [int(y)] for x, y in zip(_COUNTS, _numbers(counts), strict=True)}, 1))
+        return pa.Table.from_batches(out)
+
+    return blocks.select("block", "words", "tokens", "sizes", "train").mapInArrow(deal, "bucket int, block long, words binary, counts binary").groupBy("bucket").applyInArrow(total, COUNTED)
+
+
+class Block:
+    """A block's tokens with what is known of them: by order the hash and the training count of the n-gram that ends at each token."""
+
+    def __init__(self, row: dict, model: Model, buckets: int, known: int) -> None:
+        self.model, self.buckets = model, buckets
+        self.words, self.token = hashes(row["words"]), dec(row["tokens"])
+        self.sizes, train = dec(row["sizes"]), dec(row["train"]).astype(bool)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train, self.first = train[self.doc], np.cumsum(self.sizes) - self.sizes
+        replies = sorted(row["replies"], key=lambda x: (x["order"], x["bucket"]))
+        own = [x for x in replies if x["order"] == 1]
+        self.number = np.concatenate([dec(x["numbers"]) + x["shift"] for x in own])[self.token]
+        self.gram, self.count = {1: self.words[self.token]}, {1: np.concatenate([dec(x["counts"]) for x in own])[self.token]}
+        self.alpha: dict[int, np.ndarray] = {}
+        for order in range(2, known + 1):
+            self.learn(order, [x for x in replies if x["order"] == order])
+
+    def before(self, x: np.ndarray, at_start) -> np.ndarray:
+        """Of each token what x has of the one before it, and at_start of a document's first."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = at_start
+        return out
+
+    def histories(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token its history's hash, count, shorter history's count, and whether the history is dealt over all buckets."""
+        begin = np.array([BEGIN])
+        for _ in range(order - 2):
+            begin = mix(begin * _PAIR + BEGIN)
+        history, count = self.before(self.gram[order - 1], begin[0]), self.before(self.count[order - 1], self.model.documents)
+        lower = self.before(self.count[order - 2], self.model.documents) if order > 2 else np.full(len(count), self.model.tokens)
+        return history, count, lower, count > self.model.share
+
+    def sent(self, order: int) -> tuple:
+        """What the block asks of the buckets, by bucket: (token of each distinct n-gram, of each token asked its n-gram, its bucket, needed histories' tokens, their buckets)."""
+        history, count, _, dealt = self.histories(order)
+        gram = mix(history * _PAIR + self.gram[1])
+        self.gram[order] = gram
+        asked = np.flatnonzero(self.train | ((self.count[order - 1] > 0) & (count > 0)))
+        distinct, first, inverse = np.unique(gram[asked], return_index=True, return_inverse=True)
+        at = asked[first]
+        bucket = self.bucket(np.where(dealt[at], distinct, history[at]))
+        order_of = np.lexsort((history[at], bucket))
+        rank = np.empty(len(at), np.int64)
+        rank[order_of] = np.arange(len(at))
+        needed = np.flatnonzero(~self.train & (count > 0) & ~dealt)
+        needed = needed[np.unique(history[needed], return_index=True)[1]]
+        need_bucket = self.bucket(history[needed])
+        by = np.argsort(need_bucket, kind="stable")
+        return asked, at[order_of], bucket[order_of], rank[inverse.ravel()], needed[by], need_bucket[by]
+
+    def bucket(self, x: np.ndarray) -> np.ndarray:
+        return ((mix(x) >> U64(32)) * U64(self.buckets) >> U64(32)).astype(np.int64)
+
+    def learn(self, order: int, replies: list[dict]) -> None:
+        """Take in the buckets' replies."""
+        asked, _, _, place, needed, _ = self.sent(order)
+        history, count, lower, dealt = self.histories(order)
+        total = np.zeros(len(count), np.int64)
+        if len(asked):
+            total[asked] = np.concatenate([dec(x["counts"]) for x in replies])[place]
+        self.count[order] = total
+        if order not in self.model.dealt:
+            return
+        alpha = np.ones(len(count))
+        if len(needed):
+            numbers, large, mass = np.concatenate([dec(x["numbers"]) for x in replies]).reshape(-1, K), np.concatenate([dec(x["large"]) for x in replies]), np.concatenate([np.frombuffer(x["mass"], "<f8") for x in replies])
+            names, found = history[needed], self.model.alpha(order, numbers, large, mass, count[needed], lower[needed])
+            sort = np.argsort(names)
+            places = np.flatnonzero(~self.train & (count > 0) & ~dealt)
+            alpha[places] = found[sort][np.searchsorted(names[sort], history[places])]
+        places = np.flatnonzero(~self.train & dealt)
+        if len(places):
+            names, weights = self.model.dealt[order]
+            alpha[places] = weights[np.searchsorted(names, history[places])]
+        self.alpha[order] = alpha
+
+    def scores(self, order: int) -> np.ndarray:
+        """log10 P of each token: the longest n-gram that was seen, and the weights of the histories backed off from."""
+        known = self.count[1]
+        score = np.log10(np.where(known > 0, self.model.seen(1, known, self.model.tokens), self.model.unknown))
+        for m in range(2, order + 1):
+            _, count, _, _ = self.histories(m)
+            r = self.count[m]
+            score = np.where(r > 0, np.log10(np.maximum(self.model.seen(m, r, count), 1e-300)), score + np.log10(np.where(count > 0, self.alpha[m], 1.0)))
+        return score
+
+
+SENT = "bucket int, block long, histories binary, totals binary, lowers binary, runs binary, words binary, unders binary, learnt binary, needed binary"
+
+
+def send(model: Model, buckets: int, order: int):
+    """From blocks: a row a bucket of their distinct n-grams, by history, and of the histories whose figures they need."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, ids, raw, replies = (batch.column(j)[i].as_py() for j in range(4))
-                words, token, sizes, train = unpack(raw)
-                counts = np.concatenate([unpack(x["data"])[0].astype(np.int64) for x in replies])
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                c = counts[token]
-                base = np.bincount(doc, np.log10((c + 1) / (uni.tokens + uni.words + 1)), len(sizes))
-                known = np.bincount(doc, c > 0, len(sizes)).astype(np.int64)
-                yield from rows_of([("doc", -1 - int(block[:7], 16) % buckets, block, pack(np.array([-1 if x is None else x for x in ids], np.int64), np.array([x is None for x in ids]), sizes, known, base))]).to_batches()
-                names = np.append(words, BEGIN)
-                history_counts = np.append(counts, uni.documents)
-                h = np.empty(len(token), np.int64)
-                h[1:] = token[:-1]
-                h[np.cumsum(sizes) - sizes] = len(words)
-                token = token.astype(np.int64)
-                where = mix(names[h])
-                dealt = history_counts[h] > max(uni.tokens // buckets, 10_000)
-                where[dealt] = mix(names[h[dealt]] * _PAIR + names[token[dealt]])
-                bucket = (where >> U64(32)) * U64(buckets) >> U64(32)
-                width = U64(max(1, int(len(names)).bit_length()))
-                key = (bucket << (width + width)) | (h.astype(U64) << width) | token.astype(U64)
-                order = np.argsort(key, kind="stable")
-                key, doc = key[order], doc[order]
-                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                pair, times = key[new], np.diff(np.append(new, len(key)))
-                mask = (U64(1) << width) - U64(1)
-                ph, pw = ((pair >> width) & mask).astype(np.int64), (pair & mask).astype(np.int64)
-                learnt = np.add.reduceat(train[doc].astype(np.int64), new)
-                cuts = np.searchsorted(pair >> (width + width), np.arange(buckets + 1).astype(U64))
-                at = np.append(new, len(key))
-                for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if x < y:
-                        uh, ih = np.unique(ph[x:y], return_inverse=True)
-                        uw, iw = np.unique(pw[x:y], return_inverse=True)
-                        data = pack(names[uh], small(history_counts[uh]), small(np.bincount(ih)), names[uw], small(counts[uw]), small(iw), small(times[x:y]), small(learnt[x:y]), small(doc[at[x] : at[y]]), np.array(len(sizes)))
-                        yield from rows_of([("gram", b, block, data)]).to_batches()
+                row = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
+                block = Block(row, model, buckets, order - 1)
+                history, count, lower, _ = block.histories(order)
+                asked, at, bucket, place, needed, need_bucket = block.sent(order)
+                learnt = np.bincount(place, block.train[asked], len(at)).astype(np.int64)
+                cuts, needs = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(need_bucket, np.arange(buckets + 1))
+                out = []
+                for b in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(needs) > 0)):
+                    own = at[cuts[b] : cuts[b + 1]]
+                    new = np.flatnonzero(np.concatenate([[True], history[own[1:]] != history[own[:-1]]])) if len(own) else np.zeros(0, np.int64)
+                    heads = own[new]
+                    out.append((int(b), row["block"], history[heads].astype("<u8").tobytes(), enc(count[heads]), enc(lower[heads]), enc(np.diff(np.append(new, len(own)))), enc(block.number[own]), enc(block.count[order - 1][own]), enc(learnt[cuts[b] : cuts[b + 1]]), history[needed[needs[b] : needs[b + 1]]].astype("<u8").tobytes()))
+                    if len(out) == 64:
+                        yield _rows(dict(zip([x.split()[0] for x in SENT.split(", ")], zip(*out, strict=True), strict=True)), len(out), SENT)
+                        out = []
+                if out:
+                    yield _rows(dict(zip([x.split()[0] for x in SENT.split(", ")], zip(*out, strict=True), strict=True)), len(out), SENT)
 
     return run
 
 
-def count_bigrams(uni: Unigrams, buckets: int):
-    """A bucket's count table, its numbers of counts, its histories' figures, and each block's parts of scores."""
+def count_grams(model: Model, buckets: int, order: int):
+    """A bucket's rows of the count table (kind gram), its replies, partial figures of dealt histories (dealt), numbers of counts (numbers)."""
 
     def run(part: pa.Table) -> pa.Table:
-        bucket = part.column("bucket")[0].as_py()
-        if bucket < 0:
-            return part.select(["kind", "bucket", "block", "data"])
-        blocks = part.column("block").to_pylist()
-        hh, hc, ww, wc, times, learnt, docs, sizes = [], [], [], [], [], [], [], []
-        for raw in part.column("data").to_pylist():
-            uh, ch, runs, uw, cw, iw, t, n, d, size = unpack(raw)
-            hh.append(np.repeat(uh, runs))
-            hc.append(np.repeat(ch.astype(np.int64), runs))
-            ww.append(uw[iw])
-            wc.append(cw[iw].astype(np.int64))
-            times.append(t.astype(np.int64))
-            learnt.append(n.astype(np.int64))
-            docs.append(d)
-            sizes.append(int(size))
-        of_block = np.repeat(np.arange(len(blocks)), [len(x) for x in hh])
-        hh, hc, ww, wc, times, learnt = (np.concatenate(x) for x in (hh, hc, ww, wc, times, learnt))
-        _, first, place = np.unique(mix(hh * _PAIR + ww), return_index=True, return_inverse=True)
-        c = np.bincount(place, learnt).astype(np.int64)
-        ph, pw, pc, pwc = hh[first], ww[first], hc[first], wc[first]
-        histories, hfirst, hplace = np.unique(ph, return_index=True, return_inverse=True)
-        total = pc[hfirst]
-        n = np.stack([np.bincount(hplace[c == r], minlength=len(histories)) for r in range(1, K + 1)], axis=1)
-        large = np.bincount(hplace, np.where(c > K, c, 0), len(histories))
-        mass = np.bincount(hplace, np.where(c > 0, uni.probability(pwc), 0.0), len(histories))
-        r = c[place]
-        unseen = r == 0
-        backs = unseen & (hc > 0)
-        log = np.where(unseen, np.log10(uni.probability(wc)), np.log10(np.maximum(r, 1) / (hc + 1)))
-        each = np.repeat(np.arange(len(r)), times)
-        doc = np.concatenate(docs).astype(np.int64)
-        base = np.concatenate([[0], np.cumsum(sizes)])
-        slot = base[of_block[each]] + doc
-        sums = np.bincount(slot, log[each], base[-1])
-        small_r = np.where((r >= 1) & (r <= K), r, 0)[each]
-        met = np.bincount(slot * (K + 1) + small_r, minlength=base[-1] * (K + 1)).reshape(-1, K + 1)[:, 1:]
-        event = np.flatnonzero(backs[each])
-        eh = hplace[place[each[event]]]
-        used = np.zeros(len(histories), bool)
-        used[eh] = True
-        dealt = total > max(uni.tokens // buckets, 10_000)
-        used |= dealt
-        number = np.cumsum(used) - 1
-        order = np.argsort(slot[event], kind="stable")
-        es, eh = slot[event][order], number[eh][order]
-        cuts = np.searchsorted(es, base)
-        out = [("part", bucket, b, pack(sums[base[i] : base[i + 1]], small(met[base[i] : base[i + 1]]), small(es[cuts[i] : cuts[i + 1]] - base[i]), small(eh[cuts[i] : cuts[i + 1]]))) for i, b in enumerate(blocks)]
-        out.append(("hist", bucket, None, pack(histories[used], total[used], n[used], large[used], mass[used], dealt[used])))
-        seen = np.flatnonzero(c > 0)
-        seen = seen[np.lexsort((pw[seen], ph[seen]))]
-        out.append(("table", bucket, None, pack(histories, small(np.bincount(hplace[seen], minlength=len(histories))), pw[seen], small(c[seen]))))
-        out.append(("numbers", bucket, None, pack(np.bincount(np.minimum(c, K + 2), minlength=K + 3))))
-        return rows_of(out)
+        bucket, blocks = part.column("bucket")[0].as_py(), part.column("block").to_pylist()
+        got = {x: part.column(x).to_pylist() for x in part.column_names if x not in ("bucket", "block")}
+        runs = [dec(x) for x in got["runs"]]
+        sizes = np.array([x.sum() for x in runs])
+        every = lambda name: np.concatenate([dec(x) for x in got[name]])
+        names = np.concatenate([hashes(x) for x in got["histories"]])
+        histories, first, number = np.unique(names, return_index=True, return_inverse=True)
+        total, lower = every("totals")[first], every("lowers")[first]
+        history = np.repeat(number, np.concatenate(runs))
+        word, under = every("words"), every("unders")
+        if len(histories) >> 23 or int(word.max(initial=0)) >> 40:
+            raise OverflowError("more than 2**23 histories in a bucket, or 2**40 words")
+        _, at, place = np.unique(history << 40 | word, return_index=True, return_inverse=True)
+        c = np.bincount(place, every("learnt"), len(at)).astype(np.int64)
+        h, word, under = history[at], word[at], under[at]
+        n = np.stack([np.bincount(h[c == r], minlength=len(histories)) for r in range(1, K + 1)], axis=1)
+        large = np.bincount(h, np.where(c > K, c, 0), len(histories)).astype(np.int64)
+        mass = np.bincount(h, np.where(c > 0, model.seen(order - 1, under, lower[h]), 0.0), len(histories))
+        cuts = row_starts(sizes)
+        replies: dict[str, list] = {"counts": [], "numbers": [], "large": [], "mass": []}
+        for i, needed in enumerate(map(hashes, got["needed"])):
+            own = np.searchsorted(histories, needed)
+            for name, x in (("counts", c[place[cuts[i] : cuts[i + 1]]]), ("numbers", n[own].ravel()), ("large", large[own])):
+                replies[name].append(enc(x))
+            replies["mass"].append(mass[own].astype("<f8").tobytes())
+        out = [_rows({"kind": ["reply"] * len(blocks), "bucket": [bucket] * len(blocks), "block": blocks} | replies, len(blocks))]
+        seen = np.flatnonzero(c)
+        out.append(_rows({"kind": ["gram"] * len(seen), "bucket": [bucket] * len(seen), "history": histories[h[seen]].view(np.int64), "word": word[seen], "count": c[seen]}, len(seen)))
+        wide = np.flatnonzero(total > model.share)
+        out.append(_rows({"kind": ["dealt"] * len(wide), "bucket": [bucket] * len(wide), "history": histories[wide].view(np.int64), "count": total[wide], "lower": lower[wide], "share": mass[wide], "x0": large[wide]} | {f"x{r}": n[wide, r - 1] for r in range(1, K + 1)}, len(wide)))
+        out.append(_rows({"kind": ["numbers"], "bucket": [bucket]} | {x: [int(y)] for x, y in zip(_COUNTS, _numbers(c), strict=True)}, 1))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def back_off_weights(uni: Unigrams, d: np.ndarray, total: np.ndarray, n: np.ndarray, large: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """alpha of histories: the mass their seen words leave over the unigram mass of the words they were not seen with."""
-    left = 1 - (large + n @ (d[1:] * np.arange(1, K + 1))) / (total + 1)
-    return left / np.maximum(1 - mass, uni.unknown)
+def with_replies(blocks: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """Blocks with their replies of all orders so far."""
+    whole = replies[0]
+    for x in replies[1:]:
+        whole = whole.unionByName(x)
+    lists = whole.groupBy("block").agg(F.collect_list(F.struct("order", "bucket", "shift", "counts", "numbers", "large", "mass")).alias("replies"))
+    return blocks.select("block", "ids", "words", "tokens", "sizes", "train").join(lists, "block")
 
 
-def dealt_weights(found: DataFrame, uni: Unigrams, d: np.ndarray) -> dict[int, float]:
-    """alpha of the histories dealt over all buckets; there are fewer than buckets of them."""
+def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS, range_pairs: int = RANGE_PAIRS, least_dealt: int = 10_000) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Scores of all rows, and by order the tables (bucket, history, word, count); those of order one name the word's hash history."""
+    blocks = stored(blocks_of(docs), "blocks")
 
-    def figures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                names, total, n, large, mass, dealt = unpack(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(names[dealt].view(np.int64)), pa.array(total[dealt]), *[pa.array(n[dealt][:, r].astype(np.float64)) for r in range(K)], pa.array(large[dealt].astype(np.float64)), pa.array(mass[dealt])], ["h", "total", *[f"n{r}" for r in range(K)], "large", "mass"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(dec(x).sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
 
-    names = [f"n{r}" for r in range(K)] + ["large", "mass"]
-    rows = found.where("kind = 'hist'").select("data").mapInArrow(figures, "h long, total long, " + ", ".join(f"{x} double" for x in names))
-    got = rows.groupBy("h", "total").agg(*[F.sum(x).alias(x) for x in names]).collect()
-    if not got:
-        return {}
-    a = back_off_weights(uni, d, np.array([x.total for x in got]), np.array([[x[f"n{r}"] for r in range(K)] for x in got]), np.array([x.large for x in got]), np.array([x.mass for x in got]))
-    return {x.h: float(y) for x, y in zip(got, a, strict=True)}
-
-
-def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, range_pairs: int = RANGE_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of all rows, and the tables of unigram and bigram counts by bucket."""
-    blocks = stored(blocks_of(docs), "blocks")
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
+    documents = blocks.select("train").mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
     ranges, buckets = -(-(size.words or 1) // range_pairs), -(-(size.tokens or 1) // bucket_tokens)
-    counted = stored(count_unigrams(blocks, ranges), "unigrams")
-
-    def numbers(frame: DataFrame) -> list[tuple]:
-        return [unpack(x.data) for x in frame.where("kind = 'numbers'").select("data").collect()]  # a few numbers a bucket
-
-    def trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counted = {1: stored(count_words(blocks, ranges), "words", "kind")}
+    tidy(docs.sparkSession)
+
+    def numbers(frame: DataFrame, *more: str) -> list[int]:
+        return [int(x or 0) for x in frame.where("kind = 'numbers'").agg(*[F.sum(x) for x in (*_COUNTS, *more)]).first()]
+
+    *n, words, tokens = numbers(counted[1], "word", "count")
+    model = Model(tokens, words, documents, max(tokens // buckets, least_dealt))
+    model.d[1] = discounts(np.array(n))
+    model.unknown = (1 + sum((1 - model.d[1][r]) * r * n[r] for r in range(1, K + 1))) / (tokens + 1)
+    # words are numbered range after range; there is one row a range here
+    shifts = counted[1].where("kind = 'numbers'").select("bucket", F.coalesce(F.sum("word").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    told = lambda m: counted[m].where("kind = 'reply'").withColumn("order", F.lit(m))
+    replies = [told(1).join(shifts, "bucket")]
+    for m in range(2, order + 1):
+        sent = with_replies(blocks, replies).mapInArrow(send(model, buckets, m), SENT)
+        counted[m] = stored(sent.groupBy("bucket").applyInArrow(count_grams(model, buckets, m), COUNTED), "grams", "kind")
+        tidy(docs.sparkSession)
+        model.d[m] = discounts(np.array(numbers(counted[m])))
+        hot = counted[m].where("kind = 'dealt'").groupBy("history").agg(F.max("count").alias("count"), F.max("lower").alias("lower"), F.sum("share").alias("share"), *[F.sum(x).alias(x) for x in _COUNTS[: K + 1]]).collect()  # fewer than buckets
+        figures = np.array([[x.x0, x["count"], x.lower, x.share, *(x[f"x{r}"] for r in range(1, K + 1))] for x in hot]).reshape(-1, K + 4)
+        names = np.array([x.history for x in hot], np.int64).view(U64)
+        by = np.argsort(names)
+        model.dealt[m] = (names[by], model.alpha(m, figures[:, 4:], figures[:, 0], figures[:, 3], figures[:, 1], figures[:, 2])[by])
+        replies.append(told(m).withColumn("shift", F.lit(0).cast("long")))
+
+    def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(unpack(x)[3].sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
-
-    got = numbers(counted)
-    documents = blocks.select("data").mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
-    sums = np.sum([x[0] for x in got], axis=0) if got else np.zeros(2)
-    uni = Unigrams.of(int(sums[0]), int(sums[1]), int(documents), np.sum([x[1] for x in got], axis=0) if got else np.zeros(K + 3))
-    replies = counted.where("kind = 'reply'").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("replies"))
-    ready = blocks.join(replies, "block").select("block", "ids", "data", "replies")
-    grams = ready.mapInArrow(emit_bigrams(uni, buckets), ROWS)
-    found = stored(grams.groupBy("bucket").applyInArrow(count_bigrams(uni, buckets), ROWS), "bigrams")
-    n = [x[0] for x in numbers(found)]
-    d = discounts(np.sum(n, axis=0) if n else np.zeros(K + 3))
-    dealt = dealt_weights(found, uni, d)
-
-    def weigh(part: pa.Table) -> pa.Table:
-        rows = list(zip(*(part.column(x).to_pylist() for x in ("kind", "block", "data")), strict=True))
-        alpha = np.zeros(0)
-        for kind, _, raw in rows:
-            if kind == "hist":
-                names, total, n, large, mass, wide = unpack(raw)
-                alpha = np.log10(np.maximum(back_off_weights(uni, d, total, n, large, mass), 1e-300))
-                for i in np.flatnonzero(wide):
-                    alpha[i] = np.log10(max(dealt[int(names[i].astype(np.int64))], 1e-300))
-        out = []
-        for kind, block, raw in rows:
-            if kind == "part":
-                sums, met, es, eh = unpack(raw)
-                total = sums + met @ np.log10(d[1:]) + np.bincount(es, alpha[eh], len(sums))
-                out.append(("sum", 0, block, pack(total)))
-            elif kind == "doc":
-                out.append((kind, 0, block, raw))
-        return rows_of(out)
-
-    def whole(part: pa.Table) -> pa.Table:
-        rows = list(zip(part.column("kind").to_pylist(), part.column("data").to_pylist(), strict=True))
-        ids, missing, sizes, known, base = unpack(next(x for k, x in rows if k == "doc"))
-        total = np.sum([unpack(x)[0] for k, x in rows if k == "sum"], axis=0)
-        return pa.table([pa.array(ids, mask=missing), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    parts = found.where("kind in ('part', 'hist', 'doc')").groupBy("bucket").applyInArrow(weigh, ROWS)
-    scored = parts.groupBy("block").applyInArrow(whole, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    scored = scored.withColumn("train_tokens", F.lit(uni.tokens).cast("long"))
-    return scored, counted.where("kind = 'table'").select("bucket", "data"), found.where("kind = 'table'").select("bucket", "data")
+            for i in range(batch.num_rows):
+                row = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
+                block = Block(row, model, buckets, order)
+                n, c = len(block.sizes), block.count[1]
+                sums = [np.bincount(block.doc, x, n) for x in (c > 0, np.log10((c + 1) / (model.tokens + model.words + 1)), block.scores(order))]
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = with_replies(blocks, replies).mapInArrow(final, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    tables = {m: x.where(F.col("kind").isin("word", "gram")).select("bucket", "history", "word", "count") for m, x in counted.items()}
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")), tables
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table, learnt from all but the held-out fold."""
-    scored, _, _ = score(table(spark, sf_dir, "documents"))
+    scored, _ = score(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
