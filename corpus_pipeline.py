@@ -1,12 +1,14 @@
 """The corpus pipeline over the documents table.
 
 Toxic documents go; repeated chunks of lines are cut; of each group of near
-copies the document with the smallest doc_id stays; documents with benchmark
+copies one row stays, that of the smallest doc_id; documents with benchmark
 passages go; the rest is encoded.  Each stage works on all rows its
 predecessor kept and, but for the last, returns the columns of documents.
 
-Rows with a null doc_id are never taken for copies of others; null texts pass
-the filters as texts without words.
+Each row is decided by itself: rows with one doc_id, or none, may go or stay
+apart, and of rows repeated whole one stays unless it has no words; null texts
+pass the filters as texts without words.  Columns beyond those of documents,
+whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from receptory.llm.bpe import encode_documents
 from receptory.llm.common import stored, table
 from receptory.llm.decontaminate import decontaminate
 from receptory.llm.line_dedup import dedup_lines
-from receptory.llm.ngram_jaccard import near_duplicates
+from receptory.llm.ngram_jaccard import one_of_each
 from receptory.llm.toxicity import fit_toxicity, without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,9 +40,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only ids that go are joined, so rows of a group's smallest id stay, as do rows without an id."""
-    found = near_duplicates(docs, LINK, SHINGLE)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return one_of_each(docs, LINK, SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
