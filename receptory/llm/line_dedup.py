@@ -1,26 +1,31 @@
-"""Line dedup by content-defined chunks of lines, in built-in functions only.
-
-A text is cut into lines: at line breaks, and longer lines after sentence ends
-or, without those, after LINE_CHARS characters.  A rolling hash over the last
-two line hashes chooses chunk boundaries, one in SPREAD; borders of text lines
-of several sentences are boundaries as well, and none is chosen that would leave
-one line of such a text line alone.  All depend on nearby content
-only, so what is inserted before a passage does not shift its chunks; but the
-cuts after LINE_CHARS characters do shift with it, and passages in text without
-sentence ends and line breaks are then not found.  A chunk
-of two lines or more, and of MIN_CHARS characters or more, that has an equal
-before it, in this or any document, is removed; the first by doc_id and place
-stays.  Equal keys are only a hint: a chunk is removed after its bytes are
-found equal to the first one's.  White space at a chunk's end is not compared.
+"""Line dedup by content-defined line chunks, in built-in functions only.
+
+A text is cut into short lines by what stands in it: at line breaks, after
+sentence ends, and after words of certain last letters, so inside long
+sentences and in text without punctuation too.  A rolling hash over two line
+hashes is taken at each line; where it is less than at both neighbours a chunk
+begins.  So chunks have two lines or more, mostly three, and depend on nearby
+content only: what is inserted before a passage does not shift its chunks.
+
+Of chunks with equal text the first by doc_id and place leads.  Equal keys are
+only a hint: each other chunk's bytes are compared with the first's, and then
+line by line what stands before and after both, as far as the neighbouring
+chunks go, which are known not to match whole.  Ranges of lines found equal
+that touch are one region; a region of MIN_CHARS characters or more is removed.
+Each removed line thus has an equal one earlier that its place refers to, and
+so the first of them stays.  White space at the ends of lines is not compared.
 
 The counts of keys are aggregated before they are shuffled; only chunks whose
-key occurs again are joined, and only documents that lose a chunk are put
-together anew; all others pass as they are.
+key occurs again are joined, a frequent key's in shares with a copy of the first
+each, and only documents that lose text are put together anew.
 
 Edge cases: a null text stays null and an empty one empty; a document all of
-whose chunks came before keeps its row with an empty text; rows with one
-doc_id count as one document when the first is chosen, so equal ones are kept
-or cut alike; a null doc_id sorts last; other columns pass unchanged.
+whose text came before keeps its row with an empty text; rows equal in doc_id
+and text are one document, and are kept or cut alike; rows of one doc_id, or of
+none, with different texts are different documents, ordered by a hash of the
+text; a null doc_id sorts last; doc_id is an integer column; other columns pass
+unchanged, but for n_chars, which is set anew; columns of the input named as
+those added here are replaced.
 """
 
 from __future__ import annotations
@@ -29,101 +34,146 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from receptory.llm.bits import bitmap, marked, within
-from receptory.llm.common import discard, stored, table
+from receptory.llm.common import discard, stored, table, tidy
 
-LINE_CHARS, SPREAD, MIN_LINES, MIN_CHARS = 160, 4, 2, 60
-LINE_PATTERN = rf"[^\n.!?]{{0,{LINE_CHARS}}}(?:[.!?]+ *\n?|\n)|[^\n.!?]{{1,{LINE_CHARS}}}"
+#: Characters of the longest line, of the shortest chunk that is looked for again, and of the shortest region that is removed.
+LINE_CHARS, SEED_CHARS, MIN_CHARS = 160, 24, 120
+#: Ends of lines: sentence ends, line breaks, commas and last letters of words (one word in four or so), some ideographs.
+LINE_PATTERN = rf"[^\n]{{0,{LINE_CHARS - 1}}}?(?:[.!?。！？]+ *\n?|\n|[dr,;:йт،] |[、，一-俿])|[^\n]{{1,{LINE_CHARS}}}"
 #: Stands for a null doc_id; sorts last.
 LAST = (1 << 63) - 1
+#: Chunks that one copy of the first chunk is compared with.
+SHARE = 1000
+_ADDED = ("removed_chunks", "removed_chars")
+
+
+def put(df: DataFrame, name: str, value: str) -> DataFrame:
+    """Adds a column that is computed once; projections would be merged and arrays recomputed for every element."""
+    return df.select("*", F.explode(F.array(F.expr(value))).alias(name))
+
+
+def lined(rows: DataFrame) -> DataFrame:
+    """Adds lines, the array of the text's lines; together they are the text."""
+    return rows.select("*", F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE_PATTERN), F.lit(0)))).alias("lines"))
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """Adds chunks, an array of structs (k, lines, body), to rows with a text."""
-
-    def put(df: DataFrame, name: str, value: Column) -> DataFrame:
-        # a generator keeps each array computed once; projections would be merged and arrays recomputed for every element
-        return df.select("*", F.explode(F.array(value)).alias(name))
-
-    out = put(rows, "lines", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE_PATTERN), F.lit(0)))
-    hashes = F.expr(r"transform(lines, u -> named_struct('h', cast(conv(substr(md5(trim(trailing ' \n' from u)), 1, 8), 16, 10) as bigint), 'e', endswith(u, '\n')))")
-    out = put(out, "h", hashes)
-    forced = F.expr("transform(h, (x, i) -> i = 0 or (get(h, i - 1).e and not x.e and i < size(h) - 1) or (i >= 2 and get(h, i - 1).e and not get(h, i - 2).e))")
-    out = put(out, "forced", forced)
-    hit = lambda i: f"((get(h, {i} - 2).h * 31 + get(h, {i} - 1).h) % {SPREAD} = 0)"
-    free = f"not get(forced, i - 1) and {hit('i')} and (get(forced, i - 2) or not {hit('(i - 1)')}) and not coalesce(get(forced, i + 1), true)"
-    starts = F.expr(f"filter(transform(forced, (f, i) -> if(f or (i >= 2 and {free}), i, -1)), s -> s >= 0)")
-    out = put(out, "starts", starts)
-    chunks = F.expr("transform(starts, (s, j) -> named_struct('k', j, 'lines', coalesce(get(starts, j + 1), size(h)) - s, 'body', array_join(slice(lines, s + 1, coalesce(get(starts, j + 1), size(h)) - s), '')))")
-    out = put(out, "chunks", chunks)
-    return out.drop("lines", "h", "forced", "starts")
-
-
-def _bare(column: str) -> Column:
-    return F.expr(rf"trim(trailing ' \n' from {column})")
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """(doc_id, k, body, key) of the chunks that may be removed."""
-    one = chunked(rows).select("doc_id", F.explode("chunks").alias("c")).where((F.col("c.lines") >= MIN_LINES) & (F.length("c.body") >= MIN_CHARS))
-    one = one.select("doc_id", F.col("c.k").alias("k"), _bare("c.body").alias("body"))
-    return one.withColumn("key", F.xxhash64("body"))
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, k) of every chunk to remove."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    light = stored(candidates(rows).select("key", "doc_id", "k"), "chunks")
-    again = light.groupBy("key").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.max(F.struct("doc_id", "k")).alias("last")).where("first <> last").select("key", "first")
-    again = stored(again, "again")
+    """Adds lines and starts, the places of the lines that begin a chunk."""
+    out = put(lined(rows), "h", "transform(lines, u -> (cast(ascii(u) as bigint) * 961 + ascii(substr(u, 3, 1)) * 31 + ascii(substr(u, 5, 1))) * 40503 % 65521)")
+    out = put(out, "r", "transform(h, (x, i) -> if(i = 0, x, (get(h, i - 1) * 31 + x) % 65521))")
+    out = put(out, "starts", "if(size(r) = 0, array(), filter(sequence(0, greatest(size(r) - 1, 0)), i -> i = 0 or (i >= 2 and get(r, i) < get(r, i - 1) and get(r, i) <= get(r, i + 1))))")
+    return out.drop("h", "r")
+
+
+def _bare(text: str) -> str:
+    return rf"trim(trailing ' \n' from {text})"
+
+
+def chunk_keys(rows: DataFrame) -> DataFrame:
+    """(doc_id, rid, k, key) of the chunks of SEED_CHARS characters or more."""
+    chunks = F.expr("transform(starts, (s, k) -> named_struct('k', k, 'bare', " + _bare("array_join(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), '')") + "))")
+    one = chunked(rows).select("doc_id", "rid", F.explode(chunks).alias("c")).where(F.length("c.bare") >= SEED_CHARS)
+    return one.select("doc_id", "rid", F.col("c.k").alias("k"), F.xxhash64("c.bare").alias("key"))
+
+
+def chunk_spans(rows: DataFrame) -> DataFrame:
+    """The same with span, the lines of the chunk and of the ones before and after it; the chunk is [a, b) there, and line s of the text is its first."""
+    end = "coalesce(get(starts, k + 1), size(lines))"
+    chunks = F.expr(f"transform(starts, (s, k) -> named_struct('k', k, 's', s, 'e', {end}, 'p', coalesce(get(starts, k - 1), 0), 'q', coalesce(get(starts, k + 2), size(lines)), 'bare', {_bare(f"array_join(slice(lines, s + 1, {end} - s), '')")}))")
+    one = chunked(rows).select("doc_id", "rid", "lines", F.explode(chunks).alias("c")).where(F.length("c.bare") >= SEED_CHARS)
+    return one.select("doc_id", "rid", F.col("c.k").alias("k"), F.xxhash64("c.bare").alias("key"), "c.s", F.expr("c.s - c.p").alias("a"), F.expr("c.e - c.p").alias("b"), F.expr("slice(lines, c.p + 1, c.q - c.p)").alias("span"))
+
+
+def _same(n: str, mine: str, first: str) -> str:
+    """How many lines are equal one after another, of at most n; mine and first are their places at step j."""
+    return f"if({n} <= 0, 0, aggregate(sequence(1, {n}), 0, (m, j) -> if(m = j - 1 and {_bare(f'get(span, {mine})')} = {_bare(f'get(first_span, {first})')}, m + 1, m)))"
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, ranges): of each text the sorted ranges (f, t) of lines that came before."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rid"), F.col("text").cast("string").alias("text"))
+    light = stored(chunk_keys(rows), "chunks")
+    place = F.struct("doc_id", "rid", "k")
+    again = light.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last")
+    again = stored(again.select("key", "first", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "again")
+    tidy(docs.sparkSession)
     keys = bitmap(again, "key")
-    holders = bitmap(within(light, "key", keys), "doc_id")
-    bodies = within(candidates(within(rows, "doc_id", holders)), "key", keys).dropDuplicates(["key", "doc_id", "k", "body"])
-    found = stored(bodies.join(again, "key"), "bodies")
-    own = F.struct("doc_id", "k") == F.col("first")
-    first = found.where(own).select("key", F.col("body").alias("first_body"))
-    gone = stored(found.where(~own).join(first, "key").where("body = first_body").select("doc_id", "k").distinct(), "removed")
+    holders = bitmap(within(light, "key", keys), "rid")
+    found = within(chunk_spans(within(rows, "rid", holders)), "key", keys).join(again, "key")
+    found = stored(found.withColumn("share", F.expr("cast(pmod(rid, shares) as int)")).withColumn("leads", place == F.col("first")), "spans")
+    first = found.where("leads").dropDuplicates(["key"]).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("span").alias("first_span"), F.col("a").alias("fa"), F.col("b").alias("fb"))
+    both = found.where("not leads").join(first, ["key", "share"])
+    both = both.where(f"{_bare("array_join(slice(span, a + 1, b - a), '')")} = {_bare("array_join(slice(first_span, fa + 1, fb - fa), '')")}")
+    before = _same("least(a, fa)", "a - j", "fa - j")
+    after = _same("least(size(span) - b, size(first_span) - fb)", "b + j - 1", "fb + j - 1")
+    ranges = both.select("doc_id", "rid", F.expr(f"s - {before}").alias("f"), F.expr(f"s + b - a + {after}").alias("t"))
+    gone = stored(ranges.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("f", "t"))).alias("ranges")), "ranges")
     discard(light, again, keys, holders, found)
+    tidy(docs.sparkSession)
     return gone
 
 
+#: Ranges that overlap or touch as regions, those of MIN_CHARS characters or more.
+_REGIONS = (
+    "filter(aggregate(ranges, cast(array() as array<struct<f: int, t: int>>), (z, x) -> "
+    "if(size(z) > 0 and x.f <= element_at(z, -1).t, concat(slice(z, 1, size(z) - 1), array(named_struct('f', element_at(z, -1).f, 't', greatest(element_at(z, -1).t, x.t)))), concat(z, array(x)))), "
+    f"z -> length(array_join(slice(lines, z.f + 1, z.t - z.f), '')) >= {MIN_CHARS})"
+)
+_KEPT = (
+    "aggregate(regions, named_struct('out', '', 'at', 0), (z, x) -> named_struct('out', concat(z.out, array_join(slice(lines, z.at + 1, x.f - z.at), '')), 'at', x.t), "
+    "z -> concat(z.out, array_join(slice(lines, z.at + 1, size(lines) - z.at), '')))"
+)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks cut from text and n_chars (if there) set anew; adds removed_chunks and removed_chars."""
-    gone = repeated_chunks(docs)
-    touched = bitmap(gone, "doc_id")
-    lists = gone.groupBy("doc_id").agg(F.collect_set("k").alias("removed")).select(F.col("doc_id").alias("removed_of"), "removed")
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = marked(rows, "doc_id", touched)
+    """docs with repeated regions cut from text and n_chars (if there) set anew; adds removed_chunks, the number of regions, and removed_chars."""
+    gone = repeated_ranges(docs)
+    touched = bitmap(gone, "rid")
+    names = [x for x in docs.columns if x not in _ADDED]
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rid"), F.col("text").cast("string").alias("text"))
+    rows = marked(rows, "rid", touched)
     same = rows.where("not perhaps").select("row", F.col("text"), F.lit(0).alias("removed_chunks"))
-    cut = chunked(rows.where("perhaps").join(lists, F.col("doc_id") == F.col("removed_of"), "left"))
-    kept = F.expr("array_join(transform(filter(chunks, c -> not array_contains(removed, c.k)), c -> c.body), '')")
-    cut = cut.select("row", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.expr("size(filter(removed, x -> true))"), F.lit(0)).alias("removed_chunks"))
+    cut = lined(rows.where("perhaps").join(gone, ["doc_id", "rid"], "left"))
+    cut = put(cut, "regions", f"if(ranges is null, cast(array() as array<struct<f: int, t: int>>), {_REGIONS})")
+    cut = cut.select("row", F.expr(f"if(size(regions) = 0, text, {_KEPT})").alias("text"), F.size("regions").alias("removed_chunks"))
     both = same.unionByName(cut)
     columns = [F.col("text") if x == "text" else F.length("text").cast(docs.schema[x].dataType).alias(x) if x == "n_chars" else F.col(f"row.`{x}`").alias(x) for x in names]
-    return both.select(*columns, "removed_chunks", (F.length(F.col("row.text").cast("string")) - F.length("text")).alias("removed_chars"))
+    removed = F.coalesce(F.length(F.col("row.text").cast("string")) - F.length("text"), F.lit(0))
+    return both.select(*columns, F.col("removed_chunks").cast("long").alias("removed_chunks"), removed.cast("long").alias("removed_chars"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
-    return done.select("doc_id", "text", F.coalesce(F.greatest("removed_chunks", F.lit(0)), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "removed_chunks", "removed_chars")
 
 
 OP9_SQL = rf"""
-with r as (select row_number() over () as rid, doc_id, text, coalesce(doc_id, {LAST}) as id, regexp_extract_all(coalesce(text, ''), '{LINE_PATTERN.replace(chr(92) + "n", chr(10))}') as lines from documents),
-u as (select rid, id, i, lines[i] as line, len(lines) as n from (select rid, id, lines, unnest(range(1, len(lines) + 1)) as i from r)),
-a as (select *, cast('0x' || substr(md5(rtrim(line, e' \n')), 1, 8) as bigint) as h, ends_with(line, e'\n') as e from u),
-b as (select *, lag(h) over w as h1, lag(h, 2) over w as h2, coalesce(lag(e) over w, false) as e1, lag(e, 2) over w as e2 from a window w as (partition by rid order by i)),
-f as (select *, i = 1 or (e1 and not e and i < n) or (e1 and not coalesce(e2, true)) as forced from b),
-v as (select *, coalesce((h2 * 31 + h1) % {SPREAD} = 0, false) as hit, coalesce(lag(forced) over w, true) as f1, coalesce(lag(forced, 2) over w, false) as f2, coalesce(lead(forced) over w, true) as f9 from f window w as (partition by rid order by i)),
-g as (select *, forced or (i > 2 and not f1 and hit and (f2 or not coalesce(lag(hit) over w, false)) and not f9) as start from v window w as (partition by rid order by i)),
-k as (select *, sum(cast(start as int)) over (partition by rid order by i) - 1 as k from g),
-c as (select rid, id, k, count(*) as lines, string_agg(line, '' order by i) as body from k group by rid, id, k),
-d as (select *, rtrim(body, e' \n') as bare, lines >= {MIN_LINES} and length(body) >= {MIN_CHARS} as able from c),
-z as (select bare, min((id, k)) as first from d where able group by bare),
-x as (select d.*, able and (id, k) <> first as gone from d left join z on d.able and d.bare = z.bare),
-o as (select rid, string_agg(case when not coalesce(gone, false) then body else '' end, '' order by k) as text, count(distinct k) filter (gone) as removed from x group by rid)
-select r.doc_id, case when coalesce(removed, 0) > 0 then o.text else r.text end as text, cast(coalesce(removed, 0) as bigint) as removed_chunks,
-  cast(case when coalesce(removed, 0) > 0 then length(r.text) - length(o.text) else 0 end as bigint) as removed_chars
-from r left join o using (rid)
+with r as (select row_number() over () as rid, coalesce(doc_id, {LAST}) as id, doc_id, text, regexp_extract_all(coalesce(text, ''), '{LINE_PATTERN.replace(chr(92) + "n", chr(10))}') as lines from documents),
+u as (select rid, id, i - 1 as i, lines[i] as line from (select rid, id, lines, unnest(range(1, len(lines) + 1)) as i from r)),
+a as (select *, (cast(ascii(line) as bigint) * 961 + ascii(substr(line, 3, 1)) * 31 + ascii(substr(line, 5, 1))) * 40503 % 65521 as h, rtrim(line, e' \n') as bare from u),
+b as (select *, coalesce((lag(h) over w * 31 + h) % 65521, h) as r from a window w as (partition by rid order by i)),
+c as (select *, i = 0 or (i >= 2 and coalesce(r < lag(r) over w and r <= lead(r) over w, false)) as start from b window w as (partition by rid order by i)),
+d as (select *, sum(cast(start as int)) over (partition by rid order by i) - 1 as k from c),
+e as (select rid, id, k, min(i) as s, max(i) + 1 as t, rtrim(string_agg(line, '' order by i), e' \n') as body from d group by rid, id, k),
+f as (select *, coalesce(lag(s) over w, s) as p, coalesce(lead(t) over w, t) as q from e window w as (partition by rid order by k)),
+z as (select body, min((id, rid, k)) as first, max((id, rid, k)) as last from f where length(body) >= {SEED_CHARS} group by body),
+m as (
+  select row_number() over () as m, x.rid, x.s, x.t, x.p, x.q, y.rid as frid, y.s as fs, y.t as ft, y.p as fp, y.q as fq
+  from f x join z on x.body = z.body and first <> last and (x.id, x.rid, x.k) <> first join f y on (y.id, y.rid, y.k) = first),
+j as (
+  select m, 0 as side, rid, frid, s, fs, t, ft, unnest(range(1, least(s - p, fs - fp) + 1)) as j from m
+  union all select m, 1, rid, frid, s, fs, t, ft, unnest(range(1, least(q - t, fq - ft) + 1)) from m),
+n as (
+  select j.m, side, coalesce(min(j) filter (x.bare <> y.bare) - 1, count(*)) as n
+  from j join a x on x.rid = j.rid and x.i = case side when 0 then s - j else t + j - 1 end join a y on y.rid = j.frid and y.i = case side when 0 then fs - j else ft + j - 1 end
+  group by j.m, side),
+g as (select distinct rid, unnest(range(s - coalesce((select n from n where n.m = m.m and side = 0), 0), t + coalesce((select n from n where n.m = m.m and side = 1), 0))) as i from m),
+o as (select rid, i, i - row_number() over (partition by rid order by i) as island from g),
+l as (select o.rid, island, sum(length(line)) as n from o join u on u.rid = o.rid and u.i = o.i group by o.rid, island having sum(length(line)) >= {MIN_CHARS}),
+x as (select distinct o.rid, o.i from o join l on l.rid = o.rid and l.island = o.island),
+k as (select u.rid, coalesce(string_agg(line, '' order by u.i) filter (x.i is null), '') as text, count(x.i) as cut from u left join x on x.rid = u.rid and x.i = u.i group by u.rid),
+v as (select rid, count(*) as removed from l group by rid)
+select r.doc_id, case when v.removed > 0 then k.text else r.text end as text, cast(coalesce(v.removed, 0) as bigint) as removed_chunks,
+  cast(case when v.removed > 0 then length(r.text) - length(k.text) else 0 end as bigint) as removed_chars
+from r left join k using (rid) left join v using (rid)
 """

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from receptory.llm import bpe, decontaminate, line_dedup, order_minhash, pii, quality, toxicity, warc
+from receptory.llm import bpe, decontaminate, order_minhash, pii, quality, toxicity, warc
 
 SCHEMA = "doc_id long, text string, n_chars long"
 
@@ -192,17 +192,6 @@ def test_bpe_against_library(spark):
     assert {x.decoded_sha256 for x in got} == {hashlib.sha256((t or "").encode()).hexdigest() for t in texts}
 
 
-def test_line_dedup(spark):
-    r = random.Random(7)
-    passage = ". ".join(words(r, 9) for _ in range(7)) + "."
-    texts = [words(r, 40), passage + "\nown " + words(r, 9), "start " + words(r, 7) + "\n" + passage, "x\n" + passage + "\n" + words(r, 30), None, ""]
-    got = {(x.doc_id, x.text) for x in line_dedup.dedup_lines(docs(spark, texts)).collect()}
-    text = dict(got)
-    assert text[0] == texts[0] and text[1] == texts[1] and (None if None in text else 4) in text and text[5 if 5 in text else None] in ("", None)
-    assert text[2] == texts[2].replace(passage, "") and text[3] == texts[3].replace(passage + "\n", "")
-    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
-
-
 def test_quality(spark):
     r = random.Random(8)
     good, bad = [words(r, 50) + "." for _ in range(40)], [" | ".join(words(r, 50).split()) for _ in range(40)]
