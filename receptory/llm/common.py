@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes worked on at once inside a Python worker; one longer document is taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -40,10 +41,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cut lineage: write df once to the shared folder, in partitions by some columns if given, and read it back."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write df once to the shared folder and read it back."""
     path = shared_dir(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -108,6 +109,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for later tasks, and what it holds counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def text_offsets(array: pa.Array) -> np.ndarray:

@@ -22,8 +22,9 @@ weights are the only part of the model that every executor gets.  With all
 counts of its n-grams and the figures of the histories where its held-out
 texts may back off, a block evaluates the recursion token by token.
 
-Counts stay in stored tables, partitioned by kind: words (word hash, number,
-count) and n-grams (history hash, word number, count) by bucket.
+Counts stay in stored tables, partitioned by bucket of the history's hash: of
+each word its hash, number and count, and of each history the numbers of the
+words seen after it and their counts.
 
 Edge cases: null and empty texts are one end token; repeated rows are learnt
 and scored each; null ids fall in the fold of the empty text; doc_id is an
@@ -54,11 +55,10 @@ K = 5
 FOLDS, HELD = 7, 2
 #: Text bytes of a block; tokens of a bucket; (block, word) pairs of a range of words.
 BLOCK_BYTES, BUCKET_TOKENS, RANGE_PAIRS = 6 << 20, 1_000_000, 1_000_000
-END, BEGIN = U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47)
+END = U64(0x2545F4914F6CDD1D)
 _PAIR = U64(0xC2B2AE3D27D4EB4F)
-_COUNTS = [f"x{i}" for i in range(K + 3)]
 BLOCKS = "block long, n_tokens long, n_words long, ids array<long>, words binary, tokens binary, sizes binary, train binary"
-COUNTED = "kind string, bucket int, block long, counts binary, numbers binary, large binary, mass binary, history long, word long, count long, lower long, share double, " + ", ".join(f"{x} long" for x in _COUNTS)
+COUNTED = "kind string, bucket int, block long, counts binary, numbers binary, large binary, mass binary, history long, words array<long>, totals array<long>, stats array<long>, share double"
 
 
 def enc(x: np.ndarray) -> bytes:
@@ -140,9 +140,13 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 def _rows(columns: dict[str, list], n: int, schema: str = COUNTED) -> pa.RecordBatch:
     """A batch of the schema from some of its columns; the others are null."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     names = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds[t]) if x in columns else pa.nulls(n, kinds[t]) for x, t in names], [x for x, _ in names])
+    return pa.RecordBatch.from_arrays([(columns[x] if isinstance(columns[x], pa.Array) else pa.array(columns[x], kinds[t])) if x in columns else pa.nulls(n, kinds[t]) for x, t in names], [x for x, _ in names])
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
 def _numbers(counts: np.ndarray) -> np.ndarray:
@@ -171,26 +175,31 @@ def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
         number = np.cumsum(counts > 0) - 1
         own = [place[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         out = [_rows({"kind": ["reply"] * len(own), "bucket": [bucket] * len(own), "block": blocks, "counts": [enc(counts[x]) for x in own], "numbers": [enc(np.maximum(number[x], 0)) for x in own]}, len(own))]
-        out.append(_rows({"kind": ["word"] * len(seen), "bucket": [bucket] * len(seen), "history": words[seen].view(np.int64), "word": number[seen], "count": counts[seen]}, len(seen)))
-        out.append(_rows({"kind": ["numbers"], "bucket": [bucket], "word": [len(seen)], "count": [int(counts.sum())]} | {x: [int(y)] for x, y in zip(_COUNTS, _numbers(counts), strict=True)}, 1))
+        out.append(_rows({"kind": ["word"] * len(seen), "bucket": [bucket] * len(seen), "history": words[seen].view(np.int64), "words": _lists(number[seen], np.arange(len(seen) + 1)), "totals": _lists(counts[seen], np.arange(len(seen) + 1))}, len(seen)))
+        out.append(_rows({"kind": ["numbers"], "bucket": [bucket], "stats": [[*_numbers(counts).tolist(), len(seen), int(counts.sum())]]}, 1))
         return pa.Table.from_batches(out)
 
     return blocks.select("block", "words", "tokens", "sizes", "train").mapInArrow(deal, "bucket int, block long, words binary, counts binary").groupBy("bucket").applyInArrow(total, COUNTED)
 
 
 class Block:
-    """A block's tokens with what is known of them: by order the hash and the training count of the n-gram that ends at each token."""
+    """A block's tokens with what is known of them: by order a name and the training count of the n-gram that ends at each token.
+
+    A single word's name is its number and one, that of a text's beginning 0,
+    and those of longer n-grams are hashes.  Unknown words have any number, as
+    no n-gram with them is asked for.
+    """
 
     def __init__(self, row: dict, model: Model, buckets: int, known: int) -> None:
         self.model, self.buckets = model, buckets
-        self.words, self.token = hashes(row["words"]), dec(row["tokens"])
+        token = dec(row["tokens"])
         self.sizes, train = dec(row["sizes"]), dec(row["train"]).astype(bool)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train, self.first = train[self.doc], np.cumsum(self.sizes) - self.sizes
         replies = sorted(row["replies"], key=lambda x: (x["order"], x["bucket"]))
         own = [x for x in replies if x["order"] == 1]
-        self.number = np.concatenate([dec(x["numbers"]) + x["shift"] for x in own])[self.token]
-        self.gram, self.count = {1: self.words[self.token]}, {1: np.concatenate([dec(x["counts"]) for x in own])[self.token]}
+        self.number = np.concatenate([dec(x["numbers"]) + x["shift"] for x in own])[token]
+        self.gram, self.count = {1: self.number.astype(U64) + U64(1)}, {1: np.concatenate([dec(x["counts"]) for x in own])[token]}
         self.alpha: dict[int, np.ndarray] = {}
         for order in range(2, known + 1):
             self.learn(order, [x for x in replies if x["order"] == order])
@@ -204,9 +213,9 @@ class Block:
 
     def histories(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each token its history's hash, count, shorter history's count, and whether the history is dealt over all buckets."""
-        begin = np.array([BEGIN])
+        begin = np.zeros(1, U64)
         for _ in range(order - 2):
-            begin = mix(begin * _PAIR + BEGIN)
+            begin = mix(begin * _PAIR)
         history, count = self.before(self.gram[order - 1], begin[0]), self.before(self.count[order - 1], self.model.documents)
         lower = self.before(self.count[order - 2], self.model.documents) if order > 2 else np.full(len(count), self.model.tokens)
         return history, count, lower, count > self.model.share
@@ -286,7 +295,7 @@ def send(model: Model, buckets: int, order: int):
                     own = at[cuts[b] : cuts[b + 1]]
                     new = np.flatnonzero(np.concatenate([[True], history[own[1:]] != history[own[:-1]]])) if len(own) else np.zeros(0, np.int64)
                     heads = own[new]
-                    out.append((int(b), row["block"], history[heads].astype("<u8").tobytes(), enc(count[heads]), enc(lower[heads]), enc(np.diff(np.append(new, len(own)))), enc(block.number[own]), enc(block.count[order - 1][own]), enc(learnt[cuts[b] : cuts[b + 1]]), history[needed[needs[b] : needs[b + 1]]].astype("<u8").tobytes()))
+                    out.append((int(b), row["block"], enc(history[heads]), enc(count[heads]), enc(lower[heads]), enc(np.diff(np.append(new, len(own)))), enc(block.number[own]), enc(block.count[order - 1][own]), enc(learnt[cuts[b] : cuts[b + 1]]), enc(history[needed[needs[b] : needs[b + 1]]])))
                     if len(out) == 64:
                         yield _rows(dict(zip([x.split()[0] for x in SENT.split(", ")], zip(*out, strict=True), strict=True)), len(out), SENT)
                         out = []
@@ -305,7 +314,7 @@ def count_grams(model: Model, buckets: int, order: int):
         runs = [dec(x) for x in got["runs"]]
         sizes = np.array([x.sum() for x in runs])
         every = lambda name: np.concatenate([dec(x) for x in got[name]])
-        names = np.concatenate([hashes(x) for x in got["histories"]])
+        names = every("histories").view(U64)
         histories, first, number = np.unique(names, return_index=True, return_inverse=True)
         total, lower = every("totals")[first], every("lowers")[first]
         history = np.repeat(number, np.concatenate(runs))
@@ -320,17 +329,20 @@ def count_grams(model: Model, buckets: int, order: int):
         mass = np.bincount(h, np.where(c > 0, model.seen(order - 1, under, lower[h]), 0.0), len(histories))
         cuts = row_starts(sizes)
         replies: dict[str, list] = {"counts": [], "numbers": [], "large": [], "mass": []}
-        for i, needed in enumerate(map(hashes, got["needed"])):
-            own = np.searchsorted(histories, needed)
+        for i, needed in enumerate(map(dec, got["needed"])):
+            own = np.searchsorted(histories, needed.view(U64))
             for name, x in (("counts", c[place[cuts[i] : cuts[i + 1]]]), ("numbers", n[own].ravel()), ("large", large[own])):
                 replies[name].append(enc(x))
             replies["mass"].append(mass[own].astype("<f8").tobytes())
         out = [_rows({"kind": ["reply"] * len(blocks), "bucket": [bucket] * len(blocks), "block": blocks} | replies, len(blocks))]
-        seen = np.flatnonzero(c)
-        out.append(_rows({"kind": ["gram"] * len(seen), "bucket": [bucket] * len(seen), "history": histories[h[seen]].view(np.int64), "word": word[seen], "count": c[seen]}, len(seen)))
+        seen = np.flatnonzero(c)  # by history and word
+        whose, heads = np.unique(h[seen], return_index=True)
+        heads = np.append(heads, len(seen))
+        out.append(_rows({"kind": ["gram"] * len(whose), "bucket": [bucket] * len(whose), "history": histories[whose].view(np.int64), "words": _lists(word[seen], heads), "totals": _lists(c[seen], heads)}, len(whose)))
         wide = np.flatnonzero(total > model.share)
-        out.append(_rows({"kind": ["dealt"] * len(wide), "bucket": [bucket] * len(wide), "history": histories[wide].view(np.int64), "count": total[wide], "lower": lower[wide], "share": mass[wide], "x0": large[wide]} | {f"x{r}": n[wide, r - 1] for r in range(1, K + 1)}, len(wide)))
-        out.append(_rows({"kind": ["numbers"], "bucket": [bucket]} | {x: [int(y)] for x, y in zip(_COUNTS, _numbers(c), strict=True)}, 1))
+        stats = np.concatenate([large[wide, None], n[wide], total[wide, None], lower[wide, None]], axis=1)
+        out.append(_rows({"kind": ["dealt"] * len(wide), "bucket": [bucket] * len(wide), "history": histories[wide].view(np.int64), "stats": stats.tolist(), "share": mass[wide]}, len(wide)))
+        out.append(_rows({"kind": ["numbers"], "bucket": [bucket], "stats": [_numbers(c).tolist()]}, 1))
         return pa.Table.from_batches(out)
 
     return run
@@ -342,7 +354,7 @@ def with_replies(blocks: DataFrame, replies: list[DataFrame]) -> DataFrame:
     for x in replies[1:]:
         whole = whole.unionByName(x)
     lists = whole.groupBy("block").agg(F.collect_list(F.struct("order", "bucket", "shift", "counts", "numbers", "large", "mass")).alias("replies"))
-    return blocks.select("block", "ids", "words", "tokens", "sizes", "train").join(lists, "block")
+    return blocks.select("block", "ids", "tokens", "sizes", "train").join(lists, "block")
 
 
 def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS, range_pairs: int = RANGE_PAIRS, least_dealt: int = 10_000) -> tuple[DataFrame, dict[int, DataFrame]]:
@@ -356,30 +368,31 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
     documents = blocks.select("train").mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
     ranges, buckets = -(-(size.words or 1) // range_pairs), -(-(size.tokens or 1) // bucket_tokens)
-    counted = {1: stored(count_words(blocks, ranges), "words", "kind")}
+    counted = {1: stored(count_words(blocks, ranges), "words")}
     tidy(docs.sparkSession)
 
-    def numbers(frame: DataFrame, *more: str) -> list[int]:
-        return [int(x or 0) for x in frame.where("kind = 'numbers'").agg(*[F.sum(x) for x in (*_COUNTS, *more)]).first()]
+    def numbers(frame: DataFrame, n: int) -> list[int]:
+        return [int(x or 0) for x in frame.where("kind = 'numbers'").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(n)]).first()]
 
-    *n, words, tokens = numbers(counted[1], "word", "count")
+    *n, words, tokens = numbers(counted[1], K + 5)
     model = Model(tokens, words, documents, max(tokens // buckets, least_dealt))
     model.d[1] = discounts(np.array(n))
     model.unknown = (1 + sum((1 - model.d[1][r]) * r * n[r] for r in range(1, K + 1))) / (tokens + 1)
     # words are numbered range after range; there is one row a range here
-    shifts = counted[1].where("kind = 'numbers'").select("bucket", F.coalesce(F.sum("word").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    shifts = counted[1].where("kind = 'numbers'").select("bucket", F.coalesce(F.sum(F.get("stats", F.lit(K + 3))).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     told = lambda m: counted[m].where("kind = 'reply'").withColumn("order", F.lit(m))
     replies = [told(1).join(shifts, "bucket")]
     for m in range(2, order + 1):
         sent = with_replies(blocks, replies).mapInArrow(send(model, buckets, m), SENT)
-        counted[m] = stored(sent.groupBy("bucket").applyInArrow(count_grams(model, buckets, m), COUNTED), "grams", "kind")
+        counted[m] = stored(sent.groupBy("bucket").applyInArrow(count_grams(model, buckets, m), COUNTED), "grams")
         tidy(docs.sparkSession)
-        model.d[m] = discounts(np.array(numbers(counted[m])))
-        hot = counted[m].where("kind = 'dealt'").groupBy("history").agg(F.max("count").alias("count"), F.max("lower").alias("lower"), F.sum("share").alias("share"), *[F.sum(x).alias(x) for x in _COUNTS[: K + 1]]).collect()  # fewer than buckets
-        figures = np.array([[x.x0, x["count"], x.lower, x.share, *(x[f"x{r}"] for r in range(1, K + 1))] for x in hot]).reshape(-1, K + 4)
-        names = np.array([x.history for x in hot], np.int64).view(U64)
+        model.d[m] = discounts(np.array(numbers(counted[m], K + 3)))
+        sums = [F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 1)] + [F.max(F.get("stats", F.lit(i))).alias(f"x{i}") for i in (K + 1, K + 2)]
+        hot = counted[m].where("kind = 'dealt'").groupBy("history").agg(F.sum("share").alias("share"), *sums).collect()  # fewer than buckets
+        x = np.array([[row[f"x{i}"] for i in range(K + 3)] for row in hot]).reshape(-1, K + 3)
+        names = np.array([row.history for row in hot], np.int64).view(U64)
         by = np.argsort(names)
-        model.dealt[m] = (names[by], model.alpha(m, figures[:, 4:], figures[:, 0], figures[:, 3], figures[:, 1], figures[:, 2])[by])
+        model.dealt[m] = (names[by], model.alpha(m, x[:, 1 : K + 1], x[:, 0], np.array([row.share for row in hot]), x[:, K + 1], x[:, K + 2])[by])
         replies.append(told(m).withColumn("shift", F.lit(0).cast("long")))
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +405,7 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     scored = with_replies(blocks, replies).mapInArrow(final, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    tables = {m: x.where(F.col("kind").isin("word", "gram")).select("bucket", "history", "word", "count") for m, x in counted.items()}
+    tables = {m: x.where(F.col("kind").isin("word", "gram")).select("bucket", "history", F.explode(F.arrays_zip("words", "totals")).alias("x")).select("bucket", "history", F.col("x.words").alias("word"), F.col("x.totals").alias("count")) for m, x in counted.items()}
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")), tables
 
 
