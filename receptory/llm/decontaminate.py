@@ -8,9 +8,10 @@ of depth at a time.  The last range that is not empty holds the locations of
 the suffix's longest verbatim match; the range at the depth of a window holds
 all occurrences of that window.
 
-The benchmark is taken to the executors in blocks of a bounded number of
-bytes; each block meets all documents, and the blocks' spans are merged.
-Words are compared by 64-bit hashes.
+Words are looked up by 64-bit hashes and then compared byte by byte, so a match
+is verbatim.  The benchmark is taken to the executors in blocks of a bounded
+number of bytes; each row passes all blocks one after another, within its task,
+and is decided by itself: nothing is joined, grouped or shuffled.
 
 Edge cases: null and empty texts have no words and no hits; an item without
 words matches nothing; a shorter item than a window is one window; a null
@@ -44,6 +45,14 @@ def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(prefix_hashes(BYTE_WEIGHT[low]), starts, ends), counts
 
 
+def word_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all rows, A-Z lower-cased, and starts and ends of their words."""
+    data, offsets = text_bytes(array)
+    low = LOWER[data]
+    starts, ends, _ = word_spans(low, offsets, ALPHANUMERIC)
+    return low, starts, ends
+
+
 def with_ends(words: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     """Rows' words with an end mark after each row."""
     at = np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)
@@ -54,9 +63,11 @@ def with_ends(words: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
 
 @dataclass
 class Benchmark:
-    """A block of items: sorted vocabulary of word hashes, items' word numbers with end marks (-2), suffix starts, items."""
+    """A block of items: sorted vocabulary of word hashes and the words' bytes, items' word numbers with end marks (-2), suffix starts, items."""
 
     vocabulary: np.ndarray
+    letters: np.ndarray
+    letter_starts: np.ndarray
     words: np.ndarray
     suffixes: np.ndarray
     item_of: np.ndarray
@@ -66,10 +77,31 @@ class Benchmark:
 
     @classmethod
     def of(cls, names: list[str], texts: list[str], window: int) -> Benchmark:
-        hashes, counts = word_hashes(pa.array(texts, pa.string()))
-        vocabulary, numbers = np.unique(hashes, return_inverse=True)
+        array = pa.array(texts, pa.string())
+        hashes, counts = word_hashes(array)
+        low, begin, end = word_bytes(array)
+        vocabulary, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+        size = (end - begin)[first]
+        letters = low[np.repeat(begin[first], size) + spread(size)]
         starts = row_starts(counts + 1)[:-1]
-        return cls(vocabulary, with_ends(numbers, counts, -2), np.repeat(starts, counts) + spread(counts), np.repeat(np.arange(len(names)), counts), np.repeat(counts, counts) - spread(counts), names, window)
+        out = cls(vocabulary, letters, row_starts(size), with_ends(numbers, counts, -2), np.repeat(starts, counts) + spread(counts), np.repeat(np.arange(len(names)), counts), np.repeat(counts, counts) - spread(counts), names, window)
+        if (out.numbers(hashes, low, begin, end) < 0).any():
+            raise ValueError("two words of the benchmark have one hash")
+        return out
+
+    def numbers(self, hashes: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of words, given by hash and bytes, in the vocabulary; -1 of others."""
+        known = np.full(len(hashes), -1, np.int64)
+        if len(self.vocabulary):
+            near = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            size = end - begin
+            known = np.where((self.vocabulary[near] == hashes) & (np.diff(self.letter_starts)[near] == size), near, -1)
+            at = np.flatnonzero(known >= 0)
+            inside = spread(size[at])
+            differ = low[np.repeat(begin[at], size[at]) + inside] != self.letters[np.repeat(self.letter_starts[known[at]], size[at]) + inside]
+            if differ.any():
+                known[np.repeat(at, size[at])[differ]] = -1
+        return known
 
     def lengths(self) -> np.ndarray:
         """Of each suffix the words of its window, 0 where none starts there."""
@@ -136,8 +168,10 @@ def narrow(sequence: np.ndarray, suffixes: np.ndarray, low: np.ndarray, high: np
 
 @dataclass
 class Matches:
-    """Of one shard: hit marks a word, (row, item) pairs of windows that occur, and longest matches of suffixes."""
+    """Of one shard: its words by number, hit marks a word, (row, item) pairs of windows that occur, and longest matches of suffixes."""
 
+    sequence: np.ndarray
+    counts: np.ndarray
     hit: np.ndarray
     pair_rows: np.ndarray
     pair_items: np.ndarray
@@ -148,13 +182,10 @@ class Matches:
     places: np.ndarray
 
 
-def search(bench: Benchmark, hashes: np.ndarray, counts: np.ndarray) -> Matches:
+def search(bench: Benchmark, texts: pa.Array) -> Matches:
     """Binary-search every test suffix in the shard's suffix array."""
-    known = np.full(len(hashes), -1, np.int64)
-    if len(bench.vocabulary):
-        near = np.minimum(np.searchsorted(bench.vocabulary, hashes), len(bench.vocabulary) - 1)
-        known = np.where(bench.vocabulary[near] == hashes, near, -1)
-    sequence = with_ends(known, counts, -1)
+    hashes, counts = word_hashes(texts)
+    sequence = with_ends(bench.numbers(hashes, *word_bytes(texts)), counts, -1)
     places = suffix_array(sequence, int(bench.left.max(initial=0)))
     n = len(bench.suffixes)
     low, high = np.zeros(n, np.int64), np.full(n, len(places))
@@ -187,7 +218,7 @@ def search(bench: Benchmark, hashes: np.ndarray, counts: np.ndarray) -> Matches:
             pair_keys.append(np.unique(rows << 32 | np.repeat(of & 0xFFFFFFFF, spans)))
     pairs = np.unique(np.concatenate(pair_keys))
     matched = np.flatnonzero(length)
-    return Matches(np.cumsum(edges)[:-1] > 0, pairs >> 32, pairs & 0xFFFFFFFF, matched, length[matched], last_low[matched], last_high[matched], places)
+    return Matches(sequence, counts, np.cumsum(edges)[:-1] > 0, pairs >> 32, pairs & 0xFFFFFFFF, matched, length[matched], last_low[matched], last_high[matched], places)
 
 
 def blocks_of(benchmark: DataFrame, id_column: str, text: str, window: int, limit: int) -> Iterator[Benchmark]:
@@ -200,78 +231,77 @@ def blocks_of(benchmark: DataFrame, id_column: str, text: str, window: int, limi
         if size >= limit:
             yield Benchmark.of(names, texts, window)
             names, texts, size = [], [], 0
-    if names:
+    if names or not size:
         yield Benchmark.of(names, texts, window)
 
 
-def _scan(docs: DataFrame, bench: Benchmark | None, id_column: str, matches: bool) -> DataFrame:
-    kind = docs.schema[id_column].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(bench)  # at most a block and what its words need
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = sent.value or Benchmark.of([], [], WINDOW)
-        for batch in slices(batches):
-            hashes, counts = word_hashes(batch.column(1))
-            found = search(bench, hashes, counts)
-            base = row_starts(counts + 1)
-            if matches:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW, id_column: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Each benchmark suffix's longest verbatim matches of least_words or more in each shard, with all their locations.
+
+    Matches that begin inside a longer one, at the word after another's, are left out.
+    """
+    kind, out = docs.schema[id_column].dataType.simpleString(), None
+    source = docs.select(F.col(id_column), text_column())
+    for bench in blocks_of(benchmark, "item_id", "text", WINDOW, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(bench)
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            bench = sent.value
+            own = bench.suffixes - row_starts(np.bincount(bench.item_of, minlength=len(bench.names)) + 1)[bench.item_of]
+            for batch in slices(batches):
+                found = search(bench, batch.column(1))
                 wide = found.high - found.low
                 at = found.places[np.repeat(found.low, wide) + spread(wide)]
-                suffix = np.repeat(found.suffix, wide)
+                suffix, words = np.repeat(found.suffix, wide), np.repeat(found.length, wide)
+                before = bench.words[np.maximum(bench.suffixes[suffix] - 1, 0)]
+                inside = (own[suffix] > 0) & (at > 0) & (found.sequence[np.maximum(at - 1, 0)] == before)
+                keep = (words >= least_words) & ~inside
+                at, suffix, words = at[keep], suffix[keep], words[keep]
+                base = row_starts(found.counts + 1)
                 row = np.searchsorted(base, at, "right") - 1
-                starts = bench.suffixes - row_starts(np.bincount(bench.item_of, minlength=len(bench.names)) + 1)[bench.item_of]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([bench.names[i] for i in bench.item_of[suffix]], pa.string()), pa.array(starts[suffix]), pa.array(at - base[row]), pa.array(np.repeat(found.length, wide))], [id_column, "item_id", "item_word", "doc_word", "n_words"])
-                continue
-            hit = found.hit.astype(np.int8)
-            step = np.diff(hit, prepend=0, append=0)
-            first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            own = np.searchsorted(base, first, "right") - 1
-            local = base[own]
-            span_cuts = np.searchsorted(own, np.arange(batch.num_rows + 1)).astype(np.int32)
-            item_cuts = np.searchsorted(found.pair_rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-            spans = pa.ListArray.from_arrays(pa.array(span_cuts), pa.array((first - local) << 32 | (last - local)))
-            items = pa.ListArray.from_arrays(pa.array(item_cuts), pa.array([bench.names[i] for i in found.pair_items], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), spans, items], [id_column, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([bench.names[i] for i in bench.item_of[suffix]], pa.string()), pa.array(own[suffix]), pa.array(at - base[row]), pa.array(words)], [id_column, "item_id", "item_word", "doc_word", "n_words"])
 
-    source = docs.select(F.col(id_column), text_column())
-    if matches:
-        return source.mapInArrow(run, f"`{id_column}` {kind}, item_id string, item_word long, doc_word long, n_words long")
-    return source.mapInArrow(run, f"`{id_column}` {kind}, n_words long, spans array<long>, items array<string>")
+        one = source.mapInArrow(run, f"`{id_column}` {kind}, item_id string, item_word long, doc_word long, n_words long")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW, id_column: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each benchmark suffix's longest verbatim matches of least_words or more in each shard, with all their locations."""
-    out = None
-    for bench in blocks_of(benchmark, "item_id", "text", WINDOW, block_bytes):
-        one = _scan(docs, bench, id_column, True).where(F.col("n_words") >= least_words)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else _scan(docs, None, id_column, True)
+def _joined(old: pa.Array, rows: np.ndarray, values: pa.Array) -> pa.Array:
+    """The lists of each row with further values, given by row, behind them."""
+    n = len(old)
+    sizes = np.array([len(x) for x in old.to_pylist()], np.int64) if n else np.zeros(0, np.int64)
+    whole = np.concatenate([np.repeat(np.arange(n), sizes), rows])
+    order = np.argsort(whole, kind="stable")
+    cuts = np.searchsorted(whole[order], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays([old.flatten(), values]).take(pa.array(order)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, spans of hit words as [start, end) structs, items whose windows occur (sorted), n_hit.
+    """Per row: n_words, spans of hit words as [start, end) structs, items whose windows occur (each name once, sorted), n_hit."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("key"), text_column(), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    for bench in blocks_of(benchmark, "item_id", "text", window, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(bench)  # at most a block and what its words need
 
-    With more than one block the spans of a document, known by id and text
-    digest, are merged by one aggregation; documents themselves move in none.
-    """
-    parts = [_scan(docs, bench, id_column, False) for bench in blocks_of(benchmark, "item_id", "text", window, block_bytes)] or [_scan(docs, None, id_column, False)]
-    if len(parts) == 1:
-        merged = parts[0]
-    else:
-        digests = docs.select(F.col(id_column), text_column(), F.sha2(text_column(), 256).alias("digest"))
-        parts = [_scan(digests.select(F.struct(F.col(id_column), F.col("digest")).alias("key"), "text"), bench, "key", False) for bench in blocks_of(benchmark, "item_id", "text", window, block_bytes)]
-        rows = parts[0]
-        for one in parts[1:]:
-            rows = rows.unionByName(one)
-        grouped = rows.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-        merged = grouped.select(F.col(f"key.{id_column}").alias(id_column), "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = search(sent.value, batch.column(1))
+                base = row_starts(found.counts + 1)
+                step = np.diff(found.hit.astype(np.int8), prepend=0, append=0)
+                first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+                row = np.searchsorted(base, first, "right") - 1
+                spans = _joined(batch.column(3), row, pa.array((first - base[row]) << 32 | (last - base[row])))
+                items = _joined(batch.column(4), found.pair_rows, pa.array([sent.value.names[i] for i in found.pair_items], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.counts), spans, items], ["key", "text", "n_words", "spans", "items"])
+
+        rows = rows.mapInArrow(run, f"key {kind}, text string, n_words long, spans array<long>, items array<string>")
     union = F.expr(
         "aggregate(array_sort(transform(spans, x -> struct(shiftright(x, 32) as a, (x & 4294967295) as b))), "
         "named_struct('n', 0L, 'reach', 0L), "
         "(s, x) -> named_struct('n', s.n + greatest(0L, x.b - greatest(x.a, s.reach)), 'reach', greatest(s.reach, x.b)), s -> s.n)"
     )
-    return merged.select(
-        id_column,
+    return rows.select(
+        F.col("key").alias(id_column),
         "n_words",
         union.alias("n_hit"),
         F.expr("array_sort(transform(spans, x -> struct(shiftright(x, 32) as first, (x & 4294967295) as last)))").alias("spans"),
@@ -293,8 +323,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             for batch in slices(batches):
                 texts = batch.column(at)
                 filled = texts.fill_null("") if texts.null_count else texts
-                hashes, counts = word_hashes(filled)
-                found = search(sent.value, hashes, counts)
+                found = search(sent.value, filled)
                 keep = np.ones(batch.num_rows, bool)
                 keep[found.pair_rows] = False
                 yield batch.filter(pa.array(keep))

@@ -144,13 +144,43 @@ def test_decontamination_by_brute_force(spark):
     assert max(x.n_words for x in found) == 25
 
 
-def test_repeated_benchmark_items_count_once(spark):
+def test_repeated_benchmark_items_by_sql(spark, tmp_path):
+    import duckdb
+
     r = random.Random(13)
-    a, b = words(r, 12), words(r, 15)
-    bench = spark.createDataFrame([("x", a), ("x", a), ("x", b), ("y", b)], "item_id string, text string")
-    for size in (decontaminate.BLOCK_BYTES, 40):
-        got = decontaminate.contamination(docs(spark, [f"{a} and {b}", a]), bench, block_bytes=size).collect()
-        assert sorted((x.n_hit, list(x["items"])) for x in got) == [(12, ["x"]), (27, ["x", "y"])]
+    a, b, c = words(r, 12), words(r, 15), words(r, 4)
+    items = [("x", a), ("x", a), ("x", b), ("y", b), (None, c), ("z", ""), ("w", None)]
+    texts = [(1, f"{a} and {b}"), (1, f"{a} and {b}"), (1, "other words"), (None, a.upper()), (None, f"{c}.{c}"), (3, None), (4, b[: len(b) // 2])]
+    bench, rows = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    rows.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "d.parquet")
+    bench.toPandas().to_parquet(tmp_path / "b.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/d.parquet'; create view benchmark as select * from '{tmp_path}/b.parquet'")
+    want = sorted(db.execute(f"select doc_id, n_words, n_hit, n_items, items_sha256 from ({decontaminate.OP4_SQL})").fetchall(), key=str)
+    for size in (decontaminate.BLOCK_BYTES, 40, 200):
+        got = decontaminate.contamination(rows, bench, block_bytes=size).collect()
+        assert sorted(((x.doc_id, x.n_words, x.n_hit, len(x["items"]), hashlib.sha256(",".join(x["items"]).encode()).hexdigest()) for x in got), key=str) == want
+    assert len(want) == len(texts) and max(x[3] for x in want) == 2
+    assert decontaminate.contamination(rows.limit(0), bench).count() == 0
+    assert [x.n_words for x in decontaminate.contamination(rows.where("doc_id = 4"), bench.limit(0)).collect()] == [len(b[: len(b) // 2].split())]
+
+
+def test_words_of_one_hash_are_told_apart():
+    bench = decontaminate.Benchmark.of(["x"], [" ".join(f"w{i}" for i in range(12))], 10)
+    text = pa.array([" ".join(f"w{i}" for i in range(11)), " ".join(f"v{i}" for i in range(11))])
+    hashes, counts = decontaminate.word_hashes(text)
+    assert decontaminate.search(bench, text).hit.sum() == 11
+    low, begin, end = decontaminate.word_bytes(text)
+    forged = np.concatenate([hashes[:11], hashes[:11]])
+    assert (bench.numbers(forged, low, begin, end) >= 0).tolist() == [True] * 11 + [False] * 11
+
+
+def test_matches_inside_longer_ones_are_left_out(spark):
+    r = random.Random(14)
+    item = words(r, 30, 10**6)
+    bench = spark.createDataFrame([("x", item)], "item_id string, text string")
+    got = decontaminate.longest_matches(docs(spark, [f"so {item} and {' '.join(item.split()[5:20])}"]), bench).collect()
+    assert sorted((x.item_word, x.doc_word, x.n_words) for x in got) == [(0, 1, 30)]
 
 
 def test_toxicity_gradients_and_edges(spark):
