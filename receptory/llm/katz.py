@@ -45,10 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, fold, mix, prefix_hashes, row_starts, slices, span_hashes, stored, table, text_bytes, text_column, tidy, word_spans
+from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, discard, fold, mix, prefix_hashes, release, row_starts, slices, span_hashes, spread, stored, table, text_bytes, text_column, tidy, word_spans
 
 #: Words of the longest n-gram.
 ORDER = 2
+#: Powers of two that counts can lie between.
+LEVELS = 56
 #: Counts up to K are discounted.
 K = 5
 #: Fold of crc32(doc_id) modulo FOLDS that is held out.
@@ -62,15 +64,18 @@ COUNTED = "kind string, bucket int, block long, counts binary, numbers binary, l
 
 
 def enc(x: np.ndarray) -> bytes:
-    """Unsigned numbers in the least width that holds them: the width, then the numbers, little-endian, deflated."""
-    top = int(x.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return zlib.compress(bytes([width]) + x.astype(f"<u{width}").tobytes(), 1)
+    """Unsigned numbers, deflated: how many bytes each has, then all numbers' lowest bytes, then all their next ones, and so on."""
+    width = (int(x.max(initial=1)).bit_length() + 7) // 8
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
+    return deflate.compress(bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()) + deflate.flush()
 
 
 def dec(raw: bytes) -> np.ndarray:
     raw = zlib.decompress(raw)
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def hashes(raw: bytes) -> np.ndarray:
@@ -128,7 +133,11 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             found, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             own = np.full(len(found) + len(counts), END)
             own[np.arange(len(found)) + np.repeat(np.arange(len(counts)), counts)] = found
-            words, token = np.unique(own, return_inverse=True)
+            words, token, times = np.unique(own, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # small numbers for frequent words deflate better
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            words, token = words[order], place[token]
             row = [name, len(own), len(words), batch.column(0).to_pylist(), words.astype("<u8").tobytes(), enc(token), enc(counts + 1), enc(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8))]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
@@ -145,6 +154,11 @@ def _rows(columns: dict[str, list], n: int, schema: str = COUNTED) -> pa.RecordB
     return pa.RecordBatch.from_arrays([(columns[x] if isinstance(columns[x], pa.Array) else pa.array(columns[x], kinds[t])) if x in columns else pa.nulls(n, kinds[t]) for x, t in names], [x for x, _ in names])
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """0 for the highest counts, one more for each halving; words are numbered level by level, range by range."""
+    return LEVELS - 1 - np.frexp(counts.astype(np.float64))[1]
+
+
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(np.int64)))
 
@@ -161,7 +175,8 @@ def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for block, *raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 words, token, sizes, train = hashes(raw[0]), *map(dec, raw[1:])
-                counts = np.bincount(token, np.repeat(train, sizes), len(words)).astype(np.int64)
+                order = np.argsort(words)
+                words, counts = words[order], np.bincount(token, np.repeat(train, sizes), len(words)).astype(np.int64)[order]
                 cuts = np.searchsorted((words >> U64(32)) * U64(ranges) >> U64(32), np.arange(ranges + 1).astype(U64))
                 some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
                 yield _rows({"bucket": [i for i, _, _ in some], "block": [block] * len(some), "words": [words[a:b].astype("<u8").tobytes() for _, a, b in some], "counts": [enc(counts[a:b]) for _, a, b in some]}, len(some), "bucket int, block long, words binary, counts binary")
@@ -171,12 +186,13 @@ def count_words(blocks: DataFrame, ranges: int) -> DataFrame:
         words, place = np.unique(np.concatenate(names), return_inverse=True)
         counts = np.bincount(place, np.concatenate([dec(x) for x in part.column("counts").to_pylist()]), len(words)).astype(np.int64)
         bucket, cuts = part.column("bucket")[0].as_py(), row_starts(np.array([len(x) for x in names]))
-        seen = np.flatnonzero(counts)
-        number = np.cumsum(counts > 0) - 1
+        level, seen = levels(counts), np.flatnonzero(counts)
+        number, order = np.zeros(len(words), np.int64), np.argsort(level, kind="stable")
+        number[order] = spread(np.bincount(level, minlength=LEVELS))
         own = [place[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        out = [_rows({"kind": ["reply"] * len(own), "bucket": [bucket] * len(own), "block": blocks, "counts": [enc(counts[x]) for x in own], "numbers": [enc(np.maximum(number[x], 0)) for x in own]}, len(own))]
+        out = [_rows({"kind": ["reply"] * len(own), "bucket": [bucket] * len(own), "block": blocks, "counts": [enc(counts[x]) for x in own], "numbers": [enc(number[x]) for x in own]}, len(own))]
         out.append(_rows({"kind": ["word"] * len(seen), "bucket": [bucket] * len(seen), "history": words[seen].view(np.int64), "words": _lists(number[seen], np.arange(len(seen) + 1)), "totals": _lists(counts[seen], np.arange(len(seen) + 1))}, len(seen)))
-        out.append(_rows({"kind": ["numbers"], "bucket": [bucket], "stats": [[*_numbers(counts).tolist(), len(seen), int(counts.sum())]]}, 1))
+        out.append(_rows({"kind": ["numbers"], "bucket": [bucket], "stats": [[*_numbers(counts).tolist(), len(seen), int(counts.sum()), *np.bincount(level, minlength=LEVELS).tolist()]]}, 1))
         return pa.Table.from_batches(out)
 
     return blocks.select("block", "words", "tokens", "sizes", "train").mapInArrow(deal, "bucket int, block long, words binary, counts binary").groupBy("bucket").applyInArrow(total, COUNTED)
@@ -196,13 +212,11 @@ class Block:
         self.sizes, train = dec(row["sizes"]), dec(row["train"]).astype(bool)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train, self.first = train[self.doc], np.cumsum(self.sizes) - self.sizes
-        replies = sorted(row["replies"], key=lambda x: (x["order"], x["bucket"]))
-        own = [x for x in replies if x["order"] == 1]
-        self.number = np.concatenate([dec(x["numbers"]) + x["shift"] for x in own])[token]
-        self.gram, self.count = {1: self.number.astype(U64) + U64(1)}, {1: np.concatenate([dec(x["counts"]) for x in own])[token]}
+        self.number, count = dec(row["numbers"])[token], dec(row["counts"])[token]
+        self.gram, self.count = {1: self.number.astype(U64) + U64(1)}, {1: count}
         self.alpha: dict[int, np.ndarray] = {}
         for order in range(2, known + 1):
-            self.learn(order, [x for x in replies if x["order"] == order])
+            self.learn(order, sorted((x for x in row["replies"] if x["order"] == order), key=lambda x: x["bucket"]))
 
     def before(self, x: np.ndarray, at_start) -> np.ndarray:
         """Of each token what x has of the one before it, and at_start of a document's first."""
@@ -275,6 +289,7 @@ class Block:
         return score
 
 
+NUMBERED = "block long, ids array<long>, tokens binary, sizes binary, train binary, numbers binary, counts binary"
 SENT = "bucket int, block long, histories binary, totals binary, lowers binary, runs binary, words binary, unders binary, learnt binary, needed binary"
 
 
@@ -301,6 +316,8 @@ def send(model: Model, buckets: int, order: int):
                         out = []
                 if out:
                     yield _rows(dict(zip([x.split()[0] for x in SENT.split(", ")], zip(*out, strict=True), strict=True)), len(out), SENT)
+                del block, history, count, lower, asked, at, bucket, place
+        release()
 
     return run
 
@@ -348,13 +365,36 @@ def count_grams(model: Model, buckets: int, order: int):
     return run
 
 
-def with_replies(blocks: DataFrame, replies: list[DataFrame]) -> DataFrame:
+def numbered(blocks: DataFrame, counted: DataFrame, starts: DataFrame) -> DataFrame:
+    """Blocks with the numbers and counts of their words instead of the words themselves."""
+    replies = counted.where("kind = 'reply'").join(starts, "bucket").groupBy("block").agg(F.collect_list(F.struct("bucket", "starts", "counts", "numbers")).alias("replies"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                order = np.argsort(hashes(batch.column("words")[i].as_py()))
+                counts, numbers = [], []
+                for x in sorted(batch.column("replies")[i].as_py(), key=lambda x: x["bucket"]):
+                    counts.append(dec(x["counts"]))
+                    numbers.append(dec(x["numbers"]) + np.array(x["starts"], np.int64)[levels(counts[-1])])
+                own = [np.empty(len(order), np.int64) for _ in range(2)]
+                own[0][order], own[1][order] = np.concatenate(numbers), np.concatenate(counts)
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*(one.column(x) for x in ("block", "ids", "tokens", "sizes", "train")), *(pa.array([enc(x)], pa.binary()) for x in own)], [x.split()[0] for x in NUMBERED.split(", ")])
+        release()
+
+    return blocks.join(replies, "block").mapInArrow(run, NUMBERED)
+
+
+def with_replies(blocks: DataFrame, counted: dict[int, DataFrame]) -> DataFrame:
     """Blocks with their replies of all orders so far."""
-    whole = replies[0]
-    for x in replies[1:]:
-        whole = whole.unionByName(x)
-    lists = whole.groupBy("block").agg(F.collect_list(F.struct("order", "bucket", "shift", "counts", "numbers", "large", "mass")).alias("replies"))
-    return blocks.select("block", "ids", "tokens", "sizes", "train").join(lists, "block")
+    whole = None
+    for m, x in counted.items():
+        one = x.where("kind = 'reply'").select("block", F.struct(F.lit(m).alias("order"), "bucket", "counts", "numbers", "large", "mass").alias("reply"))
+        whole = one if whole is None else whole.unionByName(one)
+    if whole is None:
+        return blocks.withColumn("replies", F.array())
+    return blocks.join(whole.groupBy("block").agg(F.collect_list("reply").alias("replies")), "block", "left").withColumn("replies", F.coalesce("replies", F.array()))
 
 
 def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS, range_pairs: int = RANGE_PAIRS, least_dealt: int = 10_000) -> tuple[DataFrame, dict[int, DataFrame]]:
@@ -368,23 +408,32 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
     documents = blocks.select("train").mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
     ranges, buckets = -(-(size.words or 1) // range_pairs), -(-(size.tokens or 1) // bucket_tokens)
-    counted = {1: stored(count_words(blocks, ranges), "words")}
+    words_counted = stored(count_words(blocks, ranges), "words")
     tidy(docs.sparkSession)
 
     def numbers(frame: DataFrame, n: int) -> list[int]:
         return [int(x or 0) for x in frame.where("kind = 'numbers'").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(n)]).first()]
 
-    *n, words, tokens = numbers(counted[1], K + 5)
+    *n, words, tokens = numbers(words_counted, K + 5)
     model = Model(tokens, words, documents, max(tokens // buckets, least_dealt))
     model.d[1] = discounts(np.array(n))
     model.unknown = (1 + sum((1 - model.d[1][r]) * r * n[r] for r in range(1, K + 1))) / (tokens + 1)
-    # words are numbered range after range; there is one row a range here
-    shifts = counted[1].where("kind = 'numbers'").select("bucket", F.coalesce(F.sum(F.get("stats", F.lit(K + 3))).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    told = lambda m: counted[m].where("kind = 'reply'").withColumn("order", F.lit(m))
-    replies = [told(1).join(shifts, "bucket")]
+    # where each range's words of each level begin to be numbered
+    sizes = words_counted.where("kind = 'numbers'").select("bucket", F.posexplode(F.slice("stats", K + 6, LEVELS)).alias("level", "n"))
+    totals = {x.level: x.n for x in sizes.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # one row a level
+    bases = F.array(*[F.lit(sum(y for k, y in totals.items() if k < i)).cast("long") for i in range(LEVELS)])
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("level").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("bucket", "level", (above + F.get(bases, F.col("level"))).alias("start")).groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "start"))), lambda x: x.start).alias("starts"))
+    known = stored(numbered(blocks, words_counted, starts), "numbered")
+    level = F.expr(f"cast({LEVELS - 1} - length(bin(totals[0])) as int)")
+    tables = {1: stored(words_counted.where("kind = 'word'").join(starts, "bucket").select("bucket", "history", (F.get(F.col("words"), F.lit(0)) + F.get("starts", level)).alias("word"), F.get("totals", F.lit(0)).alias("count")), "unigrams")}
+    discard(blocks, words_counted)
+    tidy(docs.sparkSession)
+    counted: dict[int, DataFrame] = {}
     for m in range(2, order + 1):
-        sent = with_replies(blocks, replies).mapInArrow(send(model, buckets, m), SENT)
+        sent = with_replies(known, counted).mapInArrow(send(model, buckets, m), SENT)
         counted[m] = stored(sent.groupBy("bucket").applyInArrow(count_grams(model, buckets, m), COUNTED), "grams")
+        tables[m] = counted[m].where("kind = 'gram'").select("bucket", "history", F.explode(F.arrays_zip("words", "totals")).alias("x")).select("bucket", "history", F.col("x.words").alias("word"), F.col("x.totals").alias("count"))
         tidy(docs.sparkSession)
         model.d[m] = discounts(np.array(numbers(counted[m], K + 3)))
         sums = [F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 1)] + [F.max(F.get("stats", F.lit(i))).alias(f"x{i}") for i in (K + 1, K + 2)]
@@ -393,7 +442,6 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
         names = np.array([row.history for row in hot], np.int64).view(U64)
         by = np.argsort(names)
         model.dealt[m] = (names[by], model.alpha(m, x[:, 1 : K + 1], x[:, 0], np.array([row.share for row in hot]), x[:, K + 1], x[:, K + 2])[by])
-        replies.append(told(m).withColumn("shift", F.lit(0).cast("long")))
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,9 +451,10 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
                 n, c = len(block.sizes), block.count[1]
                 sums = [np.bincount(block.doc, x, n) for x in (c > 0, np.log10((c + 1) / (model.tokens + model.words + 1)), block.scores(order))]
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                del block, c, sums
+        release()
 
-    scored = with_replies(blocks, replies).mapInArrow(final, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    tables = {m: x.where(F.col("kind").isin("word", "gram")).select("bucket", "history", F.explode(F.arrays_zip("words", "totals")).alias("x")).select("bucket", "history", F.col("x.words").alias("word"), F.col("x.totals").alias("count")) for m, x in counted.items()}
+    scored = with_replies(known, counted).mapInArrow(final, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")), tables
 
 
