@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from receptory.llm.common import stored
 
-BITS = 22
+BITS = 24
 
 
 def _place(column: str) -> str:

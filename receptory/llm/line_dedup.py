@@ -1,10 +1,10 @@
 """Line dedup by content-defined line chunks, in built-in functions only.
 
 A text is cut into short lines by what stands in it: at line breaks, after
-sentence ends, and after words of certain last letters, so inside long
-sentences and in text without punctuation too.  A rolling hash over two line
-hashes is taken at each line; where it is less than at both neighbours a chunk
-begins.  So chunks have two lines or more, mostly three, and depend on nearby
+sentence ends, and after words with certain letters, so inside long sentences
+and in text without punctuation too.  A line's hash is its length in bytes; a
+rolling hash over two of them is taken at each line, and where it is less than
+at both neighbours a chunk begins.  So chunks have two lines or more, mostly three, and depend on nearby
 content only: what is inserted before a passage does not shift its chunks.
 
 Of chunks with equal text the first by doc_id and place leads.  Equal keys are
@@ -38,8 +38,11 @@ from receptory.llm.common import discard, stored, table, tidy
 
 #: Characters of the longest line, of the shortest chunk that is looked for again, and of the shortest region that is removed.
 LINE_CHARS, SEED_CHARS, MIN_CHARS = 160, 24, 120
-#: Ends of lines: sentence ends, line breaks, commas and last letters of words (one word in four or so), some ideographs.
-LINE_PATTERN = rf"[^\n]{{0,{LINE_CHARS - 1}}}?(?:[.!?。！？]+ *\n?|\n|[dr,;:йт،] |[、，一-俿])|[^\n]{{1,{LINE_CHARS}}}"
+#: A line ends with a line break, a sentence end, or a word from one of two letters on (one word in four or so).
+_LINE = "[^{0}\\n]{{{{0,{{0}}}}}}(?:[{0}]{1}{{{{0,20}}}}[.!?,;:]* ?\\n?|\\n)|[^\\n]{{{{1,{{1}}}}}}"
+LINE_PATTERN = _LINE.format("gb.!?", "[a-zà-ÿ]").format(LINE_CHARS - 1, LINE_CHARS)
+#: Texts with other scripts' characters (to Java's engine far slower) have their marks and two of their letters too.
+WIDE, WIDE_PATTERN = "[Ѐ-῿⺀-퟿]", _LINE.format("gbгб.!?。！？，、،", "[a-zа-я]").format(LINE_CHARS - 1, LINE_CHARS)
 #: Stands for a null doc_id; sorts last.
 LAST = (1 << 63) - 1
 #: Chunks that one copy of the first chunk is compared with.
@@ -54,15 +57,16 @@ def put(df: DataFrame, name: str, value: str) -> DataFrame:
 
 def lined(rows: DataFrame) -> DataFrame:
     """Adds lines, the array of the text's lines; together they are the text."""
-    return rows.select("*", F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE_PATTERN), F.lit(0)))).alias("lines"))
+    text = F.coalesce("text", F.lit(""))
+    lines = F.when(text.rlike(WIDE), F.regexp_extract_all(text, F.lit(WIDE_PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(LINE_PATTERN), F.lit(0)))
+    return rows.select("*", F.explode(F.array(lines)).alias("lines"))
 
 
 def chunked(rows: DataFrame) -> DataFrame:
     """Adds lines and starts, the places of the lines that begin a chunk."""
-    out = put(lined(rows), "h", "transform(lines, u -> (cast(ascii(u) as bigint) * 961 + ascii(substr(u, 3, 1)) * 31 + ascii(substr(u, 5, 1))) * 40503 % 65521)")
-    out = put(out, "r", "transform(h, (x, i) -> if(i = 0, x, (get(h, i - 1) * 31 + x) % 65521))")
+    out = put(lined(rows), "r", "transform(lines, (u, i) -> (coalesce(octet_length(get(lines, i - 1)), 0) * 331 + octet_length(u)) * 40503L % 65521)")
     out = put(out, "starts", "if(size(r) = 0, array(), filter(sequence(0, greatest(size(r) - 1, 0)), i -> i = 0 or (i >= 2 and get(r, i) < get(r, i - 1) and get(r, i) <= get(r, i + 1))))")
-    return out.drop("h", "r")
+    return out.drop("r")
 
 
 def _bare(text: str) -> str:
@@ -76,12 +80,13 @@ def chunk_keys(rows: DataFrame) -> DataFrame:
     return one.select("doc_id", "rid", F.col("c.k").alias("k"), F.xxhash64("c.bare").alias("key"))
 
 
-def chunk_spans(rows: DataFrame) -> DataFrame:
-    """The same with span, the lines of the chunk and of the ones before and after it; the chunk is [a, b) there, and line s of the text is its first."""
+def chunk_spans(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same of chunks whose key may be in the bitmap, with span, the lines of the chunk and of the ones before and after it; the chunk is [a, b) there, and line s of the text is its first."""
     end = "coalesce(get(starts, k + 1), size(lines))"
     chunks = F.expr(f"transform(starts, (s, k) -> named_struct('k', k, 's', s, 'e', {end}, 'p', coalesce(get(starts, k - 1), 0), 'q', coalesce(get(starts, k + 2), size(lines)), 'bare', {_bare(f"array_join(slice(lines, s + 1, {end} - s), '')")}))")
     one = chunked(rows).select("doc_id", "rid", "lines", F.explode(chunks).alias("c")).where(F.length("c.bare") >= SEED_CHARS)
-    return one.select("doc_id", "rid", F.col("c.k").alias("k"), F.xxhash64("c.bare").alias("key"), "c.s", F.expr("c.s - c.p").alias("a"), F.expr("c.e - c.p").alias("b"), F.expr("slice(lines, c.p + 1, c.q - c.p)").alias("span"))
+    one = within(one.withColumn("key", F.xxhash64("c.bare")), "key", keys)
+    return one.select("doc_id", "rid", F.col("c.k").alias("k"), "key", "c.s", F.expr("c.s - c.p").alias("a"), F.expr("c.e - c.p").alias("b"), F.expr("slice(lines, c.p + 1, c.q - c.p)").alias("span"))
 
 
 def _same(n: str, mine: str, first: str) -> str:
@@ -94,12 +99,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rid"), F.col("text").cast("string").alias("text"))
     light = stored(chunk_keys(rows), "chunks")
     place = F.struct("doc_id", "rid", "k")
-    again = light.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last")
-    again = stored(again.select("key", "first", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "again")
+    often = stored(light.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    keys = bitmap(often, "key")
+    repeats = stored(within(light, "key", keys).join(often, "key"), "repeats")
+    again = repeats.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.ceil(F.max("n") / SHARE).cast("int").alias("shares")).where("first <> last")
+    again = stored(again.select("key", "first", "shares"), "again")
+    holders = bitmap(repeats, "rid")
+    discard(light, often, repeats)
     tidy(docs.sparkSession)
-    keys = bitmap(again, "key")
-    holders = bitmap(within(light, "key", keys), "rid")
-    found = within(chunk_spans(within(rows, "rid", holders)), "key", keys).join(again, "key")
+    found = chunk_spans(within(rows, "rid", holders), keys).join(again, "key")
     found = stored(found.withColumn("share", F.expr("cast(pmod(rid, shares) as int)")).withColumn("leads", place == F.col("first")), "spans")
     first = found.where("leads").dropDuplicates(["key"]).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("span").alias("first_span"), F.col("a").alias("fa"), F.col("b").alias("fb"))
     both = found.where("not leads").join(first, ["key", "share"])
@@ -108,7 +116,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     after = _same("least(size(span) - b, size(first_span) - fb)", "b + j - 1", "fb + j - 1")
     ranges = both.select("doc_id", "rid", F.expr(f"s - {before}").alias("f"), F.expr(f"s + b - a + {after}").alias("t"))
     gone = stored(ranges.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("f", "t"))).alias("ranges")), "ranges")
-    discard(light, again, keys, holders, found)
+    discard(again, keys, holders, found)
     tidy(docs.sparkSession)
     return gone
 
@@ -148,10 +156,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = rf"""
-with r as (select row_number() over () as rid, coalesce(doc_id, {LAST}) as id, doc_id, text, regexp_extract_all(coalesce(text, ''), '{LINE_PATTERN.replace(chr(92) + "n", chr(10))}') as lines from documents),
+with r as (select row_number() over () as rid, coalesce(doc_id, {LAST}) as id, doc_id, text, case when regexp_matches(coalesce(text, ''), '{WIDE}') then regexp_extract_all(coalesce(text, ''), '{WIDE_PATTERN.replace(chr(92) + "n", chr(10))}') else regexp_extract_all(coalesce(text, ''), '{LINE_PATTERN.replace(chr(92) + "n", chr(10))}') end as lines from documents),
 u as (select rid, id, i - 1 as i, lines[i] as line from (select rid, id, lines, unnest(range(1, len(lines) + 1)) as i from r)),
-a as (select *, (cast(ascii(line) as bigint) * 961 + ascii(substr(line, 3, 1)) * 31 + ascii(substr(line, 5, 1))) * 40503 % 65521 as h, rtrim(line, e' \n') as bare from u),
-b as (select *, coalesce((lag(h) over w * 31 + h) % 65521, h) as r from a window w as (partition by rid order by i)),
+a as (select *, rtrim(line, e' \n') as bare from u),
+b as (select *, (coalesce(lag(strlen(line)) over w, 0) * 331 + strlen(line)) * 40503 % 65521 as r from a window w as (partition by rid order by i)),
 c as (select *, i = 0 or (i >= 2 and coalesce(r < lag(r) over w and r <= lead(r) over w, false)) as start from b window w as (partition by rid order by i)),
 d as (select *, sum(cast(start as int)) over (partition by rid order by i) - 1 as k from c),
 e as (select rid, id, k, min(i) as s, max(i) + 1 as t, rtrim(string_agg(line, '' order by i), e' \n') as body from d group by rid, id, k),

@@ -7,7 +7,7 @@ import pytest
 from receptory.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, n_chars int, removed_chars string, text2 string"
-FIRST = ("alpha", "order", "silver,", "mount", "under", "the", "of", "brood", "carry", "winter")
+FIRST = ("alphabet", "bring", "silver,", "mount", "long", "the", "of", "brood", "großen", "winter")
 
 
 def sentence(r, n, vocabulary=5000):
@@ -27,14 +27,17 @@ def run(spark, rows):
     return line_dedup.dedup_lines(table).collect()
 
 
+def cut_lines(t):
+    return [m.group() for m in re.finditer(line_dedup.WIDE_PATTERN if re.search(line_dedup.WIDE, t) else line_dedup.LINE_PATTERN, t)]
+
+
 def brute_force(rows):
     """Kept text by (doc_id, text); ids must differ or texts be equal."""
     docs = []
     for i, t in sorted({(1 << 63 if i is None else i, t or "") for i, t in rows}):
-        lines = [m.group() for m in re.finditer(line_dedup.LINE_PATTERN, t)]
-        code = lambda u, k: ord(u[k]) if len(u) > k else 0
-        h = [(code(u, 0) * 961 + code(u, 2) * 31 + code(u, 4)) * 40503 % 65521 for u in lines]
-        roll = [(h[k - 1] * 31 + x) % 65521 if k else x for k, x in enumerate(h)]
+        lines = cut_lines(t)
+        h = [0, *(len(u.encode()) for u in lines)]
+        roll = [(a * 331 + b) * 40503 % 65521 for a, b in zip(h, h[1:])]
         starts = [k for k in range(len(lines)) if not k or (2 <= k < len(lines) - 1 and roll[k] < roll[k - 1] and roll[k] <= roll[k + 1])]
         docs.append((i, t, lines, list(zip(starts, [*starts[1:], len(lines)]))))
     bare = lambda u: u.rstrip(" \n")
@@ -84,6 +87,8 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, share):
         parts = [prose(r, r.randrange(0, 80)) for _ in range(3)]
         glue = r.choice([" ", "\n", "\n\n"])
         rows.append((i, glue.join([parts[0], r.choice(passages), parts[1], r.choice(passages), parts[2]])))
+    wide = "".join(r.choice("的一是不了人。，他这中大г") for _ in range(400))
+    rows += [(600, "前言" + wide), (601, wide), (602, "слово " * 5 + passages[1])]
     rows += [(None, rows[8][1]), (7, dict(rows)[7]), (7, dict(rows)[7])]
     want = brute_force(rows)
     got = run(spark, rows)
@@ -102,7 +107,7 @@ def test_text_that_occurs_once_is_never_cut(spark):
     texts = Counter(x.text for x in run(spark, rows))
     assert texts[p] == 1 and texts[q] + texts[q + "\n" + s] + texts[q + "\n"] >= 1 and texts[s] >= 1
     kept = "\n".join(texts)
-    for line in re.findall(line_dedup.LINE_PATTERN, f"{p}\n{q}\n{s}"):
+    for line in cut_lines(f"{p}\n{q}\n{s}"):
         assert line.rstrip() in kept
 
 
