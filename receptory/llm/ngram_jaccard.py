@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, discard, free_name, mix, prefix_hashes, row_starts, slices, small_batches, span_hashes, spread, stored, table, text_bytes, text_column, word_spans
+from receptory.llm.bits import bitmap, marked
+from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, discard, mix, prefix_hashes, row_starts, slices, small_batches, span_hashes, spread, stored, table, text_bytes, text_column, tidy, word_spans
 from receptory.llm.components import components
 
 #: Words of a shingle; a pair links when LINK[1] * intersection >= LINK[0] * union.
@@ -461,6 +462,7 @@ def set_components(docs: DataFrame, link: tuple[int, int], shingle: int) -> Data
         sets = stored(known.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("holder"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "sets")
         labels = set_links(docs, sets, link, shingle)
         discard(sets)
+        tidy(docs.sparkSession)
     return known.join(labels, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("label"))
 
 
@@ -483,32 +485,23 @@ def one_of_each(docs: DataFrame, link: tuple[int, int] = LINK, shingle: int = SH
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")
     best = rows.groupBy("label").agg(F.min(rank).alias("best"))
     judged = stored(rows.join(best, "label").select("doc_id", "set_id", (rank == F.col("best")).alias("stays"), "n").where("not stays or n > 1"), "judged")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(judged, "doc_id"))
-    at, number = docs.columns.index("text"), free_name(docs, "doc_number")
-    source = docs.withColumn(number, F.col("doc_id").cast("long"))
-    name = free_name(source, "set_id")
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
+    source = marked(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_column()), "doc_id", bitmap(judged, "doc_id"))
 
-    def clear(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(~in_bitmap(sent.value, _ids(batch.column(batch.num_columns - 1))))).select(list(range(batch.num_columns - 1)))
+    def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=SLICE):
+            ids = set_hashes(*shingle_sets(batch.column(2), shingle), batch.num_rows)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids)], ["row", "doc_id", "set_id"])
 
-    def perhaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(sent.value, _ids(batch.column(batch.num_columns - 1)))))
-            text = batch.column(at).cast(pa.string()).fill_null("")
-            found, step = [np.zeros(0, np.int64)], 200
-            for i in range(0, batch.num_rows, step):
-                own = text.slice(i, step)
-                found.append(set_hashes(*shingle_sets(own, shingle), len(own))[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], [*batch.schema.names, name])
-
-    some = source.mapInArrow(perhaps, StructType([*source.schema.fields, StructField(name, LongType())]))
+    some = source.where("perhaps").select("row", "doc_id", "text")
+    kind = StructType([some.schema["row"], some.schema["doc_id"], StructField("set_id", LongType())])
+    with small_batches(docs.sparkSession):
+        tried = stored(some.mapInArrow(with_sets, kind), "perhaps")
     told = judged.select(F.col("doc_id").alias("j_doc"), F.col("set_id").alias("j_set"), "stays")
-    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
-    tried = some.select(row.alias("row"), F.col(number).alias("k_doc"), F.col(name).alias("k_set")).join(told, F.col("k_doc").eqNullSafe(F.col("j_doc")) & (F.col("k_set") == F.col("j_set")), "left")
+    tried = tried.join(told, F.col("doc_id").eqNullSafe(F.col("j_doc")) & (F.col("set_id") == F.col("j_set")), "left")
     single = tried.where("stays is null").select("row")
-    first = tried.where("stays").groupBy("k_doc", "k_set").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
-    return source.mapInArrow(clear, docs.schema).unionByName(single.unionByName(first).select("row.*"))
+    first = tried.where("stays").groupBy("doc_id", "set_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return source.where("not perhaps").select("row").unionByName(single).unionByName(first).select("row.*")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
