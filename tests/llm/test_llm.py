@@ -111,11 +111,85 @@ def test_pii_of_one_lone_entity(spark):
 
 
 def test_surrogates_are_distinct(spark):
-    tokens = spark.createDataFrame([("given:n:cyrillic", f"t{i}") for i in range(60)] + [("local", c) for c in "abcdefghij"], "type string, token string")
+    tokens = spark.createDataFrame([("given:cyrillic", f"tt{i}", "n") for i in range(60)] + [("local", c, "n") for c in "abcdefghij"], "type string, token string, gender string")
     got = pii.surrogates(tokens, "k").collect()
     assert len(got) == 70 and len({(x.type, x.surrogate.lower()) for x in got}) == 70 and not {x.surrogate for x in got} & set("abcdefghij")
 
 
+def _pii_rows(r):
+    givens, surnames = ["John", "Mary-Ann", "Robin", "Ann", "OLGA"], ["Smith", "Jones-Lee", "O'Brien", "Ng", "Smithson"]
+    some = [lambda: f"{r.choice('abcxyz')}{r.randrange(9)}.{r.choice(['Kim', 'lee'])}@mail{r.randrange(3)}.example.{r.choice(['com', 'ORG'])}", lambda: f"+1 (774) 555-{r.randrange(1000, 1020)}", lambda: f"774-555-{r.randrange(1000, 1020)}", lambda: f"10.0.{r.randrange(3)}.7", lambda: f"123-45-678{r.randrange(3)}", lambda: f"password=Pass_{'x' * 70}{r.randrange(3)}", lambda: "ab12" * r.choice([8, 16, 17]), lambda: ("AB12" * 10), lambda: f"AKIAIOSFODNNXEXAMPL{r.choice('ABC')}", lambda: "4111 1111 1111 1111"]
+    rows = []
+    for _ in range(60):
+        words = [f"w{r.choice('abc')}" for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(4)):
+            words.insert(r.randrange(len(words) + 1), r.choice(some)())
+        if r.random() < 0.6:
+            g, n = r.choice(givens), r.choice(surnames)
+            words += [r.choice(["Mr.", "Dr.", "Mrs", "Prof."]) + f" {g} {n}", "met", f"{g} {n},", "then", n + ".", "and", g, "but", f"Dr. {n}", "not", n.lower(), f"{n}x"]
+        rows.append(" ".join(words))
+    return rows
+
+
+def test_pii_by_brute_force(spark):
+    """The same entities found with another regular expression engine: all replaced, nothing else touched, one surrogate a token and the other way round."""
+    import regex
+
+    r = random.Random(21)
+    texts = _pii_rows(r)
+    table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_entities string")
+    got = {x.doc_id: x for x in pii.replace_pii(table, "k").collect()}
+    assert list(got[0].asDict()) == ["doc_id", "text", "n_entities"]
+    title = "(?:" + "|".join(x for own in pii.TITLES.values() for x in own) + ")"
+    forward: dict = {}
+    for i, t in enumerate(texts):
+        words = {w for m in regex.findall(rf"(?<![\p{{L}}\p{{N}}]){title}\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?", t) for w in m.split(" ")[1:]}
+        pattern = pii.MASTER + "".join(rf"|(?<![\p{{L}}\p{{N}}]){regex.escape(w)}(?![\p{{L}}\p{{N}}])" for w in sorted(words, key=len, reverse=True))
+        found = [m.span() for m in regex.finditer(pattern, t)]
+        assert got[i].n_entities == len(found)
+        rest, at, out = got[i].text, 0, []
+        for a, b in found:
+            assert rest.startswith(t[at:a]), (t, got[i].text)
+            rest, old = rest[a - at :], t[a:b]
+            after = t[b : b + 4]
+            if old[0].isupper() and (old in words or regex.match(title, old)):
+                new = regex.match(rf"(?:{title}\.? )?[\p{{Lu}}][\p{{L}}'’-]*" + (r" [\p{Lu}][\p{L}'’-]*" if old.count(" ") == 2 else ""), rest).group()
+            elif regex.fullmatch(r"\d+(\.\d+){3}", old):
+                new = regex.match(r"[\d.]+\d", rest).group()
+            elif "@" in old:
+                new = regex.match(r"[^@ ]+@[^ ]+", rest).group()
+            else:
+                new = rest[: len(old)]
+            rest, at = rest[len(new) :], b
+            assert new != old
+            out.append((old, new))
+        assert rest == t[at:]
+        for old, new in out:
+            pairs = zip(old.split("@"), new.split("@")) if "@" in old else zip(old.split(" ")[1:], new.split(" ")[1:]) if regex.match(title, old) else [(old, new)]
+            for a, b in pairs:
+                if regex.fullmatch(r"[+()\d -]{12,17}", a):
+                    a, b = regex.sub(r"\D", "", a)[-10:], regex.sub(r"\D", "", b)[-10:]
+                elif not a.startswith(("Pass", "AKIA")):
+                    a, b = a.lower(), b.lower()
+                assert forward.setdefault(a, b) == b, (a, b, forward[a])
+                assert a.count("-") == b.count("-") and a.count("'") == b.count("'") if a in ("jones-lee", "mary-ann", "o'brien") else True
+    assert len(set(forward.values())) == len(forward) and not set(forward.values()) & set(forward)
+    assert any(x in forward for x in ("jones-lee", "o'brien")) and len(forward) > 40
+
+
+def test_pii_names_of_one_person(spark):
+    text = "Mr. John Smith called. Dr. John Smith and Prof. Smith agreed; John Smith left. SMITH stayed, smith too. Mrs. Anne Jones-Lee saw Jones-Lee."
+    (row,) = pii.replace_pii(docs(spark, [text]), "k").collect()
+    new = row.text.split()
+    given, surname = new[1], new[2]
+    assert new[5:7] == [given, surname] and new[9] == surname and new[11:13] == [given, surname] and given in pii.GIVEN["m:latin"]
+    assert "Smith" not in row.text and "SMITH" in row.text and "smith" in row.text and "Jones" not in row.text
+    assert new[new.index("Mrs.") + 2].count("-") == 1 and new[-1] == new[new.index("Mrs.") + 2] + "." and new[new.index("Mrs.") + 1] in pii.GIVEN["f:latin"]
+    long = "Dr. X" + "y" * 90 + " and " + "l" * 80 + "@" + "d" * 70 + ".example.org"
+    (row,) = pii.replace_pii(docs(spark, [long]), "k").collect()
+    assert "yyyy" not in row.text and "llll" not in row.text and "dddd" not in row.text and row.n_entities == 2
+
+
 def test_decontamination_by_brute_force(spark):
     import re
 
