@@ -1,7 +1,7 @@
 """Document fingerprints: Order MinHash.
 
-A text's words, and every lone character of scripts without spaces inside
-them, are its symbols; its k-mers are k consecutive symbols, each with the
+A text's words are its symbols; of a word of more than SYMBOL_BYTES bytes, as
+scripts without spaces have, every character is one.  Its k-mers are k consecutive symbols, each with the
 number of its occurrence.  For each of SLOTS hash functions the PICKED k-mers
 of least hash are selected, put back into text order, and hashed as a tuple.
 Two fingerprints' likeness, the share of equal slots, estimates a similarity
@@ -11,7 +11,9 @@ whether they keep their order.
 Edge cases: a null text counts as an empty one; a text of fewer than K symbols
 has one k-mer of all of them; an empty text has a fingerprint of its own, equal
 to that of other texts without symbols and to no other; repeated rows and equal
-texts have equal fingerprints; null ids come last.
+texts have equal fingerprints; null ids come last; rows of one doc_id, or of
+none, follow each other by a hash of the text, then by the text; doc_id is an
+integer column; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from receptory.llm.common import BYTE_WEIGHT, NOT_SPACE, U64, bounded_rows, mix,
 
 #: Symbols of a k-mer, k-mers of a tuple, slots of a fingerprint.
 K, PICKED, SLOTS = 5, 2, 64
-#: Symbols longer than this many bytes are cut into pieces of so many bytes, so text without spaces has many symbols.
+#: The longest word that is one symbol.
 SYMBOL_BYTES = 24
+#: Rows of a run of documents that follow each other, about; runs of one table at most.
+RUN_ROWS, MOST_RUNS = 10_000, 1 << 16
 _SEEDS = mix(np.arange(1, SLOTS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _CELLS = 1 << 18
 
@@ -40,10 +44,15 @@ def symbols(text: bytes) -> np.ndarray:
     starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_SPACE)
     wide = np.flatnonzero(ends - starts > SYMBOL_BYTES)
     if len(wide):
-        cuts = [np.arange(starts[i], ends[i], SYMBOL_BYTES) for i in wide]
-        more = np.concatenate([x[1:] for x in cuts])
-        starts = np.sort(np.concatenate([starts, more]))
-        ends = np.sort(np.concatenate([ends, more]))
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, starts[wide], 1)
+        np.add.at(inside, ends[wide], -1)
+        cuts = np.flatnonzero((np.cumsum(inside)[:-1] > 0) & (data & 0xC0 != 0x80))  # first bytes of characters
+        begins = np.union1d(starts, cuts)
+        last = np.searchsorted(begins, begins, "right")
+        following = np.append(begins, len(data))[last]
+        owner = np.searchsorted(starts, begins, "right") - 1
+        starts, ends = begins, np.minimum(following, ends[owner])
     return span_hashes(prefix_hashes(BYTE_WEIGHT[data]), starts, ends)
 
 
@@ -105,42 +114,46 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_circle(docs: DataFrame, runs: int) -> DataFrame:
+def in_circle(docs: DataFrame, run_rows: int) -> DataFrame:
     """Rows (run, last, doc_id, text): within a run by descending doc_id, each run closed by a copy of the row that follows it.
 
     Runs are ranges of doc_id between quantiles, so only ids are looked at to
-    find them; the closing rows are one a run.  After the last run comes the
+    find them; an id of very many rows has runs of its own, by ranges of the
+    text's hash.  The closing rows are one a run.  After the last run comes the
     first.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
-    cuts = rows.select(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10_000).alias("q")).first().q if runs > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    run = F.lit(0)
-    if cuts:
-        run = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x > F.col("doc_id"))))
-    rows = rows.withColumn("run", run)
-    heads = rows.groupBy("run").agg(F.max("doc_id").alias("head"))
-    known = {x.run: x.head for x in bounded_rows(heads, len(cuts) + 1, "runs of doc_id")}
-    order = sorted(known)
-    if not order:
-        return rows.select("run", F.lit(False).alias("last"), "doc_id", "text")
-    before = {x: order[i - 1] for i, x in enumerate(order)}
-    firsts = rows.where(F.col("doc_id").isin([x for x in known.values() if x is not None]) | F.col("doc_id").isNull() if None in known.values() else F.col("doc_id").isin(list(known.values())))
-    first_rows = firsts.groupBy("run", "doc_id").agg(F.min("text").alias("text"))
-    first_rows = first_rows.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last()))).where("rank = 1")
-    mapping = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    closing = first_rows.select(mapping[F.col("run")].alias("run"), F.lit(True).alias("last"), "doc_id", "text")
-    return rows.select("run", F.lit(False).alias("last"), "doc_id", "text").unionByName(closing)
-
-
-def fingerprints(docs: DataFrame, runs: int | None = None) -> DataFrame:
-    """Fingerprint every text and its edited text, with the likeness to the edited and to the following text.
-
-    Rows with one doc_id follow each other by text.
-    """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = in_circle(docs, runs or min(4 * parts, 1000)).repartition(parts, "run").sortWithinPartitions(F.col("run"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column())
+    runs = min(-(-rows.count() // run_rows), MOST_RUNS)
+    large = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 4 * run_rows)
+    large = {x.doc_id: min(-(-x.n // run_rows), MOST_RUNS) for x in bounded_rows(large, MOST_RUNS, "ids of many rows")} if runs > 1 else {}
+    cuts = rows.select(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10 * runs).alias("q")).first().q if runs > 1 else None
+    # a row's range is how many cuts are above its id; a large id has its own range, as do rows without one
+    cuts = sorted({*(cuts or []), *(x + y for x in large if x is not None for y in (0, 1) if x + y < 1 << 63)})
+    known = F.lit(np.array(cuts, np.int64)) if cuts else F.array().cast("array<bigint>")
+    steps = len(cuts).bit_length()
+    search = f"aggregate(sequence(1, {max(steps, 1)}), named_struct('a', 0, 'b', size(cuts)), (s, i) -> if(s.a >= s.b, s, if(get(cuts, (s.a + s.b) div 2) <= doc_id, named_struct('a', cast((s.a + s.b) div 2 + 1 as int), 'b', s.b), named_struct('a', s.a, 'b', cast((s.a + s.b) div 2 as int)))), s -> size(cuts) - s.a)"
+    parts = F.lit(1)
+    for x, n in large.items():
+        parts = F.when(F.col("doc_id").eqNullSafe(F.lit(x)), n).otherwise(parts)
+    share = F.expr("cast(shiftrightunsigned(hash, 33) * parts div 2147483648 as int)")  # by ranges of the hash, read as unsigned
+    rows = rows.withColumn("cuts", known).withColumn("hash", F.xxhash64("text")).withColumn("parts", parts)
+    rows = rows.select(F.struct(F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.expr(search)).alias("range"), share.alias("share")).alias("run"), "doc_id", F.when(F.col("parts") > 1, F.expr("shiftrightunsigned(hash, 1)")).otherwise(0).alias("hash"), "text")
+    order = F.struct(F.bitwise_not("doc_id").alias("falling"), "hash", "text")
+    heads = rows.groupBy("run").agg(F.min(order).alias("head"))
+    numbers = [tuple(x.run) for x in bounded_rows(heads.select("run"), 2 * MOST_RUNS + 2 * sum(large.values()), "runs")]
+    if not numbers:
+        return rows.select("run", F.lit(False).alias("last"), "doc_id", "hash", "text")
+    numbers.sort()
+    before = spark.createDataFrame([(x, numbers[i - 1]) for i, x in enumerate(numbers)], "run struct<range: int, share: int>, before struct<range: int, share: int>")
+    closing = heads.join(F.broadcast(before), "run").select(F.col("before").alias("run"), F.lit(True).alias("last"), F.bitwise_not("head.falling").alias("doc_id"), "head.hash", "head.text")
+    return rows.select("run", F.lit(False).alias("last"), "doc_id", "hash", "text").unionByName(closing)
+
+
+def fingerprints(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Fingerprint every text and its edited text, with the likeness to the edited and to the following text."""
+    ordered = in_circle(docs, run_rows).repartition("run").sortWithinPartitions(F.col("run"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("text"))
+    ordered = ordered.select(F.expr("cast(run.range as bigint) << 32 | run.share").alias("run"), "last", "doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

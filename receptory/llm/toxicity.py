@@ -8,8 +8,10 @@ All overlapping windows of a whole text are scored; a document is as toxic as
 its worst window.  Windows of toxic documents are learnt as a bag: after the
 first epochs only the worst window of each counts as toxic.
 
-The network is fit on a bounded sample of labelled rows (FIT_DOCUMENTS, of each
-at most FIT_WINDOWS windows) and has a fixed size.
+The network is fit on a bounded sample of labelled rows (FIT_DOCUMENTS), on all
+windows of their whole texts, and has a fixed size; the sample goes by the
+hashes of doc_ids, so the same rows give the same network however they are laid
+out.  doc_id is an integer column.
 
 Edge cases: null and empty texts and texts without words have no window and
 get the score of the least toxic sampled document; without labels, or with one
@@ -34,7 +36,7 @@ from receptory.llm.quality import logistic_fit
 WIDTH, STRIDE = 32, 24
 #: Sizes: known words, trigram buckets, their vectors, hidden units of a direction, attention units.
 WORDS, TRIGRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 2048, 4096, 8, 12, 12, 8
-FIT_DOCUMENTS, FIT_WINDOWS = 8000, 16
+FIT_DOCUMENTS = 4000
 #: Windows that run through the network at once.
 CHUNK = 1024
 
@@ -254,39 +256,34 @@ class Adam:
             p[k] = (p[k] - self.rate * (a / (1 - 0.9**self.step)) / (np.sqrt(b / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
 
 
-def fit(documents: list[list[str]], labels: np.ndarray, epochs: int = 14, batch: int = 192, seed: int = 3) -> BiGru:
-    """Fit on windows of labelled documents (one list of windows each)."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 192, seed: int = 3) -> BiGru:
+    """Fit on all windows of labelled documents."""
     labels = labels.astype(np.float64)
-    used = np.array([len(x) > 0 for x in documents], bool)
+    t = Tokens.of_parts(texts) if texts else None
+    used = t.counts > 0 if texts else np.zeros(0, bool)
     if not used.any() or labels[used].min() == labels[used].max():
         n = len(labels)
         return BiGru({}, np.zeros(0, U64), constant=float((labels.sum() + 1) / (n + 2)) if n else 0.5)
-    owner = np.repeat(np.arange(len(documents)), [len(x) for x in documents])
-    texts = [x for own in documents for x in own]
-    t = Tokens.of_parts(texts)
-    starts = row_starts(t.counts)
-    seen = np.bincount(np.unique(np.repeat(owner, t.counts).astype(np.int64) << 32 | t.token) & 0xFFFFFFFF, minlength=len(t.hashes))
+    owner, first, length = t.windows()
+    seen = np.bincount(np.unique(np.repeat(np.arange(len(texts)), t.counts) << 32 | t.token) & 0xFFFFFFFF, minlength=len(t.hashes))
     common = np.argsort(-seen, kind="stable")[:WORDS]
     model = BiGru.start(np.sort(t.hashes[common[seen[common] >= 5]]))
     rng, adam = np.random.default_rng(seed), Adam(0.012)
     target = labels[owner]
-    live = np.flatnonzero(t.counts > 0)
+    live = np.arange(len(owner))
 
     def part(rows: np.ndarray) -> tuple[Tokens, np.ndarray, np.ndarray]:
-        tokens = np.concatenate([t.token[starts[r] : starts[r + 1]] for r in rows])
+        size = length[rows]
+        tokens = t.token[np.repeat(first[rows], size) + spread(size)]
         words, token = np.unique(tokens, return_inverse=True)
-        size = np.diff(t.trigram_starts)[words]
-        grams = t.trigrams[np.repeat(t.trigram_starts[words], size) + spread(size)]
-        return Tokens(t.hashes[words], grams, row_starts(size), token, t.counts[rows]), row_starts(t.counts[rows])[:-1], t.counts[rows]
-
-    def all_logits() -> np.ndarray:
-        return model.logits(t, starts[live], t.counts[live])
+        letters = np.diff(t.trigram_starts)[words]
+        grams = t.trigrams[np.repeat(t.trigram_starts[words], letters) + spread(letters)]
+        return Tokens(t.hashes[words], grams, row_starts(letters), token, size), row_starts(size)[:-1], size
 
     for epoch in range(epochs):
         toxic, clean = live[target[live] == 1], live[target[live] == 0]
         if epoch >= 3:
-            logit = np.full(len(owner), -1e9)
-            logit[live] = all_logits()
+            logit = model.logits(t, first, length)
             order = np.lexsort((-logit, owner))
             worst = order[np.unique(owner[order], return_index=True)[1]]
             toxic = worst[target[worst] == 1]
@@ -302,33 +299,17 @@ def fit(documents: list[list[str]], labels: np.ndarray, epochs: int = 14, batch:
             model_part = part(own)
             weights = np.where(target[own] == 1, 1.5, 0.75).astype(np.float32)
             adam.update(model.p, model.gradients(*model_part, target[own].astype(np.float32), weights))
-    logit = np.full(len(owner), -1e9)
-    logit[live] = all_logits()
-    most = np.full(len(documents), -np.inf)
-    np.maximum.at(most, owner, logit)
-    seen_docs = np.isfinite(most) & (most > -1e8)
-    model.slope, model.offset = logistic_fit(most[seen_docs], labels[seen_docs])
-    model.empty = float(most[seen_docs].min())
+    most = np.full(len(texts), -np.inf)
+    np.maximum.at(most, owner, model.logits(t, first, length))
+    model.slope, model.offset = logistic_fit(most[used], labels[used])
+    model.empty = float(most[used].min())
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_DOCUMENTS, windows: int = FIT_WINDOWS) -> BiGru:
-    """Executors cut the sampled documents into windows and take, by hash, at most so many of each."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, offsets = text_bytes(batch.column(1))
-            starts, ends, counts = word_spans(LOWER[data], offsets, ALPHANUMERIC)
-            cuts, out = row_starts(counts), []
-            raw = data.tobytes()
-            for i in range(batch.num_rows):
-                begins = np.arange(0, max(1, counts[i] - WIDTH + STRIDE), STRIDE) if counts[i] else np.zeros(0, int)
-                picked = begins[np.argsort(mix(begins.astype(U64) + U64(i)), kind="stable")[:windows]]
-                out.append([raw[starts[cuts[i] + b] : ends[min(cuts[i] + b + WIDTH, cuts[i + 1]) - 1]].decode("utf-8", "replace") for b in picked])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.string()))], ["doc_id", "label", "windows"])
-
-    got = sorted(labelled_sample(docs, labels, label, limit).mapInArrow(run, "doc_id long, label int, windows array<string>").collect(), key=lambda x: x.doc_id)
-    return fit([x.windows for x in got], np.array([x.label for x in got]))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_DOCUMENTS) -> BiGru:
+    """The driver gets the whole texts of at most limit labelled rows."""
+    got = labelled_sample(docs, labels, label, limit).toArrow().sort_by("doc_id")
+    return fit(got.column("text").to_pylist(), got.column("label").to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: BiGru, threshold: float = 0.5) -> DataFrame:

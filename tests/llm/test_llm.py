@@ -46,16 +46,30 @@ def test_foreign_warc(tmp_path):
     assert [x for p in reader.partitions() for x in reader.records(p)] == [(f"urn:{i}", 5000 * i) for i in range(4)]
 
 
-def test_order_minhash(spark):
+@pytest.mark.parametrize("run_rows", [10_000, 3, 1])
+def test_order_minhash(spark, run_rows):
     r = random.Random(1)
     texts = [words(r, n) for n in (300, 3, 1, 200)] + ["", None, "x" * 5000]
-    rows = order_minhash.fingerprints(docs(spark, texts), runs=3).collect()
-    assert len(rows) == len(texts)
-    known = sorted(((None if t is None and i % 2 else i, t or "") for i, t in enumerate(texts)), key=lambda x: -1 if x[0] is None else x[0], reverse=True)
-    for (i, t), (_, nxt) in zip(known, known[1:] + known[:1]):
-        row = next(x for x in rows if x.doc_id == i)
-        half = len(t) // 2
-        assert row.edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest() and row.n_chars == len(t)
+    rows = [(None if t is None else i * 3 - 5, t) for i, t in enumerate(texts)] + [(9, words(r, 20)) for _ in range(12)] + [(None, words(r, 9)) for _ in range(5)] + [(9, "same")] * 3 + [((1 << 63) - 1, "top")]
+    got = order_minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), run_rows).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_chars) for x in got) == sorted((i is None, i or 0, len(t or "")) for i, t in rows)
+    edits = {}
+    for i, t in rows:
+        for _, u in rows:
+            t, u = t or "", u or ""
+            edits.setdefault(sha(t[: len(t) - len(t) // 2] + u[: len(t) // 2]), set()).add((t, u))
+    # each row's edited text has a follower of the same id, or of the next lower one, or the first after the last
+    ids = sorted({i for i, _ in rows if i is not None}, reverse=True) + [None]
+    after = {i: {i, ids[(k + 1) % len(ids)]} for k, i in enumerate(ids)}
+    for x in got:
+        assert any(len(t) == x.n_chars and (x.doc_id, t) in {(i, v or "") for i, v in rows} and any((i, u) in {(j, v or "") for j, v in rows} for i in after[x.doc_id]) for t, u in edits[x.edited_sha256])
+    single = [i for i in ids if i not in (9, None)]
+    for i in single:
+        text, follow = next(t or "" for j, t in rows if j == i), next(iter(after[i] - {i}))
+        (x,) = (x for x in got if x.doc_id == i)
+        followers = [t or "" for j, t in rows if j == follow]
+        assert x.edited_sha256 in {sha(text[: len(text) - len(text) // 2] + u[: len(text) // 2]) for u in followers}
     a = order_minhash.signature(order_minhash.symbols(texts[0].encode()))
     swapped = " ".join(texts[0].split()[150:] + texts[0].split()[:150])
     b = order_minhash.signature(order_minhash.symbols(swapped.encode()))
@@ -63,6 +77,53 @@ def test_order_minhash(spark):
     assert order_minhash.fingerprints(docs(spark, [])).count() == 0
 
 
+def test_order_minhash_by_brute_force():
+    """Every slot: the k-mers of least hash, in text order, hashed as a tuple, in plain integers."""
+    from receptory.llm.common import BYTE_WEIGHT
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * m) & full
+        return x ^ x >> 33
+
+    def word(b):
+        return mix((sum(int(BYTE_WEIGHT[c]) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(b)) + len(b) * 0xD6E8FEB86659FD93) & full)
+
+    def signature(symbols):
+        k, seen, kmers = min(order_minhash.K, len(symbols)), {}, []
+        for at in range(len(symbols) - k + 1 if symbols else 0):
+            own = symbols[at : at + k]
+            value = 0
+            for x in own:
+                value = (value * 0xC2B2AE3D27D4EB4F + word(x)) & full
+            seen[tuple(own)] = seen.get(tuple(own), -1) + 1
+            kmers.append(mix((mix((value + k) & full) + seen[tuple(own)] * 0x9FB21C651E98DF25) & full))
+        out = []
+        for slot in range(1, order_minhash.SLOTS + 1):
+            seed = mix(slot * 0x9E3779B97F4A7C15 & full) | 1
+            places = sorted(sorted(range(len(kmers)), key=lambda i: kmers[i] * seed & full)[: order_minhash.PICKED])
+            value = 0
+            for j, i in enumerate(places):
+                value = mix((value * 0xD1342543DE82EF95 + kmers[i] + j + 1) & full)
+            out.append(value >> 32 | 1 if kmers else 0)
+        return out
+
+    r = random.Random(22)
+    for text in ("", "one", "one two three", words(r, 60, 8), words(r, 40) + " " + "日本語の文章はここに続く" * 3 + " x" * 12, "z" * 30):
+        symbols = [x for w in text.split() for x in ([w] if len(w.encode()) <= order_minhash.SYMBOL_BYTES else w)]
+        assert order_minhash.signature(order_minhash.symbols(text.encode())).tolist() == signature([x.encode() for x in symbols])
+
+
+def test_order_minhash_of_text_without_spaces():
+    r = random.Random(23)
+    text = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    sign = lambda t: order_minhash.signature(order_minhash.symbols(t.encode()))
+    assert order_minhash.likeness(sign(text), sign("一" + text)) > 0.95 and order_minhash.likeness(sign(text), sign(text + "一")) > 0.95
+    assert 0.2 < order_minhash.likeness(sign(text), sign(text[1000:])) < 0.8 and order_minhash.likeness(sign(text), sign(text[1000:] + text[:1000])) < 0.8
+
+
 def test_order_minhash_with_and_without_repeats():
     text = " ".join(f"u{i}" for i in range(400))
     sign = lambda t: order_minhash.signature(order_minhash.symbols(t.encode()))
@@ -276,12 +337,90 @@ def test_toxicity_gradients_and_edges(spark):
         m.p[name][at] -= 2e-3
         assert (up - loss()) / 2e-3 == pytest.approx(float(g[name][at]), abs=2e-5)
         m.p[name][at] += 1e-3
-    model = toxicity.fit([["all good here"], ["so bad idiot"]] * 30, np.array([0, 1] * 30), epochs=6)
+    model = toxicity.fit(["all good here", "so bad idiot"] * 30, np.array([0, 1] * 30), epochs=6)
     got = {x.doc_id: x.predicted for x in toxicity.score_toxicity(docs(spark, ["all good here", "so bad idiot", "", "a " * 500]), model).collect()}
     assert (got[0], got[1], got[2]) == (0, 1, 0)
     assert toxicity.fit([], np.zeros(0)).scores(pa.array(["x"])).tolist() == [0.5]
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Every window of a text step by step in plain loops; the worst one counts."""
+    r = random.Random(24)
+    texts = [words(r, n, 60) for n in (1, 5, 32, 33, 56, 57, 130)]
+    texts = [t + (" you vile idiot" if i % 2 else "") for i, t in enumerate(texts)] * 6
+    model = toxicity.fit(texts, np.arange(len(texts)) % 2, epochs=3)
+    again = toxicity.fit(texts, np.arange(len(texts)) % 2, epochs=3)
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)
+    p, h = model.p, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        (number,) = model.word_numbers(toxicity.Tokens.of(pa.array([w])).hashes)
+        raw = b"\x01" + w.encode() + b"\x02"
+        codes = [raw[i - 1] << 16 | raw[i] << 8 | raw[i + 1] for i in range(1, len(raw) - 1)]
+        grams = [int(toxicity.mix(np.array([c], np.uint64))[0]) >> 52 for c in codes]
+        return np.concatenate([p["word"][number], sum(p["char"][g] for g in grams) / len(grams) ** 0.5])
+
+    def states(k, xs):
+        out, state = [], np.zeros(h)
+        for x in xs:
+            g, own = x @ p[f"W{k}"] + p[f"b{k}"], state @ p[f"U{k}"] + p[f"c{k}"]
+            z, reset = sig(g[:h] + own[:h]), sig(g[h : 2 * h] + own[h : 2 * h])
+            state = (1 - z) * state + z * np.tanh(g[2 * h :] + reset * own[2 * h :])
+            out.append(state)
+        return out
+
+    def logit(w):
+        xs = [vector(x) for x in w]
+        both = [np.concatenate(x) for x in zip(states("f", xs), states("b", xs[::-1])[::-1])]
+        score = np.exp([np.tanh(s @ p["Wa"] + p["ba"]) @ p["va"] for s in both])
+        return (score / score.sum()) @ both @ p["wo"] + p["bo"][0]
+
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts[:7])), "doc_id long, text string").repartition(3), model).collect()}
+    for i, t in enumerate(texts[:7]):
+        w = t.split()
+        windows = [w[at : at + toxicity.WIDTH] for at in range(0, max(1, len(w) - toxicity.WIDTH + toxicity.STRIDE), toxicity.STRIDE)]
+        assert sorted({x for y in windows for x in y}) == sorted(set(w))
+        assert got[i] == pytest.approx(sig(model.slope * max(map(logit, windows)) + model.offset), abs=1e-4)
+
+
+@pytest.mark.parametrize("name", ["op5_toxicity", "op10_quality"])
+def test_held_out_accuracy(spark, name):
+    """On a table the tests are given, where about one toxic label in twelve stands on a text without any mark of it."""
+    import os
+
+    from receptory.llm import registry
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    kind = name.split("_")[1]
+    label = "toxic" if kind == "toxicity" else "quality"
+    rows = registry.QUERIES[name](spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where(f"held_out and {label} is not null").collect()
+    assert len(rows) > 100
+    for y in (0, 1):
+        own = [x.predicted == y for x in rows if x[label] == y]
+        assert own and sum(own) / len(own) > (0.9 if y and kind == "toxicity" else 0.95), (y, sum(own), len(own))
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Margins from sets of features, one document at a time."""
+    r = random.Random(25)
+    good, bad = [words(r, 30) + "." for _ in range(30)], [" | ".join(words(r, 30).split()) for _ in range(30)]
+    rows = [quality.indicators(pa.array([t]))[1] for t in good + bad]
+    labels = np.array([1] * 30 + [0] * 30)
+    model = quality.fit(rows, labels)
+    counts = {y: [1 + sum(f in set(x.tolist()) for x, z in zip(rows, labels) if z == y) for f in rows[0].tolist()] for y in (0, 1)}
+    totals = {y: (1 << quality.BITS) + sum(len(x) for x, z in zip(rows, labels) if z == y) for y in (0, 1)}
+    assert model.scale[rows[0]] == pytest.approx([np.log(a / totals[1]) - np.log(b / totals[0]) for a, b in zip(counts[1], counts[0])])
+    got = {x.doc_id: x for x in quality.score_quality(spark.createDataFrame(list(enumerate(good + bad + [""])), "doc_id long, text string"), model).collect()}
+    for i, x in enumerate([*rows, np.zeros(0, np.int64)]):
+        norm = sum(model.scale[f] ** 2 for f in x) ** 0.5
+        margin = sum(model.weight[f] for f in x) / max(norm, 1e-12) + model.bias
+        score = 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+        assert got[i].score == pytest.approx(score) and got[i].predicted == int(score >= 0.3)
+
+
 def test_bpe_against_library(spark):
     import public_tokenizers as public
     import tiktoken
