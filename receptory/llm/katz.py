@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, discard, fold, mix, prefix_hashes, release, row_starts, slices, span_hashes, spread, stored, table, text_bytes, text_column, tidy, word_spans
+from receptory.llm.common import BYTE_WEIGHT, LOWER, NOT_SPACE, U64, discard, fold, mix, prefix_hashes, release, row_starts, slices, small_batches, span_hashes, spread, stored, table, text_bytes, text_column, tidy, word_spans
 
 #: Words of the longest n-gram.
 ORDER = 2
@@ -316,8 +316,8 @@ def send(model: Model, buckets: int, order: int):
                         out = []
                 if out:
                     yield _rows(dict(zip([x.split()[0] for x in SENT.split(", ")], zip(*out, strict=True), strict=True)), len(out), SENT)
-                del block, history, count, lower, asked, at, bucket, place
-        release()
+                del block, history, count, lower, asked, at, bucket, place, out
+                release()
 
     return run
 
@@ -381,7 +381,7 @@ def numbered(blocks: DataFrame, counted: DataFrame, starts: DataFrame) -> DataFr
                 own[0][order], own[1][order] = np.concatenate(numbers), np.concatenate(counts)
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(one.column(x) for x in ("block", "ids", "tokens", "sizes", "train")), *(pa.array([enc(x)], pa.binary()) for x in own)], [x.split()[0] for x in NUMBERED.split(", ")])
-        release()
+                release()
 
     return blocks.join(replies, "block").mapInArrow(run, NUMBERED)
 
@@ -408,40 +408,41 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
     size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
     documents = blocks.select("train").mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
     ranges, buckets = -(-(size.words or 1) // range_pairs), -(-(size.tokens or 1) // bucket_tokens)
-    words_counted = stored(count_words(blocks, ranges), "words")
-    tidy(docs.sparkSession)
-
-    def numbers(frame: DataFrame, n: int) -> list[int]:
-        return [int(x or 0) for x in frame.where("kind = 'numbers'").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(n)]).first()]
-
-    *n, words, tokens = numbers(words_counted, K + 5)
-    model = Model(tokens, words, documents, max(tokens // buckets, least_dealt))
-    model.d[1] = discounts(np.array(n))
-    model.unknown = (1 + sum((1 - model.d[1][r]) * r * n[r] for r in range(1, K + 1))) / (tokens + 1)
-    # where each range's words of each level begin to be numbered
-    sizes = words_counted.where("kind = 'numbers'").select("bucket", F.posexplode(F.slice("stats", K + 6, LEVELS)).alias("level", "n"))
-    totals = {x.level: x.n for x in sizes.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # one row a level
-    bases = F.array(*[F.lit(sum(y for k, y in totals.items() if k < i)).cast("long") for i in range(LEVELS)])
-    above = F.coalesce(F.sum("n").over(Window.partitionBy("level").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("bucket", "level", (above + F.get(bases, F.col("level"))).alias("start")).groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "start"))), lambda x: x.start).alias("starts"))
-    known = stored(numbered(blocks, words_counted, starts), "numbered")
-    level = F.expr(f"cast({LEVELS - 1} - length(bin(totals[0])) as int)")
-    tables = {1: stored(words_counted.where("kind = 'word'").join(starts, "bucket").select("bucket", "history", (F.get(F.col("words"), F.lit(0)) + F.get("starts", level)).alias("word"), F.get("totals", F.lit(0)).alias("count")), "unigrams")}
-    discard(blocks, words_counted)
-    tidy(docs.sparkSession)
-    counted: dict[int, DataFrame] = {}
-    for m in range(2, order + 1):
-        sent = with_replies(known, counted).mapInArrow(send(model, buckets, m), SENT)
-        counted[m] = stored(sent.groupBy("bucket").applyInArrow(count_grams(model, buckets, m), COUNTED), "grams")
-        tables[m] = counted[m].where("kind = 'gram'").select("bucket", "history", F.explode(F.arrays_zip("words", "totals")).alias("x")).select("bucket", "history", F.col("x.words").alias("word"), F.col("x.totals").alias("count"))
+    with small_batches(docs.sparkSession, 1):  # rows of blocks are of megabytes
+        words_counted = stored(count_words(blocks, ranges), "words")
         tidy(docs.sparkSession)
-        model.d[m] = discounts(np.array(numbers(counted[m], K + 3)))
-        sums = [F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 1)] + [F.max(F.get("stats", F.lit(i))).alias(f"x{i}") for i in (K + 1, K + 2)]
-        hot = counted[m].where("kind = 'dealt'").groupBy("history").agg(F.sum("share").alias("share"), *sums).collect()  # fewer than buckets
-        x = np.array([[row[f"x{i}"] for i in range(K + 3)] for row in hot]).reshape(-1, K + 3)
-        names = np.array([row.history for row in hot], np.int64).view(U64)
-        by = np.argsort(names)
-        model.dealt[m] = (names[by], model.alpha(m, x[:, 1 : K + 1], x[:, 0], np.array([row.share for row in hot]), x[:, K + 1], x[:, K + 2])[by])
+
+        def numbers(frame: DataFrame, n: int) -> list[int]:
+            return [int(x or 0) for x in frame.where("kind = 'numbers'").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(n)]).first()]
+
+        *n, words, tokens = numbers(words_counted, K + 5)
+        model = Model(tokens, words, documents, max(tokens // buckets, least_dealt))
+        model.d[1] = discounts(np.array(n))
+        model.unknown = (1 + sum((1 - model.d[1][r]) * r * n[r] for r in range(1, K + 1))) / (tokens + 1)
+        # where each range's words of each level begin to be numbered
+        sizes = words_counted.where("kind = 'numbers'").select("bucket", F.posexplode(F.slice("stats", K + 6, LEVELS)).alias("level", "n"))
+        totals = {x.level: x.n for x in sizes.groupBy("level").agg(F.sum("n").alias("n")).collect()}  # one row a level
+        bases = F.array(*[F.lit(sum(y for k, y in totals.items() if k < i)).cast("long") for i in range(LEVELS)])
+        above = F.coalesce(F.sum("n").over(Window.partitionBy("level").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("bucket", "level", (above + F.get(bases, F.col("level"))).alias("start")).groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "start"))), lambda x: x.start).alias("starts"))
+        known = stored(numbered(blocks, words_counted, starts), "numbered")
+        level = F.expr(f"cast({LEVELS - 1} - length(bin(totals[0])) as int)")
+        tables = {1: stored(words_counted.where("kind = 'word'").join(starts, "bucket").select("bucket", "history", (F.get(F.col("words"), F.lit(0)) + F.get("starts", level)).alias("word"), F.get("totals", F.lit(0)).alias("count")), "unigrams")}
+        discard(blocks, words_counted)
+        tidy(docs.sparkSession)
+        counted: dict[int, DataFrame] = {}
+        for m in range(2, order + 1):
+            sent = with_replies(known, counted).mapInArrow(send(model, buckets, m), SENT)
+            counted[m] = stored(sent.groupBy("bucket").applyInArrow(count_grams(model, buckets, m), COUNTED), "grams")
+            tables[m] = counted[m].where("kind = 'gram'").select("bucket", "history", F.explode(F.arrays_zip("words", "totals")).alias("x")).select("bucket", "history", F.col("x.words").alias("word"), F.col("x.totals").alias("count"))
+            tidy(docs.sparkSession)
+            model.d[m] = discounts(np.array(numbers(counted[m], K + 3)))
+            sums = [F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(K + 1)] + [F.max(F.get("stats", F.lit(i))).alias(f"x{i}") for i in (K + 1, K + 2)]
+            hot = counted[m].where("kind = 'dealt'").groupBy("history").agg(F.sum("share").alias("share"), *sums).collect()  # fewer than buckets
+            x = np.array([[row[f"x{i}"] for i in range(K + 3)] for row in hot]).reshape(-1, K + 3)
+            names = np.array([row.history for row in hot], np.int64).view(U64)
+            by = np.argsort(names)
+            model.dealt[m] = (names[by], model.alpha(m, x[:, 1 : K + 1], x[:, 0], np.array([row.share for row in hot]), x[:, K + 1], x[:, K + 2])[by])
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,9 +453,10 @@ def score(docs: DataFrame, order: int = ORDER, bucket_tokens: int = BUCKET_TOKEN
                 sums = [np.bincount(block.doc, x, n) for x in (c > 0, np.log10((c + 1) / (model.tokens + model.words + 1)), block.scores(order))]
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
                 del block, c, sums
-        release()
+                release()
 
-    scored = with_replies(known, counted).mapInArrow(final, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    with small_batches(docs.sparkSession, 1):
+        scored = stored(with_replies(known, counted).mapInArrow(final, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores")
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")), tables
 
 
