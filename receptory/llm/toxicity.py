@@ -66,9 +66,9 @@ class Tokens:
         return cls(distinct, (mix(code) >> U64(52)).astype(np.int64), row_starts(size), token.ravel(), counts)
 
     @classmethod
-    def of_parts(cls, texts: list[str], rows: int = 4000) -> Tokens:
-        """The same of many texts, read some rows at a time, so memory is bounded by the parts."""
-        parts = [cls.of(pa.array(texts[at : at + rows], pa.string())) for at in range(0, len(texts), rows)]
+    def of_parts(cls, texts: pa.Array, limit: int = 1 << 18) -> Tokens:
+        """The same of many texts, read about limit bytes at a time, so memory is bounded by the parts."""
+        parts = [cls.of(x.column(0)) for x in slices([pa.RecordBatch.from_arrays([texts], ["text"])], limit=limit)]
         hashes, first, place = np.unique(np.concatenate([x.hashes for x in parts]), return_index=True, return_inverse=True)
         size = np.concatenate([np.diff(x.trigram_starts) for x in parts])
         base = row_starts(size)[first]
@@ -256,11 +256,12 @@ class Adam:
             p[k] = (p[k] - self.rate * (a / (1 - 0.9**self.step)) / (np.sqrt(b / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 192, seed: int = 3) -> BiGru:
+def fit(texts: list[str] | pa.Array, labels: np.ndarray, epochs: int = 14, batch: int = 192, seed: int = 3) -> BiGru:
     """Fit on all windows of labelled documents."""
     labels = labels.astype(np.float64)
-    t = Tokens.of_parts(texts) if texts else None
-    used = t.counts > 0 if texts else np.zeros(0, bool)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    t = Tokens.of_parts(texts) if len(texts) else None
+    used = t.counts > 0 if len(texts) else np.zeros(0, bool)
     if not used.any() or labels[used].min() == labels[used].max():
         n = len(labels)
         return BiGru({}, np.zeros(0, U64), constant=float((labels.sum() + 1) / (n + 2)) if n else 0.5)
@@ -309,7 +310,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 192
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_DOCUMENTS) -> BiGru:
     """The driver gets the whole texts of at most limit labelled rows."""
     got = labelled_sample(docs, labels, label, limit).toArrow().sort_by("doc_id")
-    return fit(got.column("text").to_pylist(), got.column("label").to_numpy())
+    return fit(got.column("text").combine_chunks(), got.column("label").to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: BiGru, threshold: float = 0.5) -> DataFrame:
