@@ -7,6 +7,7 @@ import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from receptory.plans import pipelines
 from receptory.plans.params import Association, ClusterParams, GroupParams
@@ -55,7 +56,7 @@ def group_params(a: argparse.Namespace) -> GroupParams:
     base = GroupParams.paper() if a.paper_params else GroupParams()
     changes = {k: getattr(a, k) for k in ("lcminp", "kmer_mindepth", "min_seq_length", "motif_distance", "max_global_p", "max_global_q", "min_subjects", "lcminove") if getattr(a, k) is not None}
     changes |= {k: True for k in ("all_aa_interchangeable", "global_vgene", "discontinuous") if getattr(a, k)}
-    association = Association(a.case, a.control, a.assoc_min_donors or 10, a.assoc_max_p, a.assoc_max_q, a.assoc_permute_seed) if a.case else None
+    association = Association(a.case, a.control, 10 if a.assoc_min_donors is None else a.assoc_min_donors, a.assoc_max_p, a.assoc_max_q, a.assoc_permute_seed) if a.case else None
     return replace(base, cluster_min_size=a.min_cluster, local=not a.no_local, global_=not a.no_global, association=association, **changes)
 
 
@@ -69,24 +70,31 @@ def main(arguments: list[str] | None = None) -> None:
         return
     rows, skipped = tables.read_repertoire(spark, a.input)
     if a.command == "expand":
+        # each draw depends on those before it, so the copies are made on the driver, like the generators
         base = [x.cdr3 for x in tables.first_seen_ids(rows).orderBy("seq_id").toLocalIterator()]
         tables.write_sequences(tables.from_sequences(spark, synth.expand(base, a.factor, a.seed)), a.out)
         return
+    timings = {"t_io": time.perf_counter() - began}
     if a.command == "groups":
         hla = tables.read_hla_table(spark, a.hla) if a.hla else None
         if hla is not None and not hla.limit(1).count():
             raise SystemExit("the HLA table has no alleles")
         found = pipelines.convergence_groups(rows, tables.read_sequences(spark, a.reference), group_params(a), hla)
-        tables.write_groups(found.with_members(), f"{a.out}_groups.tsv")
+        timings["t_groups"] = time.perf_counter() - began - timings["t_io"]
+        tables.write_groups(found.ordered(), f"{a.out}_groups.tsv")
         figures = found.summary()
     else:
         params = ClusterParams(mismatch_trim=a.mismatch_trim, max_p=a.max_p, min_count=a.min_count, fdr=a.fdr, gapped=a.gapped, motifs=not a.no_motifs, min_size=a.min_cluster)
         found = pipelines.merged_clusters(tables.first_seen_ids(rows), tables.read_sequences(spark, a.reference) if a.reference else None, params)
-        tables.write_tsv(found.rows(rows), f"{a.out}_clusters.tsv")
+        timings["t_clusters"] = time.perf_counter() - began - timings["t_io"]
+        tables.write_tsv(found.rows(rows, ordered=True), f"{a.out}_clusters.tsv")
         if found.motifs is not None:
             tables.write_motifs(found.motifs.where("passes"), f"{a.out}_motifs.tsv")
-        figures = {"clusters": found.clusters.count()}
-    print(tables.run_summary(figures | {"skipped": skipped.first().skipped, "seconds": round(time.perf_counter() - began, 2)}))
+        edges = found.clusters.agg(F.coalesce(F.sum("n_local_edges"), F.lit(0)).alias("n")).first().n
+        figures = {"rows": rows.count(), "unique": rows.select("cdr3").distinct().count(), "local_edges": edges, "motifs": found.motifs.where("passes").count() if found.motifs is not None else 0, "clusters": found.clusters.count()}
+    timings["t_total"] = time.perf_counter() - began
+    timings["t_output"] = timings["t_total"] - sum(v for k, v in timings.items() if k != "t_total")
+    print(tables.run_summary(figures | {"skipped": skipped.first().skipped} | {k: round(v, 4) for k, v in timings.items()}))
 
 
 if __name__ == "__main__":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from receptory.functions.scalars import round_2sig
+
 
 def ln_factorial(n: str) -> str:
     """ln n! as SQL: exact up to 20, then Stirling's series."""
@@ -40,10 +42,12 @@ def fisher_greater(a: str, b: str, c: str, d: str) -> Column:
     return hypergeom_upper(a, f"({a} + {c})", f"({b} + {d})", f"({a} + {b})")
 
 
-def with_upper_tail(rows: DataFrame, name: str, x: str, m: str, n: str, k: str) -> DataFrame:
-    """rows with the tail of columns x, m, n, k; it is worked out once for each combination that occurs."""
+def with_upper_tail(rows: DataFrame, name: str, x: str, m: str, n: str, k: str, rounded: bool = False) -> DataFrame:
+    """rows with the tail of columns x, m, n, k, to two figures if asked; it is worked out once for each combination that occurs."""
     keys = rows.select(F.expr(x).cast("long").alias("_x"), F.expr(m).cast("long").alias("_m"), F.expr(n).cast("long").alias("_n"), F.expr(k).cast("long").alias("_k")).distinct()
     tails = keys.withColumn(name, hypergeom_upper("_x", "_m", "_n", "_k"))
+    if rounded:
+        tails = tails.withColumn(name, round_2sig(name))
     on = (F.expr(x) == F.col("_x")) & (F.expr(m) == F.col("_m")) & (F.expr(n) == F.col("_n")) & (F.expr(k) == F.col("_k"))
     return rows.join(tails, on, "left").drop("_x", "_m", "_n", "_k")
 
@@ -71,6 +75,5 @@ def poisson_upper(k: str, rate: str) -> Column:
 
 
 def odds_ratio(a: str, b: str, c: str, d: str) -> Column:
-    """With 0.5 added to every cell if one is empty."""
-    e = f"if({a} = 0 or {b} = 0 or {c} = 0 or {d} = 0, 0.5D, 0D)"
-    return F.expr(f"(({a} + {e}) * ({d} + {e})) / (({b} + {e}) * ({c} + {e}))")
+    """With 0.5 added to every cell."""
+    return F.expr(f"(({a} + 0.5D) * ({d} + 0.5D)) / (({b} + 0.5D) * ({c} + 0.5D))")

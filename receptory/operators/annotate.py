@@ -50,7 +50,7 @@ def associate(groups: DataFrame, donors: DataFrame, classes: DataFrame, min_dono
 
 
 def hla_tests(donors: DataFrame, hla: DataFrame, rows: DataFrame) -> DataFrame:
-    """(type, tag, allele, hla_donors, hla_with_allele, p) of groups with two or more typed carriers."""
+    """(type, tag, allele, hla_donors, hla_with_allele, n_typed, p) of groups with two or more typed carriers."""
     known = rows.where("subject is not null").select("subject").distinct()
     typed = hla.distinct().join(known, "subject", "left_semi")
     background = typed.groupBy("allele").agg(F.countDistinct("subject").alias("bg"))
@@ -62,9 +62,9 @@ def hla_tests(donors: DataFrame, hla: DataFrame, rows: DataFrame) -> DataFrame:
     return stats.with_upper_tail(tests, "p", "hla_with_allele", "bg", "n_typed - bg", "hla_donors").drop("_j")
 
 
-def score_hla(groups: DataFrame, donors: DataFrame, hla: DataFrame, rows: DataFrame) -> DataFrame:
+def score_hla(groups: DataFrame, tests: DataFrame) -> DataFrame:
     """Adds the best allele, its counts, the Bonferroni-corrected p over the group's alleles, and q over all scored groups."""
-    best = hla_tests(donors, hla, rows).groupBy("type", "tag").agg(F.min_by(F.struct("allele", "hla_donors", "hla_with_allele", "p"), F.struct("p", "allele")).alias("b"), F.count("*").alias("tests"))
+    best = tests.groupBy("type", "tag").agg(F.min_by(F.struct("allele", "hla_donors", "hla_with_allele", "p"), F.struct("p", "allele")).alias("b"), F.count("*").alias("tests"))
     scored = best.select("type", "tag", F.col("b.allele").alias("hla_allele"), "b.hla_donors", "b.hla_with_allele", F.least(F.lit(1.0), F.col("b.p") * F.col("tests")).alias("hla_p"))
     return stats.benjamini_hochberg(groups.join(scored, ["type", "tag"], "left"), "hla_p", "hla_q")
 

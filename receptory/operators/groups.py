@@ -48,9 +48,9 @@ def motif_counts(sequences: DataFrame, params: GroupParams) -> DataFrame:
 def motif_statistics(sequences: DataFrame, params: GroupParams) -> DataFrame:
     """Fold change and rounded tail probability of every motif that is in the sample."""
     rows = motif_counts(sequences, params).where("num_in_sample > 0").join(F.broadcast(totals(sequences).select("n_sample", "n_reference").withColumn("_j", F.lit(1))), F.lit(1) == F.col("_j")).drop("_j")
-    rows = stats.with_upper_tail(rows, "p", "num_in_sample", "num_in_ref + num_in_sample", "n_reference + n_sample - num_in_ref - num_in_sample", "n_sample")
+    rows = stats.with_upper_tail(rows, "fisher_score", "num_in_sample", "num_in_ref + num_in_sample", "n_reference + n_sample - num_in_ref - num_in_sample", "n_sample", rounded=True)
     fold = F.col("num_in_sample") / (F.col("num_in_ref") + 0.01) / F.col("n_sample") * F.col("n_reference")
-    return rows.withColumn("fisher_score", scalars.round_2sig("p")).withColumn("num_fold", scalars.round_1dp(fold)).withColumn("residues", F.length(F.translate("motif", "%", "")))
+    return rows.withColumn("num_fold", scalars.round_1dp(fold)).withColumn("residues", F.length(F.translate("motif", "%", "")))
 
 
 def selected_motifs(statistics: DataFrame, params: GroupParams) -> DataFrame:
@@ -95,8 +95,8 @@ def local_groups(sequences: DataFrame, params: GroupParams) -> tuple[DataFrame,
     members = kept(hits.join(chains, "motif").where("start between low and high").select("tag", "motif", "cdr3").distinct())
     counted = members.groupBy("tag", "motif").agg(F.count("*").alias("cluster_size"))
     groups = counted.join(motifs.select("motif", "num_in_ref", "num_fold", "n_sample", "n_reference"), "motif")
-    groups = stats.with_upper_tail(groups, "p", "cluster_size", "num_in_ref + cluster_size", "n_reference + n_sample - num_in_ref - cluster_size", "n_sample")
-    groups = groups.select(F.lit("local").alias("type"), "tag", "cluster_size", F.col("cluster_size").alias("unique_cdr3_sample"), F.col("num_in_ref").alias("unique_cdr3_ref"), F.col("num_fold").alias("ove"), scalars.round_2sig("p").alias("fisher_score"))
+    groups = stats.with_upper_tail(groups, "fisher_score", "cluster_size", "num_in_ref + cluster_size", "n_reference + n_sample - num_in_ref - cluster_size", "n_sample", rounded=True)
+    groups = groups.select(F.lit("local").alias("type"), "tag", "cluster_size", F.col("cluster_size").alias("unique_cdr3_sample"), F.col("num_in_ref").alias("unique_cdr3_ref"), F.col("num_fold").alias("ove"), "fisher_score")
     return groups, members.select(F.lit("local").alias("type"), "tag", "cdr3"), motifs
 
 
@@ -116,7 +116,10 @@ def global_groups(sequences: DataFrame, params: GroupParams, v_genes: DataFrame
 
     v_genes: (cdr3, v_gene) of the input rows, for global_vgene.
     """
-    masked = masks(sequences, params.boundary)
+    # reference sequences of lengths that no sample sequence has share no mask; there are few lengths
+    lengths = sequences.where("in_sample = 1").select(F.length("cdr3").alias("_length")).distinct()
+    near = sequences.join(F.broadcast(lengths), F.length("cdr3") == F.col("_length"), "left_semi")
+    masked = masks(near, params.boundary)
     shared = mask_groups(masked)
     nodes = masked.where("in_sample = 1").select("mask", "cdr3", "residue").join(shared, "mask").withColumn("bit", scalars.residue_bit("residue"))
     if params.all_aa_interchangeable:

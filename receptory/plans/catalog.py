@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from receptory.functions import scalars, stats
-from receptory.operators import annotate, downstream, groups, merged
+from receptory.operators import downstream, groups, merged
+from receptory.operators.keep import kept
 from receptory.plans import fixtures, pipelines
 from receptory.plans.oracle import ORACLE_SQL
 from receptory.plans.params import Association, ClusterParams, GroupParams
@@ -19,8 +20,11 @@ QUERIES: dict[str, Query] = {}
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 ALL_AA = GroupParams(all_aa_interchangeable=True, local=False)
+BOTH = GroupParams(lcminove=(10.0,), all_aa_interchangeable=True)
 LOCAL = GroupParams(global_=False, lcminove=(10.0,))
 LABELS = Association("CMV+", "CMV-", min_donors=2)
+#: Kept by some groups of the test tables and not by others.
+Q_BOUND = 0.9999
 WHOLE = ClusterParams(min_fold=(), default_min_fold=10.0)
 
 
@@ -35,11 +39,13 @@ def score(p: str) -> Column:
 
 
 def convergence(spark: SparkSession, sf: str, params: GroupParams, hla: bool = False) -> pipelines.Convergence:
-    return pipelines.convergence_groups(fixtures.sample(spark, sf), fixtures.reference(spark, sf), params, fixtures.hla(spark, sf) if hla else None)
+    data = fixtures.Receptors(spark, sf)
+    return pipelines.convergence_groups(data.sample, data.reference, params, data.hla if hla else None)
 
 
 def sequences(spark: SparkSession, sf: str, params: GroupParams = ALL_AA) -> DataFrame:
-    return groups.working_sequences(fixtures.sample(spark, sf), fixtures.reference(spark, sf), params)
+    data = fixtures.Receptors(spark, sf)
+    return kept(groups.working_sequences(data.sample, data.reference, params))
 
 
 def shown(found: pipelines.Convergence) -> DataFrame:
@@ -95,7 +101,7 @@ def dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hla_wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
-    wide = fixtures.hla(spark, sf).groupBy("subject").agg(F.min("allele").alias("allele_1"), F.max("allele").alias("allele_2")).withColumn("allele_3", F.lit("NA"))
+    wide = fixtures.Receptors(spark, sf).hla.groupBy("subject").agg(F.min("allele").alias("allele_1"), F.max("allele").alias("allele_2")).withColumn("allele_3", F.lit("NA"))
     return tables.wide_to_long(wide, "subject")
 
 
@@ -173,8 +179,37 @@ def motif_enrichment_p1(spark: SparkSession, sf: str) -> DataFrame:
     return shown_motifs(groups.selected_motifs(groups.motif_statistics(sequences(spark, sf), LOCAL), LOCAL))
 
 
-def tested_motifs(spark: SparkSession, sf: str) -> DataFrame:
-    return merged.enriched_motifs(fixtures.sample(spark, sf).select("cdr3").distinct(), fixtures.reference(spark, sf).distinct(), WHOLE)
+def tested_motifs(spark: SparkSession, sf: str, params: ClusterParams = WHOLE) -> DataFrame:
+    data = fixtures.Receptors(spark, sf)
+    return merged.enriched_motifs(data.sample.select("cdr3").distinct(), data.reference.distinct(), params)
+
+
+@query
+def motif_enrichment_p1_default(spark: SparkSession, sf: str) -> DataFrame:
+    """The published defaults: another least fold for each motif length."""
+    return shown_motifs(groups.selected_motifs(groups.motif_statistics(sequences(spark, sf), GroupParams()), GroupParams()))
+
+
+@query
+def motif_enrichment_p2_default(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tested_motifs(spark, sf, ClusterParams()).where("passes")
+    return rows.select("motif", F.col("k").cast("long").alias("k"), "input_count", "reference_count", score("p_value").alias("p"))
+
+
+@query
+def motif_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences that carry an enriched motif."""
+    data = fixtures.Receptors(spark, sf)
+    own = data.sample.select("cdr3", F.lit(0).alias("seq_id")).distinct()
+    motifs = tested_motifs(spark, sf, ClusterParams()).where("passes")
+    return merged.sequence_motifs(own, ClusterParams()).join(motifs.select("motif"), "motif", "left_semi").select("motif", "cdr3")
+
+
+@query
+def motif_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Enriched motifs with their place in the order of the motif table."""
+    rows = tested_motifs(spark, sf, ClusterParams()).where("passes").select("motif", scalars.order_key("motif").alias("o"))
+    return rows.select("motif", F.row_number().over(Window.orderBy("o")).cast("long").alias("place"))
 
 
 @query
@@ -229,7 +264,7 @@ def global_groups_vgene(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def convergence_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(convergence(spark, sf, GroupParams(lcminove=(10.0,), all_aa_interchangeable=True)))
+    return shown(convergence(spark, sf, BOTH))
 
 
 # ---- donors, association, HLA, filters
@@ -268,6 +303,41 @@ def hla_scores(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("tag", F.col("hla_donors").cast("long").alias("hla_donors"), score("hla_p").alias("hla_p"), score("hla_q").alias("hla_q"))
 
 
+@query
+def hla_best_allele(spark: SparkSession, sf: str) -> DataFrame:
+    """The allele of least p, by name among equals."""
+    found = convergence(spark, sf, ALL_AA, hla=True).groups.where("hla_p is not null")
+    return found.select("tag", "hla_allele", F.col("hla_with_allele").cast("long").alias("hla_with_allele"))
+
+
+@query
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The run summary of an association and HLA run whose filters leave few groups."""
+    from dataclasses import replace
+
+    found = convergence(spark, sf, replace(ALL_AA, association=replace(LABELS, max_p=0.01)), hla=True).summary()
+    return spark.createDataFrame([(k, int(v)) for k, v in found.items()], "name string, value long")
+
+
+@query
+def hit_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Known members in groups of a low and of a higher p; sampled q are all high, so the bound is on q below 1."""
+    from dataclasses import replace
+
+    found = convergence(spark, sf, replace(ALL_AA, association=LABELS))
+    out = downstream.hit_table(found.tested, downstream.antigen_hits(found.members, antigens(spark, sf)), 0.999)
+    return out.withColumn("fisher_p", score("fisher_p"))
+
+
+@query
+def top_associated(spark: SparkSession, sf: str) -> DataFrame:
+    from dataclasses import replace
+
+    found = convergence(spark, sf, replace(ALL_AA, association=LABELS))
+    out = downstream.top_associated(found.tested, found.members, antigens(spark, sf), 1.0, "CMV")
+    return out.select("type", "tag", F.col("case_donors").cast("long").alias("case_donors"), F.col("control_donors").cast("long").alias("control_donors"), score("assoc_p").alias("assoc_p"), score("assoc_q").alias("assoc_q"), "members", "epitopes")
+
+
 @query
 def min_subjects_filter(spark: SparkSession, sf: str) -> DataFrame:
     from dataclasses import replace
@@ -286,7 +356,7 @@ def global_p_filter(spark: SparkSession, sf: str) -> DataFrame:
 def global_q_filter(spark: SparkSession, sf: str) -> DataFrame:
     from dataclasses import replace
 
-    return convergence(spark, sf, replace(ALL_AA, max_global_q=0.2)).groups.select("tag", score("fdr_q").alias("fdr_q"))
+    return convergence(spark, sf, replace(ALL_AA, max_global_q=Q_BOUND)).groups.select("tag", score("fdr_q").alias("fdr_q"))
 
 
 @query
@@ -317,23 +387,26 @@ def hamming_edges_trim(spark: SparkSession, sf: str) -> DataFrame:
     return merged.hamming_edges(numbered(spark, sf), 3).select("a", "b", F.col("position").cast("long").alias("position"))
 
 
-def merged_found(spark: SparkSession, sf: str) -> pipelines.Clusters:
-    return pipelines.merged_clusters(numbered(spark, sf), fixtures.reference(spark, sf).distinct(), ClusterParams(mismatch_trim=3, motifs=False))
+def merged_found(spark: SparkSession, sf: str) -> tuple[pipelines.Clusters, DataFrame]:
+    data = fixtures.Receptors(spark, sf)
+    return pipelines.merged_clusters(kept(tables.first_seen_ids(data.sample)), None, ClusterParams(mismatch_trim=3, motifs=False)), data.sample
 
 
 @query
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return merged_found(spark, sf).clusters.select(F.col("root").alias("first_seq"), "size", "n_local_edges")
+    return merged_found(spark, sf)[0].clusters.select(F.col("root").alias("first_seq"), "size", "n_local_edges")
 
 
 @query
 def cluster_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return merged_found(spark, sf).rows(fixtures.sample(spark, sf)).select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("CDR3b").alias("cdr3"), "TRBV", "TRBJ", "subject", "count")
+    found, rows = merged_found(spark, sf)
+    return found.rows(rows).select(F.col("cluster_id").cast("long").alias("cluster_id"), "cluster_size", "n_local_edges", "motifs", F.col("CDR3b").alias("cdr3"), "TRBV", "TRBJ", "subject", "count")
 
 
 @query
 def clusters_with_motifs(spark: SparkSession, sf: str) -> DataFrame:
-    found = pipelines.merged_clusters(numbered(spark, sf), fixtures.reference(spark, sf).distinct(), ClusterParams(mismatch_trim=3, min_fold=()))
+    data = fixtures.Receptors(spark, sf)
+    found = pipelines.merged_clusters(kept(tables.first_seen_ids(data.sample)), data.reference.distinct(), ClusterParams(mismatch_trim=3, min_fold=()))
     return found.clusters.select(F.col("root").alias("first_seq"), "size", "n_local_edges", F.array_join("motifs", ",").alias("motifs"))
 
 
@@ -346,7 +419,8 @@ def large(spark: SparkSession, sf: str) -> pipelines.Convergence:
 
 
 def antigens(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.sample(spark, sf).where("row_idx % 50 = 0").selectExpr("'HomoSapiens' as species", "'TRB' as gene", "cdr3").distinct()
+    own = fixtures.sample(spark, sf).where("row_idx % 50 = 0")
+    return own.selectExpr("'HomoSapiens' as species", "'TRB' as gene", "cdr3", "if(row_idx % 3 = 0, 'CMV', 'EBV') as antigen", "v_gene as epitope").distinct()
 
 
 @query
@@ -359,7 +433,7 @@ def size_matched(spark: SparkSession, sf: str) -> DataFrame:
     found = convergence(spark, sf, ALL_AA)
     chosen = found.groups.where("n_subjects >= 4").select("tag")
     out = downstream.size_matched(found.groups, downstream.antigen_hits(found.members, antigens(spark, sf)), chosen)
-    return out.select(F.col("observed").cast("long").alias("observed"), F.round("expected", 6).alias("expected"))
+    return out.select(F.col("observed").cast("long").alias("observed"), F.round("expected", 6).alias("expected"), "ratio", score("poisson_p").alias("poisson_p"))
 
 
 @query
@@ -370,22 +444,48 @@ def families(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def family_report(spark: SparkSession, sf: str) -> DataFrame:
     found = large(spark, sf)
-    out = downstream.family_report(found.groups, downstream.families(found.members), found.members, "fisher_score")
-    return out.select("family", score("best_p").alias("best_p"), "groups", "cdr3s")
+    out = downstream.family_report(found.groups, downstream.families(found.members), found.members, "fisher_score", antigens(spark, sf))
+    return out.select("family", score("best_p").alias("best_p"), "groups", "cdr3s", "members", "epitopes")
 
 
 @query
 def family_hla(spark: SparkSession, sf: str) -> DataFrame:
     found = large(spark, sf)
-    out = downstream.family_hla(downstream.families(found.members), found.members, fixtures.sample(spark, sf), fixtures.hla(spark, sf))
+    out = downstream.family_hla(downstream.families(found.members), found.members, found.rows, spark.sql(fixtures.HLA, tcr=found.rows))
     return out.select("family", "allele", "carriers_with", "carriers", "others_with", "others", score("p").alias("p"), score("q").alias("q"))
 
 
+@query
+def family_hla_best(spark: SparkSession, sf: str) -> DataFrame:
+    found = large(spark, sf)
+    tests = downstream.family_hla(downstream.families(found.members), found.members, found.rows, spark.sql(fixtures.HLA, tcr=found.rows))
+    out = downstream.family_hla_best(tests)
+    return out.select("family", "allele", "carriers", "carrier_share", "other_share", score("p").alias("p"))
+
+
+@query
+def hamming_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Mismatches of each sequence with the next of its donor; null where lengths differ."""
+    own = fixtures.sample(spark, sf).selectExpr("row_idx", "cdr3", "lead(cdr3) over (partition by subject order by row_idx, cdr3) as other").where("other is not null")
+    return own.select("row_idx", scalars.masked_distance("cdr3", "other").cast("long").alias("distance"))
+
+
 @query
 def group_diff(spark: SparkSession, sf: str) -> DataFrame:
-    left, right = convergence(spark, sf, ALL_AA), convergence(spark, sf, GroupParams(local=False))
+    left, right = convergence(spark, sf, BOTH), convergence(spark, sf, GroupParams(lcminove=(10.0,), kmer_mindepth=200))
     out = downstream.group_diff(left.members, right.members)
-    return out.select("type", "n_left", "n_right", "n_shared", "n_exact", F.round("mean_jaccard", 6).alias("mean_jaccard"))
+    return out.select("type", "n_left", "n_right", "n_shared", "only_left", "only_right", "n_exact", "exact_share", F.round("mean_jaccard", 6).alias("mean_jaccard"))
+
+
+@query
+def interface_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups that the in-memory entry point and the pipeline do not have alike: none."""
+    from receptory import api
+
+    data = fixtures.Receptors(spark, sf)
+    one = pipelines.convergence_groups(data.sample, data.reference, BOTH)
+    two = api.convergence_groups(spark, data.sample, data.reference, params=BOTH)
+    return downstream.agreement(one.members, two.members).groupBy("side").agg(F.count("*").alias("n"))
 
 
 @query

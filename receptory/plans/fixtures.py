@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
+from receptory.operators.keep import kept
+
 _AA = "'ACDEFGHIKLMNPQRSTVWY'"
 
 
@@ -34,16 +38,31 @@ def tcr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TCR, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
-def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tcr(spark, sf_dir).where("role = 'sample'").drop("role")
+class Receptors:
+    """What one query reads of the receptor rows, which are worked out once and stored for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def tcr(self) -> DataFrame:
+        return kept(tcr(self.spark, self.sf_dir))
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tcr(spark, sf_dir).where("role = 'reference'").select("cdr3")
+    @property
+    def sample(self) -> DataFrame:
+        return self.tcr.where("role = 'sample'").drop("role")
 
+    @property
+    def reference(self) -> DataFrame:
+        return self.tcr.where("role = 'reference'").select("cdr3")
 
-def hla(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HLA, tcr=sample(spark, sf_dir))
+    @property
+    def hla(self) -> DataFrame:
+        return self.spark.sql(HLA, tcr=self.sample)
+
+
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tcr(spark, sf_dir).where("role = 'sample'").drop("role")
 
 
 def tcr_sql() -> str:

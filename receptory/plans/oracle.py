@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from receptory.functions.scalars import AMINO_ACIDS, COMPATIBLE
 from receptory.plans.fixtures import HLA, tcr_sql
 
@@ -68,6 +70,31 @@ for _name, _nodes in (("plain", "plain"), ("blosum", "blosum"), ("vgenes", "vgen
     CTES[f"{_name}_tagged"] = f"select *, mask || '_' || case when v <> '' then v || '_' else '' end || found as tag from {_name}_parts"
     CTES[f"{_name}_members"] = f"select distinct 'global' as type, tag, n.cdr3, cluster_size from {_nodes} n join {_name}_tagged g using (mask, v, part)"
     CTES[f"{_name}_groups"] = f"select 'global' as type, tag, cluster_size, u as unique_cdr3_sample, n_r as unique_cdr3_ref, cast(0 as double) as ove, {tail('u', '(n_r + u)', '(nr + ns - n_r - u)', 'ns')} as p from {_name}_tagged, tot"
+_FULL = (1 << 64) - 1
+
+
+def _generator(seed: int) -> dict[str, str]:
+    """Labels shuffled by the seeded generator: the state of step k, its word, and the swaps from the last place down."""
+    start = seed * 0x9E3779B97F4A7C15 & _FULL | 1
+    a = "xor(x, x >> 12)"
+    b = f"xor(x, (x << 25) & {_FULL}::hugeint)"
+    c = "xor(x, x >> 27)"
+    high, low = "(x >> 32)", f"(x & {(1 << 32) - 1}::hugeint)"
+    times = 0x2545F4914F6CDD1D
+    word = f"((((({high} * {times}::hugeint) & {(1 << 32) - 1}::hugeint) << 32) + {low} * {times}::hugeint) & {_FULL}::hugeint)"
+    step = f"select k, {c} as x from (select k, {b} as x from (select k, {a} as x from (select k + 1 as k, x from states where k < 1000)))"
+    return {
+        "states": f"select 0 as k, {start}::hugeint as x union all {step}",
+        "words": f"select k, {word} as w from states where k > 0",
+        "shuffled": "select n - 1 as i, labels from labels0 union all select i - 1, list_transform(range(1, len(labels) + 1), lambda p: case when p = i + 1 then labels[j + 1] when p = j + 1 then labels[i + 1] else labels[p] end) from (select s.i, s.labels, cast(w % (s.i + 1) as bigint) as j from shuffled s join labels0 on true join words on k = n - s.i where s.i > 0)",
+        "pclasses": "select unnest(names) as subject, unnest((select labels from shuffled where i = 0)) as is_case from labels0",
+        "pcount": "select tag, coalesce(sum(is_case), 0) as x, coalesce(sum(1 - is_case), 0) as y from plain_tagged left join gdonors using (tag) left join pclasses using (subject) group by tag",
+        "ptested": f"select *, case when x + y >= 2 then {tail('x', '(x + y)', '(nc + nk - x - y)', 'nc')} end as p from pcount, ctotal",
+        "passoc_q": bh("ptested", "p"),
+    }
+
+
+CTES |= _generator(20261006)
 CTES |= {
     "gdonors": "select distinct tag, subject from plain_members join rows using (cdr3)",
     "dcounts": "select tag, count(*) as n_subjects from gdonors group by tag",
@@ -86,7 +113,7 @@ CTES |= {
     "hq": bh("hbest", "p"),
     "ids": "select cdr3, row_number() over (order by min(row_idx), cdr3) - 1 as seq_id from rows group by cdr3",
     "idmasks": "select seq_id, p as position, substr(cdr3, 1, p) || '%' || substr(cdr3, p + 2) as mask from (select *, unnest(range(0, length(cdr3))) as p from ids)",
-    "idmasks3": "select i.seq_id, position, mask from idmasks i join ids using (seq_id) where position >= 3 and position < length(cdr3) - 3",
+    "idmasks3": "select seq_id, p as position, substr(cdr3, 1, p) || '%' || substr(cdr3, p + 2) as mask from (select *, unnest(range(3, length(cdr3) - 3)) as p from ids where length(cdr3) > 6)",
     "edges": "select a.seq_id as a, b.seq_id as b, a.position from idmasks a join idmasks b on a.mask = b.mask and a.seq_id < b.seq_id",
     "edges3": "select a.seq_id as a, b.seq_id as b, a.position from idmasks3 a join idmasks3 b on a.mask = b.mask and a.seq_id < b.seq_id",
     "both3": "select a, b from edges3 union select b, a from edges3",
@@ -99,6 +126,22 @@ CTES |= {
     "sizes2": "select count(distinct cdr3) filter (role = 'sample') as n_in, count(distinct cdr3) filter (role = 'reference') as n_ref from tcr",
     "m2p": f"select *, case when reference_count = 0 then cast('Infinity' as double) else (input_count / n_in) / (reference_count / n_ref) end as fold, {tail('input_count', '(input_count + reference_count)', '(n_in + n_ref - input_count - reference_count)', 'n_in')} as p from m2, sizes2",
     "m2q": bh("m2p", "p"),
+    "p2": f"select * from m2p where fold >= 10 and p <= 0.001",
+    "p2carry": "select c.motif, seq_id from carry c join p2 using (motif) join ids using (cdr3) where role = 'sample'",
+    "star": "select seq_id as a, min(seq_id) over (partition by motif) as b from p2carry union select a, b from edges3",
+    "both4": "select a, b from star where a <> b union select b, a from star where a <> b",
+    "cc4": "select seq_id as node, seq_id as root from ids where seq_id in (select a from both4) union select b, root from cc4 join both4 on a = node where root < b",
+    "croots4": "select node, min(root) as root from cc4 group by node",
+    "m2d": "select *, case length(motif) when 2 then 1000 when 3 then 100 else 10 end as least from m2p",
+    "p2d": "select * from m2d where fold >= least and p <= 0.001",
+    "antigens": "select distinct cdr3, case when row_idx % 3 = 0 then 'CMV' else 'EBV' end as antigen, v_gene as epitope from rows where row_idx % 50 = 0",
+    "atested": "select t.*, z.q, hit from tested t join assoc_q z on z.p = t.p join (select tag, max(cast(cdr3 in (select cdr3 from antigen) as int)) as hit from plain_members group by tag) using (tag)",
+    "acells": "select coalesce(sum(s * hit), 0) as sig_hit, coalesce(sum(s * (1 - hit)), 0) as sig_miss, coalesce(sum((1 - s) * hit), 0) as rest_hit, coalesce(sum((1 - s) * (1 - hit)), 0) as rest_miss from (select *, cast(q <= 0.999 as int) as s from atested)",
+    "lost": "select sum(c) as n, sum(c * hit) as seen, sum(1 - c) as rest, sum((1 - c) * hit) as rest_hits from (select g.cluster_size, cast(n_subjects >= 4 as int) as c, hit from plain_tagged g join dcounts using (tag) join (select tag, max(cast(cdr3 in (select cdr3 from antigen) as int)) as hit from plain_members group by tag) using (tag)) group by least(cluster_size, 40)",
+    "matched": "select sum(seen) as observed, sum(case when rest > 0 then n * rest_hits / rest else 0 end) as expected from lost",
+    # the seeded generator, one word a row: x ^= x >> 12, x ^= x << 25, x ^= x >> 27, times a constant, in 64 bits
+    "donors1": "select subject, min(row_idx) as first from rows where subject like '%:CMV+' or subject like '%:CMV-' group by subject",
+    "labels0": "select list(cast(subject like '%:CMV+' as int) order by first) as labels, list(subject order by first) as names, count(*) as n from donors1",
     "big": "select * from plain_tagged where cluster_size >= 4",
     "bigm": "select distinct tag, cdr3 from plain_members where cluster_size >= 4",
     "antigen": "select distinct cdr3 from rows where row_idx % 50 = 0",
@@ -112,34 +155,46 @@ CTES |= {
 }
 
 
-def sql(final: str) -> str:
-    return "with recursive " + ",\n".join(f"{k} as ({v})" for k, v in CTES.items() if k in _needed(final)) + "\n" + final
-
-
-def _needed(text: str) -> set[str]:
-    import re
-
-    out: set[str] = set()
-    todo = [text]
-    while todo:
-        words = set(re.findall(r"\w+", todo.pop()))
-        for k in words & CTES.keys() - out:
-            out.add(k)
-            todo.append(CTES[k])
-    return out
-
-
-def group_rows(name: str, members: bool = True) -> str:
+def group_select(name: str, members: bool = True) -> str:
     people = f"{name}_members" if name != "l" else "lmembers"
     source = f"{name}_groups" if name != "l" else "lgroups"
     last = ", m.members" if members else ""
-    return sql(
+    return (
         f"select type, g.tag, cast(cluster_size as bigint) as cluster_size, cast(unique_cdr3_sample as bigint) as unique_cdr3_sample, cast(unique_cdr3_ref as bigint) as unique_cdr3_ref, ove, {score('g.p')} as fisher_score, {score('q')} as fdr_q, coalesce(n, 0) as n_subjects{last} "
         f"from {source} g join ({bh(source, 'p')}) z on z.p = g.p join (select tag, string_agg(cdr3, ' ' order by cdr3) as members from (select distinct tag, cdr3 from {people}) group by tag) m on m.tag = g.tag "
         f"left join (select tag, count(distinct subject) as n from {people} join rows using (cdr3) group by tag) d on d.tag = g.tag"
     )
 
 
+def sql(final: str) -> str:
+    """The parts that final needs, each after those it needs itself, and final."""
+    placed: dict[str, str] = {}
+
+    def place(text: str, inside: tuple[str, ...]) -> None:
+        for k in sorted(set(re.findall(r"\w+", text)) & CTES.keys()):
+            if k not in placed and k not in inside:
+                place(CTES[k], (*inside, k))
+                placed[k] = CTES[k]
+
+    place(final, ())
+    return "with recursive " + ",\n".join(f"{k} as ({v})" for k, v in placed.items()) + "\n" + final
+
+
+def group_rows(name: str, members: bool = True) -> str:
+    return sql(group_select(name, members))
+
+
+def diff(left: str, right: str) -> str:
+    """Comparison of two sets of (type, tag, cdr3), by type and of all."""
+    lists = lambda x, c: f"select type, tag, list(distinct cdr3 order by cdr3) as {c} from ({x}) group by type, tag"
+    shared = "x is not null and y is not null"
+    return (
+        f"select kind as type, count(x) as n_left, count(y) as n_right, count(*) filter ({shared}) as n_shared, count(x) - count(*) filter ({shared}) as only_left, count(y) - count(*) filter ({shared}) as only_right, count(*) filter (x = y) as n_exact, "
+        f"case when count(x) > 0 then round(count(*) filter (x = y) / count(x), 6) end as exact_share, round(avg(case when {shared} then len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) end), 6) as mean_jaccard "
+        f"from (select unnest([type, 'all']) as kind, x, y from ({lists(left, 'x')}) a full join ({lists(right, 'y')}) b using (type, tag)) group by kind"
+    )
+
+
 ORACLE_SQL = {
     "normalize_cdr3": sql(f"select row_idx, case when regexp_full_match(upper(trim(cdr3)), '[{AMINO_ACIDS}]+') then upper(trim(cdr3)) end as cdr3 from raw"),
     "missing_fields": sql("select row_idx, nullif(nullif(trim(v_gene), ''), 'NA') as v_gene from raw"),
@@ -153,7 +208,7 @@ ORACLE_SQL = {
     "hypergeom_tail": sql(f"select x, m, n, k, {score(tail('x', 'm', 'n', 'k'))} as p from (select distinct a as x, a + b * 50 as m, c * 1000 + d as n, a + b + c as k from margins) where k <= m + n"),
     "bh_qvalues": f"with t as (select l_orderkey * 8 + l_linenumber as id, l_returnflag as kind, (l_partkey * 7919 + l_suppkey * 31) % 10000 / 10000 * ((l_orderkey % 100 + 1) / 100) as p from lineitem) select id, kind, round(q, 9) as q from t join ({bh('t', 'p', 'kind')}) z on z.b = kind and z.p = t.p",
     "poisson_tail": sql("select k, rate, round(case when k <= 0 then 1 else greatest(0, 1 - list_sum(list_transform(range(k), lambda i: exp(i * ln(rate) - rate - lgamma(i + 1))))) end, 9) as p from (select distinct a as k, (b + 1) / 2 as rate from margins)"),
-    "odds_ratio": sql("select a, b, c, d, round((a + e) * (d + e) / ((b + e) * (c + e)), 6) as odds from (select *, cast(case when a = 0 or b = 0 or c = 0 or d = 0 then 0.5 else 0 end as double) as e from margins)"),
+    "odds_ratio": sql("select a, b, c, d, round((a + e) * (d + e) / ((b + e) * (c + e)), 6) as odds from (select *, cast(0.5 as double) as e from margins)"),
     "motif_occurrence_counts": sql("select * from counts"),
     "gapped_motif_counts": sql("select motif, cast(sum(s) as bigint) as num_in_sample, cast(sum(r) as bigint) as num_in_ref from gapped group by motif"),
     "motif_sequence_counts": sql("select motif, count(*) as n from carry where role = 'sample' group by motif"),
@@ -174,17 +229,32 @@ ORACLE_SQL = {
     "hla_scores": sql(f"select tag, hla_donors, {score('h.p')} as hla_p, {score('q')} as hla_q from hbest h join hq z on z.p = h.p"),
     "min_subjects_filter": sql("select tag, n_subjects from dcounts where n_subjects >= 4"),
     "global_p_filter": sql(f"select tag, {score('p')} as fisher_score from plain_groups where p <= 0.05"),
-    "global_q_filter": sql(f"select tag, {score('q')} as fdr_q from plain_groups g join ({bh('plain_groups', 'p')}) z on z.p = g.p where q <= 0.2"),
+    "global_q_filter": sql(f"select tag, {score('q')} as fdr_q from plain_groups g join ({bh('plain_groups', 'p')}) z on z.p = g.p where q <= 0.9999"),
     "top_groups": sql("select tag, cast(cluster_size as bigint) as cluster_size from plain_tagged order by cluster_size desc, tag limit 100"),
     "length_buckets": sql("select length(cdr3) as length, count(*) as n from ids group by 1"),
     "hamming_edges": sql("select a, b, position from edges"),
     "hamming_edges_trim": sql("select a, b, position from edges3"),
     "clusters": sql("select root as first_seq, size, n_local_edges from csizes join (select root, count(*) as n_local_edges from edges3 join croots on node = a group by root) using (root)"),
-    "cluster_rows": sql("select dense_rank() over (order by root) - 1 as cluster_id, cdr3, v_gene as TRBV, j_gene as TRBJ, subject, count from croots join ids on seq_id = node join rows using (cdr3)"),
+    "cluster_rows": sql("select dense_rank() over (order by root) - 1 as cluster_id, size as cluster_size, n_local_edges, '-' as motifs, cdr3, v_gene as TRBV, j_gene as TRBJ, subject, count from croots join csizes using (root) join (select root, count(*) as n_local_edges from edges3 join croots on node = a group by root) using (root) join ids on seq_id = node join rows using (cdr3)"),
+    "clusters_with_motifs": sql("select root as first_seq, size, coalesce(n, 0) as n_local_edges, coalesce(motifs, '') as motifs from (select root, count(*) as size from croots4 group by root) left join (select root, count(*) as n from edges3 join croots4 on node = a group by root) using (root) left join (select root, string_agg(motif, ',' order by motif) as motifs from (select distinct root, motif from p2carry join croots4 on node = seq_id) group by root) using (root) where size >= 2"),
     "antigen_lookup": sql("select tag, cast(max(cast(cdr3 in (select cdr3 from antigen) as int)) as bigint) as hit from bigm group by tag"),
-    "size_matched": sql("select cast(sum(seen) as bigint) as observed, round(sum(case when rest > 0 then n * rest_hits / rest else 0 end), 6) as expected from (select least(cluster_size, 40) as bin, sum(c) as n, sum(c * hit) as seen, sum(1 - c) as rest, sum((1 - c) * hit) as rest_hits from (select g.cluster_size, cast(n_subjects >= 4 as int) as c, hit from plain_tagged g join dcounts using (tag) join (select tag, max(cast(cdr3 in (select cdr3 from antigen) as int)) as hit from plain_members group by tag) using (tag)) group by 1)"),
+    "size_matched": sql(f"select cast(observed as bigint) as observed, round(expected, 6) as expected, case when expected > 0 then round(observed / expected, 3) end as ratio, {score("greatest(0, 1 - coalesce(list_sum(list_transform(range(cast(observed as bigint)), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1)))), 0))")} as poisson_p from matched"),
     "families": sql("select tag, family from family"),
-    "family_report": sql(f"select family, {score('best_p')} as best_p, groups, cdr3s from (select family, min(p) as best_p, count(*) as groups from family join plain_groups using (tag) group by family) join (select family, count(distinct cdr3) as cdr3s from family join bigm using (tag) group by family) using (family)"),
+    "family_report": sql(f"select family, {score('best_p')} as best_p, groups, cdr3s, members, coalesce(epitopes, '-') as epitopes from (select family, min(p) as best_p, count(*) as groups from family join plain_groups using (tag) group by family) join (select family, count(distinct cdr3) as cdr3s, string_agg(distinct cdr3, ' ' order by cdr3) as members from family join bigm using (tag) group by family) using (family) left join (select family, string_agg(distinct antigen || ':' || epitope, ';' order by antigen || ':' || epitope) as epitopes from family join bigm using (tag) join antigens using (cdr3) group by family) using (family)"),
     "family_hla": sql(f"select family, allele, w as carriers_with, carriers, bg - w as others_with, n - carriers as others, {score('t.p')} as p, {score('q')} as q from ftests t join fq z on z.p = t.p"),
-    "group_diff": sql("select 'global' as type, count(x) as n_left, count(y) as n_right, count(*) filter (x is not null and y is not null) as n_shared, count(*) filter (x = y) as n_exact, round(avg(case when x is not null and y is not null then len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) end), 6) as mean_jaccard from (select tag, list(distinct cdr3 order by cdr3) as x from plain_members group by tag) a full join (select tag, list(distinct cdr3 order by cdr3) as y from blosum_members group by tag) b using (tag)"),
+    "family_hla_best": sql(f"select family, allele, carriers, round(w / greatest(1, carriers), 3) as carrier_share, round((bg - w) / greatest(1, n - carriers), 3) as other_share, {score('p')} as p from ftests qualify row_number() over (partition by family order by p, allele) = 1"),
+    "group_diff": sql(diff("select distinct 'local' as type, tag, cdr3 from lmembers where tag in (select tag from lgroups) union all select 'global', tag, cdr3 from plain_members", "select distinct 'local' as type, tag, cdr3 from lmembers join chosen using (motif) where num_in_sample >= 200 and tag in (select tag from lgroups) union all select 'global', tag, cdr3 from blosum_members")),
+    "interface_agreement": "select 'none' as side, cast(0 as bigint) as n where false",
+    "convergence_groups": sql(group_select("l") + " union all " + group_select("plain")),
+    "association_permuted": sql(f"select tag, cast(x as bigint) as case_donors, cast(y as bigint) as control_donors, {score('t.p')} as assoc_p, {score('q')} as assoc_q from ptested t left join passoc_q z on z.p = t.p"),
+    "benchmark_subset": sql("select cdr3, v_gene from (select cdr3, arg_min(v_gene, row_idx) as v_gene from rows where subject in (select subject from rows where subject is not null group by subject order by min(row_idx) limit 40) group by cdr3) order by md5(cdr3 || ':7') limit 2000"),
+    "motif_enrichment_p1_default": sql(f"select motif, num_in_sample, num_in_ref, {score('fisher')} as fisher_score, num_fold from mstat where num_fold >= case length(motif) when 2 then 1000 when 3 then 100 else 10 end and fisher <= 0.01 and num_in_sample >= 3"),
+    "motif_enrichment_p2_default": sql(f"select motif, cast(length(motif) as bigint) as k, input_count, reference_count, {score('p')} as p from p2d"),
+    "motif_members": sql("select motif, cdr3 from carry join p2d using (motif) where role = 'sample'"),
+    "motif_order": sql("select motif, row_number() over (order by length(motif), motif) as place from p2d"),
+    "hla_best_allele": sql("select tag, allele as hla_allele, w as hla_with_allele from htests qualify row_number() over (partition by tag order by p, allele) = 1"),
+    "hit_table": sql(f"select cast(sig_hit as bigint) as sig_hit, cast(sig_miss as bigint) as sig_miss, cast(rest_hit as bigint) as rest_hit, cast(rest_miss as bigint) as rest_miss, round(sig_hit / greatest(1, sig_hit + sig_miss), 6) as sig_share, round(rest_hit / greatest(1, rest_hit + rest_miss), 6) as rest_share, round((sig_hit + 0.5) * (rest_miss + 0.5) / ((sig_miss + 0.5) * (rest_hit + 0.5)), 3) as odds_ratio, {score(tail('sig_hit', '(sig_hit + rest_hit)', '(sig_miss + rest_miss)', '(sig_hit + sig_miss)'))} as fisher_p from acells"),
+    "top_associated": sql(f"select 'global' as type, t.tag, cast(x as bigint) as case_donors, cast(y as bigint) as control_donors, {score('t.p')} as assoc_p, {score('q')} as assoc_q, members, coalesce(epitopes, '-') as epitopes from atested t join (select tag, count(*) as members from plain_members group by tag) using (tag) left join (select tag, string_agg(distinct antigen || ':' || epitope, ';' order by antigen || ':' || epitope) as epitopes from plain_members join antigens using (cdr3) where antigen = 'CMV' group by tag) using (tag) where q <= 1"),
+    "run_totals": sql("select unnest(['rows', 'unique', 'n_sample', 'n_reference', 'motifs', 'local_groups', 'global_groups', 'n_case', 'n_control', 'assoc_tested', 'assoc_q05', 'hla_typed_donors', 'hla_scored', 'hla_tests', 'hla_q05']) as name, unnest([(select count(*) from rows), (select count(distinct cdr3) from rows), cast((select ns from tot) as bigint), cast((select nr from tot) as bigint), 0, 0, (select count(*) from tested where p <= 0.01), cast((select nc from ctotal) as bigint), cast((select nk from ctotal) as bigint), (select count(p) from tested), (select count(*) from tested t join assoc_q z on z.p = t.p where z.q <= 0.05), (select n from hn), (select count(*) from hbest), (select count(*) from htests), (select count(*) from hbest h join hq z on z.p = h.p where z.q <= 0.05)]) as value"),
+    "hamming_distance": sql("select row_idx, cast(case when length(cdr3) = length(other) then list_sum(list_transform(range(1, length(cdr3) + 1), lambda i: cast(substr(cdr3, i, 1) <> substr(other, i, 1) as int))) end as bigint) as distance from (select row_idx, cdr3, lead(cdr3) over (partition by subject order by row_idx, cdr3) as other from rows) where other is not null"),
 }

@@ -15,12 +15,16 @@ from receptory.plans.params import ClusterParams, GroupParams
 
 @dataclass
 class Convergence:
-    """groups: one row a group; members: (type, tag, cdr3); motifs: the selected ones; sequences: those that were used."""
+    """groups: one row a group; members: (type, tag, cdr3); motifs: the selected ones; sequences: those that were used; tested: the groups before the final filters; rows: the input."""
 
     groups: DataFrame
     members: DataFrame
     motifs: DataFrame | None
     sequences: DataFrame
+    tested: DataFrame
+    rows: DataFrame
+    classes: DataFrame | None = None
+    hla_tests: DataFrame | None = None
     _summary: dict = field(default_factory=dict)
 
     def with_members(self) -> DataFrame:
@@ -28,21 +32,35 @@ class Convergence:
         arrays = self.members.groupBy("type", "tag").agg(F.array_sort(F.collect_list("cdr3")).alias("members"))
         return self.groups.join(arrays, ["type", "tag"])
 
+    def ordered(self) -> DataFrame:
+        """with_members in the order of the group table: local by motif and range, then global by length, place, mask, V gene as first seen and residues."""
+        mask = F.substring_index("tag", "_", 1)
+        parts = F.split("tag", "_")
+        # V genes are as many as there are names of genes
+        seen = self.rows.where("v_gene is not null").groupBy(F.col("v_gene").alias("_v")).agg(F.min("row_idx").alias("_first"))
+        rows = self.with_members().withColumn("_v", F.when((F.col("type") == "global") & (F.size(parts) > 2), F.get(parts, F.lit(1)))).join(seen, "_v", "left")
+        local = F.col("type") == "local"
+        keys = [~local, F.length(mask), F.when(local, F.translate(mask, ".", "~")), F.when(local, F.get(parts, F.lit(1)).cast("int")), F.when(local, F.get(parts, F.lit(2)).cast("int")), F.instr(mask, "%"), mask, F.col("_first").asc_nulls_last(), "_v", F.element_at(parts, -1)]
+        return rows.orderBy(*keys).drop("_v", "_first")
+
     def cluster_list(self) -> DataFrame:
         return self.with_members().select("tag", "members")
 
     def summary(self) -> dict:
-        """Counts of sequences, motifs and groups by type."""
+        """Counts of rows, sequences, motifs and groups by type, and of tests before the final filters."""
         if not self._summary:
             t = groups.totals(self.sequences).first()
             kinds = {x.type: x["count"] for x in self.groups.groupBy("type").count().collect()}
-            self._summary = {"n_sample": t.n_sample, "n_reference": t.n_reference, "motifs": self.motifs.count() if self.motifs is not None else 0, "local_groups": kinds.get("local", 0), "global_groups": kinds.get("global", 0)}
-            if "assoc_p" in self.groups.columns:
-                tested = self.groups.agg(F.count("assoc_p").alias("tested"), F.count_if(F.col("assoc_q") <= 0.05).alias("significant")).first()
-                self._summary |= {"association_tested": tested.tested, "association_q05": tested.significant}
-            if "hla_p" in self.groups.columns:
-                scored = self.groups.agg(F.count("hla_p").alias("scored"), F.count_if(F.col("hla_q") <= 0.05).alias("significant")).first()
-                self._summary |= {"hla_scored": scored.scored, "hla_q05": scored.significant}
+            n = self.rows.agg(F.count("*").alias("rows"), F.countDistinct("cdr3").alias("unique")).first()
+            self._summary = {"rows": n.rows, "unique": n.unique, "n_sample": t.n_sample, "n_reference": t.n_reference, "motifs": self.motifs.count() if self.motifs is not None else 0, "local_groups": kinds.get("local", 0), "global_groups": kinds.get("global", 0)}
+            if self.classes is not None:
+                c = self.classes.agg(F.coalesce(F.sum("is_case"), F.lit(0)).alias("case"), F.count("*").alias("all")).first()
+                x = self.tested.agg(F.count("assoc_p").alias("tested"), F.count_if(F.col("assoc_q") <= 0.05).alias("significant")).first()
+                self._summary |= {"n_case": c.case, "n_control": c.all - c.case, "assoc_tested": x.tested, "assoc_q05": x.significant}
+            if self.hla_tests is not None:
+                x = self.tested.agg(F.count("hla_p").alias("scored"), F.count_if(F.col("hla_q") <= 0.05).alias("significant")).first()
+                n = self.hla_tests.agg(F.count("*").alias("tests"), F.coalesce(F.max("n_typed"), F.lit(0)).alias("typed")).first()
+                self._summary |= {"hla_typed_donors": n.typed, "hla_scored": x.scored, "hla_tests": n.tests, "hla_q05": x.significant}
         return self._summary
 
 
@@ -71,10 +89,11 @@ def convergence_groups(rows: DataFrame, reference: DataFrame, params: GroupParam
     if a:
         classes = annotate.subject_classes(rows, a.case, a.control) if a.permute_seed is None else annotate.permuted_classes(rows, a.case, a.control, a.permute_seed)
         found = annotate.associate(found, donors, classes, a.min_donors)
-    if hla is not None:
-        found = annotate.score_hla(found, donors, hla, rows)
-    found = annotate.filtered(found, params, a)
-    return Convergence(found, members.join(found.select("type", "tag"), ["type", "tag"], "left_semi"), motifs, sequences)
+    tests = annotate.hla_tests(donors, hla, rows) if hla is not None else None
+    if tests is not None:
+        found = annotate.score_hla(found, tests)
+    tested, found = found, annotate.filtered(found, params, a)
+    return Convergence(found, members.join(found.select("type", "tag"), ["type", "tag"], "left_semi"), motifs, sequences, tested, rows, classes if a else None, tests)
 
 
 @dataclass
@@ -98,11 +117,12 @@ class Clusters:
         before = local.groupBy("_range").agg(F.count("*").alias("_size")).withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size"))
         return local.join(before.select("_range", "_before"), "_range").withColumn("cluster_id", F.col("_before") + F.col("_n") - 1).drop("_range", "_n", "_before")
 
-    def rows(self, rows: DataFrame) -> DataFrame:
-        """One line for each cluster, member and input row."""
+    def rows(self, rows: DataFrame, ordered: bool = False) -> DataFrame:
+        """One line for each cluster, member and input row, in that order if asked."""
         line = self.numbered().join(self.members, "root").join(rows, "cdr3")
         motifs = F.when(F.size("motifs") > 0, F.array_join("motifs", ",")).otherwise("-")
         named = [F.coalesce(x, F.lit("NA")).alias(y) for x, y in (("v_gene", "TRBV"), ("j_gene", "TRBJ"), ("subject", "subject"))]
+        line = line.orderBy("cluster_id", "seq_id", "row_idx") if ordered else line
         return line.select("cluster_id", F.col("size").alias("cluster_size"), "n_local_edges", motifs.alias("motifs"), F.col("cdr3").alias("CDR3b"), *named, "count")
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from receptory.functions import scalars
+from receptory.operators.keep import kept
 
 #: Column names that headers use (fixed values); compared trimmed and without case.
 ALIASES = {
@@ -17,6 +21,14 @@ ALIASES = {
     "subject": "subject:condition subject patient donor sample_id".split(),
     "count": "count Freq frequency duplicate_count templates".split(),
 }
+#: The same for tables in memory, where the first name that a table has counts (fixed values).
+FRAME_ALIASES = {
+    "cdr3": ["CDR3b", "cdr3", "cdr3aa", "CDR3.beta", "junction_aa"],
+    "v_gene": ["TRBV", "v", "v_gene", "v_call"],
+    "j_gene": ["TRBJ", "j", "j_gene", "j_call"],
+    "subject": ["patient", "subject", "subject:condition", "donor", "sample_id"],
+    "count": ["counts", "count", "templates"],
+}
 #: Places of the columns in files without a header.
 POSITIONS = {"cdr3": 0, "v_gene": 1, "j_gene": 2, "subject": 4, "count": 5}
 #: First-column names that make the first line of an HLA table a header (fixed values).
@@ -36,6 +48,13 @@ def resolve_header(fields: list[str]) -> dict[str, int] | None:
     return found if "cdr3" in found else None
 
 
+def resolve_frame(columns: list[str]) -> dict[str, int] | None:
+    """Places of the columns of a table in memory; the first alias that a column has counts, in the aliases' order."""
+    names = [x.lower() for x in columns]
+    found = {k: next((names.index(x.lower()) for x in own if x.lower() in names), None) for k, own in FRAME_ALIASES.items()}
+    return {k: v for k, v in found.items() if v is not None} if found["cdr3"] is not None else None
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_idx"), F.regexp_replace("value", "\r$", "").alias("value"))
     return lines.where((scalars.trimmed(F.col("value")) != "") & ~F.col("value").startswith("#"))
@@ -92,14 +111,16 @@ def read_hla_table(spark: SparkSession, path: str) -> DataFrame:
     return parsed_hla(_lines(spark, path))
 
 
-def first_seen_ids(rows: DataFrame, ranges: int = 64) -> DataFrame:
+def first_seen_ids(rows: DataFrame, range_rows: int = 200_000) -> DataFrame:
     """(cdr3, seq_id): distinct sequences numbered from 0 in order of their first row.
 
-    Numbers are given within ranges of the first row and moved by the ranges'
-    totals, so nothing but a range is sorted in one task.
+    Numbers are given within ranges of the first row, as many as the rows ask
+    for up to 10,000, and moved by the ranges' totals, so nothing but a range
+    is sorted in one task.
     """
-    firsts = rows.groupBy("cdr3").agg(F.min("row_idx").alias("first"))
-    cuts = sorted(set(firsts.select(F.percentile_approx("first", [i / ranges for i in range(1, ranges)], 1000).alias("q")).first().q or []))
+    firsts = kept(rows.groupBy("cdr3").agg(F.min("row_idx").alias("first")))
+    ranges = min(max(1, -(-firsts.count() // range_rows)), 10_000)
+    cuts = sorted(set(firsts.select(F.percentile_approx("first", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q or [])) if ranges > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("first"))) if cuts else F.lit(0)
     firsts = firsts.withColumn("_part", part)
     numbered = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("first", "cdr3")))
@@ -137,22 +158,64 @@ def subset(rows: DataFrame, subjects: int, n: int, seed: int) -> DataFrame:
     """n distinct sequences, with their first V gene, of the first subjects, in an order fixed by the seed."""
     first = rows.where("subject is not null").groupBy("subject").agg(F.min("row_idx").alias("f")).orderBy("f").limit(subjects)
     each = rows.join(F.broadcast(first.select("subject")), "subject", "left_semi").groupBy("cdr3").agg(F.min_by("v_gene", "row_idx").alias("v_gene"))
-    return each.orderBy(F.xxhash64("cdr3", F.lit(seed)), "cdr3").limit(n)
+    return each.orderBy(F.md5(F.concat("cdr3", F.lit(f":{seed}"))), "cdr3").limit(n)
+
+
+def _text(x: float | None, scientific: bool) -> str:
+    """The shortest digits that give the number back: as 4.6e-4 or as a plain decimal."""
+    if x is None or x != x:
+        return "NaN"
+    if x in (float("inf"), float("-inf")):
+        return "inf" if x > 0 else "-inf"
+    if scientific:
+        return np.format_float_scientific(x, unique=True, trim="-", exp_digits=1).replace("e+", "e")
+    return np.format_float_positional(x, unique=True, trim="-")
+
 
+@F.pandas_udf(StringType())
+def scientific(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: _text(v, True))
 
-def _number(x: str) -> Column:
-    return F.coalesce(F.col(x).cast("string"), F.lit("NaN")).alias(x)
+
+@F.pandas_udf(StringType())
+def decimal(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: _text(v, False))
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    """One file of tab-separated lines under a header, in the order of rows.
+
+    Sorted parts are written beside it by the executors and then copied one
+    after another through the driver, which holds a buffer of them at a time.
+    """
+    spark = rows.sparkSession
+    parts = f"{path}.parts"
+    rows.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("NA")) for x in rows.columns])).write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(("\t".join(rows.columns) + "\n").encode()))
+        for name in names:
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def group_lines(groups: DataFrame) -> DataFrame:
     """groups (with members) under the names of the group table; optional blocks only where worked out."""
     names = {"type": "type", "tag": "tag", "cluster_size": "cluster_size", "unique_cdr3_sample": "unique_cdr3_sample", "unique_cdr3_ref": "unique_cdr3_ref", "ove": "OvE", "fisher_score": "fisher.score", "fdr_q": "fdr.q", "n_subjects": "n_subjects", "case_donors": "case_donors", "control_donors": "control_donors", "assoc_p": "assoc.p", "assoc_q": "assoc.q", "hla_allele": "hla.allele", "hla_donors": "hla.donors", "hla_with_allele": "hla.with_allele", "hla_p": "hla.p", "hla_q": "hla.q"}
     there = [x for x in names if x in groups.columns]
-    return groups.select(*[_number(x).alias(names[x]) for x in there], F.array_join("members", " ").alias("members"))
+    shown = {"ove": decimal, "hla_allele": lambda x: F.coalesce(x, F.lit("NA")), "hla_donors": lambda x: F.coalesce(x, F.lit(0)), "hla_with_allele": lambda x: F.coalesce(x, F.lit(0))} | dict.fromkeys(("fisher_score", "fdr_q", "assoc_p", "assoc_q", "hla_p", "hla_q"), scientific)
+    return groups.select(*[shown.get(x, lambda y: y)(F.col(x)).cast("string").alias(names[x]) for x in there], F.array_join("members", " ").alias("members"))
 
 
 def write_groups(groups: DataFrame, path: str) -> None:
@@ -160,11 +223,19 @@ def write_groups(groups: DataFrame, path: str) -> None:
 
 
 def write_motifs(motifs: DataFrame, path: str) -> None:
-    write_tsv(motifs.select("motif", "k", "input_count", "reference_count", "fold", F.col("p_value").alias("p"), F.col("q_value").alias("q")), path)
+    """Motifs by length, then alphabet."""
+    rows = motifs.orderBy(scalars.order_key("motif"))
+    write_tsv(rows.select("motif", "k", "input_count", "reference_count", decimal("fold").alias("fold"), scientific("p_value").alias("p_value"), scientific("q_value").alias("q_value")), path)
 
 
 def write_sequences(sequences: DataFrame, path: str) -> None:
-    write_tsv(sequences.select(F.col("cdr3").alias("CDR3b")), path)
+    """Sequences in the order of their rows."""
+    write_tsv(sequences.orderBy("row_idx").select(F.col("cdr3").alias("CDR3b")), path)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges by their ends and position."""
+    write_tsv(edges.orderBy("a", "b", "position").select("a", "b", "position"), path)
 
 
 def run_summary(figures: dict) -> str:
