@@ -15,11 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from receptory.llm.bpe import encode_documents
-from receptory.llm.common import stored, table
+from receptory.llm.common import discard, stored, table, tidy
 from receptory.llm.decontaminate import decontaminate
 from receptory.llm.line_dedup import dedup_lines
 from receptory.llm.ngram_jaccard import one_of_each
@@ -48,6 +47,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -63,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each keeps is written and read again, and deleted when the next is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
+        tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
