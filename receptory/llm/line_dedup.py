@@ -16,8 +16,8 @@ Each removed line thus has an equal one earlier that its place refers to, and
 so the first of them stays.  White space at the ends of lines is not compared.
 
 The counts of keys are aggregated before they are shuffled; only chunks whose
-key occurs again are joined, a frequent key's in shares with a copy of the first
-each, and only documents that lose text are put together anew.
+key occurs again are brought together, a frequent key's in shares with a copy of
+the first each, and only documents that lose text are put together anew.
 
 Edge cases: a null text stays null and an empty one empty; a document all of
 whose text came before keeps its row with an empty text; rows equal in doc_id
@@ -30,7 +30,7 @@ those added here are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from receptory.llm.bits import bitmap, marked, within
@@ -41,12 +41,12 @@ LINE_CHARS, SEED_CHARS, MIN_CHARS = 160, 24, 120
 #: A line ends with a line break, a sentence end, or a word from one of two letters on (one word in four or so).
 _LINE = "[^{0}\\n]{{{{0,{{0}}}}}}(?:[{0}]{1}{{{{0,20}}}}[.!?,;:]* ?\\n?|\\n)|[^\\n]{{{{1,{{1}}}}}}"
 LINE_PATTERN = _LINE.format("gb.!?", "[a-zà-ÿ]").format(LINE_CHARS - 1, LINE_CHARS)
-#: Texts with other scripts' characters (to Java's engine far slower) have their marks and two of their letters too.
-WIDE, WIDE_PATTERN = "[Ѐ-῿⺀-퟿]", _LINE.format("gbгб.!?。！？，、،", "[a-zа-я]").format(LINE_CHARS - 1, LINE_CHARS)
+#: Texts of other scripts, by their bytes a character, have their marks and two of their letters too (a far slower pattern to Java's engine).
+WIDE, WIDE_PATTERN = "octet_length({0}) * 2 > length({0}) * 3", _LINE.format("gbгб.!?。！？，、،", "[a-zа-я]").format(LINE_CHARS - 1, LINE_CHARS)
 #: Stands for a null doc_id; sorts last.
 LAST = (1 << 63) - 1
-#: Chunks that one copy of the first chunk is compared with.
-SHARE = 1000
+#: Chunks of one key above which they are dealt to several tasks; chunks that one copy of the first is compared with.
+HOT, SHARE = 4000, 1000
 _ADDED = ("removed_chunks", "removed_chars")
 
 
@@ -58,7 +58,7 @@ def put(df: DataFrame, name: str, value: str) -> DataFrame:
 def lined(rows: DataFrame) -> DataFrame:
     """Adds lines, the array of the text's lines; together they are the text."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.when(text.rlike(WIDE), F.regexp_extract_all(text, F.lit(WIDE_PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(LINE_PATTERN), F.lit(0)))
+    lines = F.when(F.expr(WIDE.format("coalesce(text, '')")), F.regexp_extract_all(text, F.lit(WIDE_PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(LINE_PATTERN), F.lit(0)))
     return rows.select("*", F.explode(F.array(lines)).alias("lines"))
 
 
@@ -94,30 +94,36 @@ def _same(n: str, mine: str, first: str) -> str:
     return f"if({n} <= 0, 0, aggregate(sequence(1, {n}), 0, (m, j) -> if(m = j - 1 and {_bare(f'get(span, {mine})')} = {_bare(f'get(first_span, {first})')}, m + 1, m)))"
 
 
+def _ranges(pairs: DataFrame) -> DataFrame:
+    """(doc_id, rid, f, t): the lines found equal of chunks that have the first chunk of their text beside them (first_span, fa, fb)."""
+    same = pairs.where(f"{_bare("array_join(slice(span, a + 1, b - a), '')")} = {_bare("array_join(slice(first_span, fa + 1, fb - fa), '')")}")
+    before = _same("least(a, fa)", "a - j", "fa - j")
+    after = _same("least(size(span) - b, size(first_span) - fb)", "b + j - 1", "fb + j - 1")
+    return same.select("doc_id", "rid", F.expr(f"s - {before}").alias("f"), F.expr(f"s + b - a + {after}").alias("t"))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, ranges): of each text the sorted ranges (f, t) of lines that came before."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rid"), F.col("text").cast("string").alias("text"))
-    light = stored(chunk_keys(rows), "chunks")
     place = F.struct("doc_id", "rid", "k")
-    often = stored(light.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    keys = bitmap(often, "key")
-    repeats = stored(within(light, "key", keys).join(often, "key"), "repeats")
-    again = repeats.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.ceil(F.max("n") / SHARE).cast("int").alias("shares")).where("first <> last")
-    again = stored(again.select("key", "first", "shares"), "again")
-    holders = bitmap(repeats, "rid")
-    discard(light, often, repeats)
+    often = stored(chunk_keys(rows).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
     tidy(docs.sparkSession)
-    found = chunk_spans(within(rows, "rid", holders), keys).join(again, "key")
-    found = stored(found.withColumn("share", F.expr("cast(pmod(rid, shares) as int)")).withColumn("leads", place == F.col("first")), "spans")
-    tidy(docs.sparkSession)
-    first = found.where("leads").dropDuplicates(["key"]).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("span").alias("first_span"), F.col("a").alias("fa"), F.col("b").alias("fb"))
-    both = found.where("not leads").join(first, ["key", "share"])
-    both = both.where(f"{_bare("array_join(slice(span, a + 1, b - a), '')")} = {_bare("array_join(slice(first_span, fa + 1, fb - fa), '')")}")
-    before = _same("least(a, fa)", "a - j", "fa - j")
-    after = _same("least(size(span) - b, size(first_span) - fb)", "b + j - 1", "fb + j - 1")
-    ranges = both.select("doc_id", "rid", F.expr(f"s - {before}").alias("f"), F.expr(f"s + b - a + {after}").alias("t"))
+    # a key's chunks meet in one task and the first is read off, but for frequent keys
+    few = often.where(F.col("n") <= HOT).select("key")
+    keys = bitmap(few, "key")
+    first = Window.partitionBy("key").orderBy(place)
+    found = chunk_spans(rows, keys).join(few, "key").withColumn("first", F.first(F.struct(place.alias("place"), F.col("span"), F.col("a"), F.col("b"))).over(first))
+    ranges = _ranges(found.where(place != F.col("first.place")).select("*", F.col("first.span").alias("first_span"), F.col("first.a").alias("fa"), F.col("first.b").alias("fb")))
+    many, spans = often.where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), None
+    if many.limit(1).count():
+        hot = bitmap(many, "key")
+        spans = stored(chunk_spans(rows, hot).join(many, "key"), "spans")
+        leads = spans.groupBy("key").agg(F.min(place).alias("first"))
+        spans_of = spans.join(leads, "key").withColumn("leads", place == F.col("first")).withColumn("share", F.expr("cast(pmod(rid, shares) as int)"))
+        heads = spans_of.where("leads").dropDuplicates(["key"]).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("span").alias("first_span"), F.col("a").alias("fa"), F.col("b").alias("fb"))
+        ranges = ranges.unionByName(_ranges(spans_of.where("not leads").join(heads, ["key", "share"])))
     gone = stored(ranges.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("f", "t"))).alias("ranges")), "ranges")
-    discard(again, keys, holders, found)
+    discard(often, keys, *([spans] if spans is not None else []))
     tidy(docs.sparkSession)
     return gone
 
@@ -157,7 +163,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = rf"""
-with r as (select row_number() over () as rid, coalesce(doc_id, {LAST}) as id, doc_id, text, case when regexp_matches(coalesce(text, ''), '{WIDE}') then regexp_extract_all(coalesce(text, ''), '{WIDE_PATTERN.replace(chr(92) + "n", chr(10))}') else regexp_extract_all(coalesce(text, ''), '{LINE_PATTERN.replace(chr(92) + "n", chr(10))}') end as lines from documents),
+with r as (select row_number() over () as rid, coalesce(doc_id, {LAST}) as id, doc_id, text, case when {WIDE.format("coalesce(text, '')").replace("octet_length", "strlen")} then regexp_extract_all(coalesce(text, ''), '{WIDE_PATTERN.replace(chr(92) + "n", chr(10))}') else regexp_extract_all(coalesce(text, ''), '{LINE_PATTERN.replace(chr(92) + "n", chr(10))}') end as lines from documents),
 u as (select rid, id, i - 1 as i, lines[i] as line from (select rid, id, lines, unnest(range(1, len(lines) + 1)) as i from r)),
 a as (select *, rtrim(line, e' \n') as bare from u),
 b as (select *, (coalesce(lag(strlen(line)) over w, 0) * 331 + strlen(line)) * 40503 % 65521 as r from a window w as (partition by rid order by i)),

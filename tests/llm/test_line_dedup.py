@@ -28,7 +28,7 @@ def run(spark, rows):
 
 
 def cut_lines(t):
-    return [m.group() for m in re.finditer(line_dedup.WIDE_PATTERN if re.search(line_dedup.WIDE, t) else line_dedup.LINE_PATTERN, t)]
+    return [m.group() for m in re.finditer(line_dedup.WIDE_PATTERN if len(t.encode()) * 2 > len(t) * 3 else line_dedup.LINE_PATTERN, t)]
 
 
 def brute_force(rows):
@@ -77,8 +77,9 @@ def brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("share", [1000, 2])
-def test_line_dedup_by_brute_force(spark, monkeypatch, share):
+@pytest.mark.parametrize(("hot", "share"), [(4000, 1000), (6, 2), (1, 1)])
+def test_line_dedup_by_brute_force(spark, monkeypatch, hot, share):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "SHARE", share)
     r = random.Random(7)
     passages = [prose(r, n) for n in (20, 51, 60, 90, 200)]
