@@ -24,7 +24,7 @@ BOTH = GroupParams(lcminove=(10.0,), all_aa_interchangeable=True)
 LOCAL = GroupParams(global_=False, lcminove=(10.0,))
 LABELS = Association("CMV+", "CMV-", min_donors=2)
 #: Kept by some groups of the test tables and not by others.
-Q_BOUND = 0.9999
+Q_BOUND = 0.6
 WHOLE = ClusterParams(min_fold=(), default_min_fold=10.0)
 
 

@@ -229,7 +229,7 @@ ORACLE_SQL = {
     "hla_scores": sql(f"select tag, hla_donors, {score('h.p')} as hla_p, {score('q')} as hla_q from hbest h join hq z on z.p = h.p"),
     "min_subjects_filter": sql("select tag, n_subjects from dcounts where n_subjects >= 4"),
     "global_p_filter": sql(f"select tag, {score('p')} as fisher_score from plain_groups where p <= 0.05"),
-    "global_q_filter": sql(f"select tag, {score('q')} as fdr_q from plain_groups g join ({bh('plain_groups', 'p')}) z on z.p = g.p where q <= 0.9999"),
+    "global_q_filter": sql(f"select tag, {score('q')} as fdr_q from plain_groups g join ({bh('plain_groups', 'p')}) z on z.p = g.p where q <= 0.6"),
     "top_groups": sql("select tag, cast(cluster_size as bigint) as cluster_size from plain_tagged order by cluster_size desc, tag limit 100"),
     "length_buckets": sql("select length(cdr3) as length, count(*) as n from ids group by 1"),
     "hamming_edges": sql("select a, b, position from edges"),
