@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from receptory.llm.bits import bitmap, marked, within
 from receptory.llm.common import discard, stored, table, tidy
 
-#: Characters of the longest line, of the shortest chunk that is looked for again, and of the shortest region that is removed.
-LINE_CHARS, SEED_CHARS, MIN_CHARS = 160, 24, 120
+#: Characters of the longest line, bytes of the first two lines of a chunk that is looked for again, characters of the shortest region that is removed.
+LINE_CHARS, SEED_BYTES, MIN_CHARS = 160, 12, 120
 #: A line ends with a line break, a sentence end, or a word from one of two letters on (one word in four or so).
 _LINE = "[^{0}\\n]{{{{0,{{0}}}}}}(?:[{0}]{1}{{{{0,20}}}}[.!?,;:]* ?\\n?|\\n)|[^\\n]{{{{1,{{1}}}}}}"
 LINE_PATTERN = _LINE.format("gb.!?", "[a-zà-ÿ]").format(LINE_CHARS - 1, LINE_CHARS)
@@ -45,8 +45,8 @@ LINE_PATTERN = _LINE.format("gb.!?", "[a-zà-ÿ]").format(LINE_CHARS - 1, LINE_C
 WIDE, WIDE_PATTERN = "octet_length({0}) * 2 > length({0}) * 3", _LINE.format("gbгб.!?。！？，、،", "[a-zа-я]").format(LINE_CHARS - 1, LINE_CHARS)
 #: Stands for a null doc_id; sorts last.
 LAST = (1 << 63) - 1
-#: Chunks of one key above which they are dealt to several tasks; chunks that one copy of the first is compared with.
-HOT, SHARE = 4000, 1000
+#: Chunks of one key above which they are dealt to several tasks, at least; such keys at most; chunks that one copy of the first is compared with.
+HOT, HOT_KEYS, SHARE = 4000, 100_000, 1000
 _ADDED = ("removed_chunks", "removed_chars")
 
 
@@ -73,19 +73,23 @@ def _bare(text: str) -> str:
     return rf"trim(trailing ' \n' from {text})"
 
 
+#: Of the chunk from line s, the k-th: the line after its last, whether it is long enough to look for, and its key.
+_END = "coalesce(get(starts, k + 1), size(lines))"
+_LONG = f"octet_length(get(lines, s)) + octet_length(get(lines, s + 1)) >= {SEED_BYTES}"
+_KEY = f"xxhash64(slice(lines, s + 1, {_END} - s - 1), {_bare(f'get(lines, {_END} - 1)')})"
+
+
 def chunk_keys(rows: DataFrame) -> DataFrame:
-    """(doc_id, rid, k, key) of the chunks of SEED_CHARS characters or more."""
-    chunks = F.expr("transform(starts, (s, k) -> named_struct('k', k, 'bare', " + _bare("array_join(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), '')") + "))")
-    one = chunked(rows).select("doc_id", "rid", F.explode(chunks).alias("c")).where(F.length("c.bare") >= SEED_CHARS)
-    return one.select("doc_id", "rid", F.col("c.k").alias("k"), F.xxhash64("c.bare").alias("key"))
+    """(doc_id, key) of the chunks that may be looked for: of two lines or more, the first two of SEED_BYTES bytes or more."""
+    keys = F.expr(f"filter(transform(starts, (s, k) -> if({_LONG}, {_KEY}, null)), x -> x is not null)")
+    return chunked(rows).select("doc_id", F.explode(keys).alias("key"))
 
 
 def chunk_spans(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The same of chunks whose key may be in the bitmap, with span, the lines of the chunk and of the ones before and after it; the chunk is [a, b) there, and line s of the text is its first."""
-    end = "coalesce(get(starts, k + 1), size(lines))"
-    chunks = F.expr(f"transform(starts, (s, k) -> named_struct('k', k, 's', s, 'e', {end}, 'p', coalesce(get(starts, k - 1), 0), 'q', coalesce(get(starts, k + 2), size(lines)), 'bare', {_bare(f"array_join(slice(lines, s + 1, {end} - s), '')")}))")
-    one = chunked(rows).select("doc_id", "rid", "lines", F.explode(chunks).alias("c")).where(F.length("c.bare") >= SEED_CHARS)
-    one = within(one.withColumn("key", F.xxhash64("c.bare")), "key", keys)
+    """(doc_id, rid, k, key, s, a, b, span) of those whose key may be in the bitmap: span has the lines of the chunk and of the ones before and after it; the chunk is [a, b) there, and line s of the text is its first."""
+    chunks = F.expr(f"filter(transform(starts, (s, k) -> if({_LONG}, named_struct('k', k, 'key', {_KEY}, 's', s, 'e', {_END}, 'p', coalesce(get(starts, k - 1), 0), 'q', coalesce(get(starts, k + 2), size(lines))), null)), x -> x is not null)")
+    one = chunked(rows).select("doc_id", "rid", "lines", F.explode(chunks).alias("c")).withColumn("key", F.col("c.key"))
+    one = within(one, "key", keys)
     return one.select("doc_id", "rid", F.col("c.k").alias("k"), "key", "c.s", F.expr("c.s - c.p").alias("a"), F.expr("c.e - c.p").alias("b"), F.expr("slice(lines, c.p + 1, c.q - c.p)").alias("span"))
 
 
@@ -94,36 +98,32 @@ def _same(n: str, mine: str, first: str) -> str:
     return f"if({n} <= 0, 0, aggregate(sequence(1, {n}), 0, (m, j) -> if(m = j - 1 and {_bare(f'get(span, {mine})')} = {_bare(f'get(first_span, {first})')}, m + 1, m)))"
 
 
-def _ranges(pairs: DataFrame) -> DataFrame:
-    """(doc_id, rid, f, t): the lines found equal of chunks that have the first chunk of their text beside them (first_span, fa, fb)."""
-    same = pairs.where(f"{_bare("array_join(slice(span, a + 1, b - a), '')")} = {_bare("array_join(slice(first_span, fa + 1, fb - fa), '')")}")
-    before = _same("least(a, fa)", "a - j", "fa - j")
-    after = _same("least(size(span) - b, size(first_span) - fb)", "b + j - 1", "fb + j - 1")
-    return same.select("doc_id", "rid", F.expr(f"s - {before}").alias("f"), F.expr(f"s + b - a + {after}").alias("t"))
-
-
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, ranges): of each text the sorted ranges (f, t) of lines that came before."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("rid"), F.col("text").cast("string").alias("text"))
     place = F.struct("doc_id", "rid", "k")
-    often = stored(chunk_keys(rows).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    often = stored(chunk_keys(rows).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"), "often")
     tidy(docs.sparkSession)
-    # a key's chunks meet in one task and the first is read off, but for frequent keys
-    few = often.where(F.col("n") <= HOT).select("key")
-    keys = bitmap(few, "key")
-    first = Window.partitionBy("key").orderBy(place)
-    found = chunk_spans(rows, keys).join(few, "key").withColumn("first", F.first(F.struct(place.alias("place"), F.col("span"), F.col("a"), F.col("b"))).over(first))
-    ranges = _ranges(found.where(place != F.col("first.place")).select("*", F.col("first.span").alias("first_span"), F.col("first.a").alias("fa"), F.col("first.b").alias("fb")))
-    many, spans = often.where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), None
-    if many.limit(1).count():
-        hot = bitmap(many, "key")
-        spans = stored(chunk_spans(rows, hot).join(many, "key"), "spans")
-        leads = spans.groupBy("key").agg(F.min(place).alias("first"))
-        spans_of = spans.join(leads, "key").withColumn("leads", place == F.col("first")).withColumn("share", F.expr("cast(pmod(rid, shares) as int)"))
-        heads = spans_of.where("leads").dropDuplicates(["key"]).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("span").alias("first_span"), F.col("a").alias("fa"), F.col("b").alias("fb"))
-        ranges = ranges.unionByName(_ranges(spans_of.where("not leads").join(heads, ["key", "share"])))
+    keys = bitmap(often, "key")
+    # a key's chunks meet in one task, where the first is read off; a frequent key's are dealt to several, each with a copy of the first.
+    # Of n chunks at most HOT_KEYS have keys of more than n / HOT_KEYS, so these keys may be sent to all
+    most = max(HOT, (often.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = stored(often.where(F.col("n") > most).select("key", "first_id", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "hot")
+    share = F.coalesce(F.expr("cast(pmod(rid, shares) as int)"), F.lit(0))
+    names = ["key", "share", "doc_id", "rid", "k", "s", "a", "b", "span"]
+    found = chunk_spans(rows, keys).join(F.broadcast(hot.select("key", "shares")), "key", "left").withColumn("share", share).select(names)
+    if hot.limit(1).count():
+        heads = chunk_spans(within(rows, "doc_id", bitmap(hot, "first_id")), bitmap(hot, "key")).join(F.broadcast(hot), "key").where("doc_id = first_id")
+        heads = heads.groupBy("key", "shares").agg(F.min_by(F.struct("doc_id", "rid", "k", "s", "a", "b", "span"), place).alias("x"))
+        found = found.unionByName(heads.select("key", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "x.*").select(names))
+    first = F.first(F.struct(place.alias("place"), "span", "a", "b")).over(Window.partitionBy("key", "share").orderBy(place))
+    pairs = found.withColumn("first", first).where(place != F.col("first.place")).select("*", F.col("first.span").alias("first_span"), F.col("first.a").alias("fa"), F.col("first.b").alias("fb"))
+    pairs = pairs.where(f"{_bare("array_join(slice(span, a + 1, b - a), '')")} = {_bare("array_join(slice(first_span, fa + 1, fb - fa), '')")}")
+    before = _same("least(a, fa)", "a - j", "fa - j")
+    after = _same("least(size(span) - b, size(first_span) - fb)", "b + j - 1", "fb + j - 1")
+    ranges = pairs.select("doc_id", "rid", F.expr(f"s - {before}").alias("f"), F.expr(f"s + b - a + {after}").alias("t"))
     gone = stored(ranges.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("f", "t"))).alias("ranges")), "ranges")
-    discard(often, keys, *([spans] if spans is not None else []))
+    discard(often, keys, hot)
     tidy(docs.sparkSession)
     return gone
 
@@ -168,13 +168,13 @@ u as (select rid, id, i - 1 as i, lines[i] as line from (select rid, id, lines,
 a as (select *, rtrim(line, e' \n') as bare from u),
 b as (select *, (coalesce(lag(strlen(line)) over w, 0) * 331 + strlen(line)) * 40503 % 65521 as r from a window w as (partition by rid order by i)),
 c as (select *, i = 0 or (i >= 2 and coalesce(r < lag(r) over w and r <= lead(r) over w, false)) as start from b window w as (partition by rid order by i)),
-d as (select *, sum(cast(start as int)) over (partition by rid order by i) - 1 as k from c),
-e as (select rid, id, k, min(i) as s, max(i) + 1 as t, rtrim(string_agg(line, '' order by i), e' \n') as body from d group by rid, id, k),
+d as (select *, lead(k, 1, -1) over (partition by rid order by i) <> k as last from (select *, sum(cast(start as int)) over (partition by rid order by i) - 1 as k from c)),
+e as (select rid, id, k, min(i) as s, max(i) + 1 as t, string_agg(case when last then bare else line end, '' order by i) as body, list_sum(list_slice(list(strlen(line) order by i), 1, 2)) as seed, count(*) as size from d group by rid, id, k),
 f as (select *, coalesce(lag(s) over w, s) as p, coalesce(lead(t) over w, t) as q from e window w as (partition by rid order by k)),
-z as (select body, min((id, rid, k)) as first, max((id, rid, k)) as last from f where length(body) >= {SEED_CHARS} group by body),
+z as (select body, min((id, rid, k)) as first, max((id, rid, k)) as last from f where seed >= {SEED_BYTES} and size > 1 group by body),
 m as (
   select row_number() over () as m, x.rid, x.s, x.t, x.p, x.q, y.rid as frid, y.s as fs, y.t as ft, y.p as fp, y.q as fq
-  from f x join z on x.body = z.body and first <> last and (x.id, x.rid, x.k) <> first join f y on (y.id, y.rid, y.k) = first),
+  from f x join z on x.body = z.body and x.seed >= {SEED_BYTES} and x.size > 1 and first <> last and (x.id, x.rid, x.k) <> first join f y on (y.id, y.rid, y.k) = first),
 j as (
   select m, 0 as side, rid, frid, s, fs, t, ft, unnest(range(1, least(s - p, fs - fp) + 1)) as j from m
   union all select m, 1, rid, frid, s, fs, t, ft, unnest(range(1, least(q - t, fq - ft) + 1)) from m),

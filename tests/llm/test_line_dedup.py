@@ -45,8 +45,8 @@ def brute_force(rows):
     for d, (i, t, lines, chunks) in enumerate(docs):
         cut = set()
         for k, (s, e) in enumerate(chunks):
-            body = bare("".join(lines[s:e]))
-            if len(body) < line_dedup.SEED_CHARS:
+            body = "".join(lines[s : e - 1]) + bare(lines[e - 1])
+            if e - s < 2 or len("".join(lines[s : s + 2]).encode()) < line_dedup.SEED_BYTES:
                 continue
             if body not in first:
                 first[body] = (d, k)
