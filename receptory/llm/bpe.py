@@ -4,10 +4,16 @@ Texts are split by the tokenizer's pattern.  The distinct pieces of a slice
 are put, by length, into padded matrices of token ids, one row a piece.  In
 every round each row merges its leftmost pair of least rank; pairs are found
 in an open-addressing hash table.  Each live row loses exactly one column a
-round, so the matrix is compacted by one reshape; finished rows leave it.
+round, so the matrix is compacted by one reshape; finished rows leave it.  A
+piece of more than LONG bytes is a matrix of its own, cut into rows of BLOCK
+pairs with the least rank of each: a round looks at the rows' least ranks and at
+one row, links over what was merged, and compaction comes once, at the end.  So
+a round costs far less than the piece's length, and a piece of a megabyte, which
+has up to a million rounds, some ten seconds.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes;
-repeated rows are encoded each; other columns of the table are not read.
+repeated rows are encoded each; the id column may have any type; other columns
+of the table are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ NONE = np.iinfo(np.int32).max
 KEPT_PIECES = 400_000
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 21
+#: Bytes of a piece above which it is merged by itself; pairs in a row of it.
+LONG, BLOCK = 2048, 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,7 +112,9 @@ class ByteBpe:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
         order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] > 0]
+        for i in order[lengths[order] > LONG]:
+            out[i] = self._merge_long(pieces[i])
+        order = order[(lengths[order] > 0) & (lengths[order] <= LONG)]
         bucket = np.ceil(np.log2(np.maximum(lengths[order], 1))).astype(int)
         for group in np.split(order, np.flatnonzero(np.diff(bucket)) + 1) if len(order) else []:
             rows = max(1, MATRIX_CELLS // int(lengths[group[-1]]))
@@ -143,6 +153,36 @@ class ByteBpe:
             ranks[every[before], at[before] - 1] = self.pair_ranks(matrix[every[before], at[before] - 1], best[before])
             ranks[every[after], at[after]] = self.pair_ranks(best[after], matrix[every[after], at[after] + 1])
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        ranks = np.full(-(-n // BLOCK) * BLOCK, NONE, np.int32)
+        ranks[: n - 1] = self.pair_ranks(ids[:-1], ids[1:])
+        rows = ranks.reshape(-1, BLOCK)
+        least = rows.min(1)
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while True:
+            row = int(least.argmin())
+            best = least[row]
+            if best == NONE:
+                return ids[ids >= 0]
+            i = row * BLOCK + int(rows[row].argmin())
+            j, h = following[i], before[i]
+            k = following[j]
+            ids[i], ids[j], ranks[j], following[i] = best, -1, NONE, k
+            touched = {row, j // BLOCK}
+            if k < n:
+                before[k] = i
+            left, right = ids[[h, i]], ids[[i, k if k < n else i]]
+            found = self.pair_ranks(left, right)
+            ranks[i] = found[1] if k < n else NONE
+            if h >= 0:
+                ranks[h] = found[0]
+                touched.add(h // BLOCK)
+            for x in touched:
+                least[x] = rows[x].min()
+
     def _flat(self) -> None:
         self.piece_starts = row_starts(np.fromiter(map(len, self.kept), np.int64, len(self.kept)))
         self.piece_ids = np.concatenate([np.zeros(0, np.int32), *self.kept])

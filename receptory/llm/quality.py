@@ -10,7 +10,8 @@ fixed size; every document is scored over its whole text.
 
 Edge cases: a null or empty text has no n-grams and gets the score of the
 bias alone; without labels every score is 0.5, with one class only it is that
-class's smoothed share; repeated rows are scored each.
+class's smoothed share; repeated rows are scored each; doc_id is an integer
+column; other columns are not read.
 """
 
 from __future__ import annotations

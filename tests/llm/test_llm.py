@@ -435,6 +435,19 @@ def test_bpe_against_library(spark):
     assert {x.decoded_sha256 for x in got} == {hashlib.sha256((t or "").encode()).hexdigest() for t in texts}
 
 
+def test_bpe_of_long_pieces_against_library():
+    import public_tokenizers as public
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    own = bpe.ByteBpe(bpe.read_ranks(path), public.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    r = random.Random(26)
+    texts = ["a" * 6000, "".join(r.choice("etaoinshr") for _ in range(30_000)), "日本語" * 2000, "x" * 2048, "x" * 2049, "".join(r.choice("ab") for _ in range(5000)) + " end", "=" * 10_000]
+    ids, cuts = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_quality(spark):
     r = random.Random(8)
     good, bad = [words(r, 50) + "." for _ in range(40)], [" | ".join(words(r, 50).split()) for _ in range(40)]
