@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receptory.llm.common import row_starts, slices, spread, table, text_column
+from receptory.llm.common import release, row_starts, slices, spread, table, text_column
 
 NONE = np.iinfo(np.int32).max
 #: Distinct pieces kept by a worker before its memory of them is emptied.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 21
 #: Bytes of a piece above which it is merged by itself; pairs in a row of it.
@@ -196,7 +196,7 @@ class ByteBpe:
             counts[i] = len(found)
             pieces += found
         if len(self.ids) > KEPT_PIECES:
-            self.ids, self.kept = {}, []
+            self.forget()
         fresh = list(set(pieces) - self.ids.keys())
         if fresh:
             self.ids.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
@@ -207,6 +207,11 @@ class ByteBpe:
         ids = self.piece_ids[np.repeat(self.piece_starts[numbers], lengths) + spread(lengths)]
         return ids, row_starts(lengths)[row_starts(counts)]
 
+    def forget(self) -> None:
+        """Empty the memory of pieces: a worker stays for other tasks."""
+        self.ids, self.kept = {}, []
+        self._flat()
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, one after another, and the ids' offsets in them."""
         lengths = self.token_starts[ids + 1] - self.token_starts[ids]
@@ -241,6 +246,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
                 columns.append(pa.array([bytes(raw[4 * a : 4 * b]) for a, b in spans], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget()
+        release()
 
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(F.col(id_column), text_column(text)).mapInArrow(run, schema)
