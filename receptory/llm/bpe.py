@@ -33,7 +33,7 @@ NONE = np.iinfo(np.int32).max
 #: Distinct pieces kept by a worker before its memory of them is emptied.
 KEPT_PIECES = 200_000
 #: Cells of one padded matrix.
-MATRIX_CELLS = 1 << 21
+MATRIX_CELLS = 1 << 18
 #: Bytes of a piece above which it is merged by itself; pairs in a row of it.
 LONG, BLOCK = 2048, 512
 
@@ -234,7 +234,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches):
             ids, cuts = own.encode(batch.column(1).to_pylist())
             back, bytes_at = own.decode(ids)
             raw, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(back.tobytes())
