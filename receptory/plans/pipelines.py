@@ -80,7 +80,8 @@ def convergence_groups(rows: DataFrame, reference: DataFrame, params: GroupParam
     for more, their in parts[1:]:
         found, members = found.unionByName(more), members.unionByName(their)
     found = found.where(F.col("cluster_size") >= params.cluster_min_size)
-    members = members.join(found.select("type", "tag"), ["type", "tag"], "left_semi")
+    found = kept(found)
+    members = kept(members.join(found.select("type", "tag"), ["type", "tag"], "left_semi"))
     found = found.withColumn("_p", F.when(F.isnan("fisher_score"), 1.0).otherwise(F.col("fisher_score")))
     found = stats.benjamini_hochberg(found, "_p", "fdr_q", ["type"]).drop("_p")
     donors = kept(annotate.group_donors(members, rows))
@@ -89,10 +90,11 @@ def convergence_groups(rows: DataFrame, reference: DataFrame, params: GroupParam
     if a:
         classes = annotate.subject_classes(rows, a.case, a.control) if a.permute_seed is None else annotate.permuted_classes(rows, a.case, a.control, a.permute_seed)
         found = annotate.associate(found, donors, classes, a.min_donors)
-    tests = annotate.hla_tests(donors, hla, rows) if hla is not None else None
+    tests = kept(annotate.hla_tests(donors, hla, rows)) if hla is not None else None
     if tests is not None:
         found = annotate.score_hla(found, tests)
-    tested, found = found, annotate.filtered(found, params, a)
+    tested = kept(found)  # the result's tables and totals all read it
+    found = annotate.filtered(tested, params, a)
     return Convergence(found, members.join(found.select("type", "tag"), ["type", "tag"], "left_semi"), motifs, sequences, tested, rows, classes if a else None, tests)
 
 

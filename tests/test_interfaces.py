@@ -202,7 +202,7 @@ def test_edges_and_clusters_with_motifs(spark, tmp_path):
     seqs = spark.createDataFrame(list(enumerate("CASSLGQETQYF CASSPGQETQYF CASSLGQETQYW CASSLGQETQY CATTLGQETQYF".split())), "seq_id long, cdr3 string")
     tables.write_edges(merged.hamming_edges(seqs), str(tmp_path / "edges.tsv"))
     assert (tmp_path / "edges.tsv").read_text() == "a\tb\tposition\n0\t1\t4\n0\t2\t11\n"
-    motifs = spark.createDataFrame([("TTL",), ("SPG",)], "motif string")
+    motifs = spark.createDataFrame([("TLG",), ("SPG",)], "motif string")
     found, members = merged.clusters(seqs, None, motifs, ClusterParams(min_size=1))
     got = {x.root: x for x in found.collect()}
-    assert got[0].motifs == ["SPG"] and got[0].n_local_edges == 2 and got[4].motifs == ["TTL"] and members.count() == 5
+    assert got[0].motifs == ["SPG"] and got[0].n_local_edges == 2 and got[4].motifs == ["TLG"] and members.count() == 5
