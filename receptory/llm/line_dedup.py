@@ -81,14 +81,14 @@ _KEY = f"xxhash64(slice(lines, s + 1, {_END} - s - 1), {_bare(f'get(lines, {_END
 
 def chunk_keys(rows: DataFrame) -> DataFrame:
     """(doc_id, key) of the chunks that may be looked for: of two lines or more, the first two of SEED_BYTES bytes or more."""
-    keys = F.expr(f"filter(transform(starts, (s, k) -> if({_LONG}, {_KEY}, null)), x -> x is not null)")
-    return chunked(rows).select("doc_id", F.explode(keys).alias("key"))
+    keys = F.expr(f"transform(starts, (s, k) -> if({_LONG}, {_KEY}, null))")
+    return chunked(rows).select("doc_id", F.explode(keys).alias("key")).where("key is not null")
 
 
 def chunk_spans(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, rid, k, key, s, a, b, span) of those whose key may be in the bitmap: span has the lines of the chunk and of the ones before and after it; the chunk is [a, b) there, and line s of the text is its first."""
-    chunks = F.expr(f"filter(transform(starts, (s, k) -> if({_LONG}, named_struct('k', k, 'key', {_KEY}, 's', s, 'e', {_END}, 'p', coalesce(get(starts, k - 1), 0), 'q', coalesce(get(starts, k + 2), size(lines))), null)), x -> x is not null)")
-    one = chunked(rows).select("doc_id", "rid", "lines", F.explode(chunks).alias("c")).withColumn("key", F.col("c.key"))
+    chunks = F.expr(f"transform(starts, (s, k) -> if({_LONG}, named_struct('k', k, 'key', {_KEY}, 's', s, 'e', {_END}, 'p', coalesce(get(starts, k - 1), 0), 'q', coalesce(get(starts, k + 2), size(lines))), null))")
+    one = chunked(rows).select("doc_id", "rid", "lines", F.explode(chunks).alias("c")).where("c is not null").withColumn("key", F.col("c.key"))
     one = within(one, "key", keys)
     return one.select("doc_id", "rid", F.col("c.k").alias("k"), "key", "c.s", F.expr("c.s - c.p").alias("a"), F.expr("c.e - c.p").alias("b"), F.expr("slice(lines, c.p + 1, c.q - c.p)").alias("span"))
 
