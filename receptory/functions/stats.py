@@ -56,16 +56,18 @@ def benjamini_hochberg(rows: DataFrame, p: str, q: str, by: list[str] | None = N
     """rows with q-values of column p within groups of by; null p are not tested and have none.
 
     Equal p have equal q, so ranks are taken over the distinct p with their counts.
+    Both sums and least values run from the largest p down: a window up to the
+    last row would be gone through anew for every row.
     """
     if not by:
         return benjamini_hochberg(rows.withColumn("_all", F.lit(1)), p, q, ["_all"]).drop("_all")
     each = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_c"))
     total = each.groupBy(*by).agg(F.sum("_c").alias("_total"))
-    w = Window.partitionBy(*by).orderBy(p)
-    each = each.withColumn("_rank", F.sum("_c").over(w))
-    each = each.join(total, by)
+    w = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("_from", F.sum("_c").over(w))
+    each = each.join(total, by).withColumn("_rank", F.col("_total") - F.col("_from") + F.col("_c"))
     each = each.withColumn("_value", F.col(p) * F.col("_total") / F.col("_rank"))
-    each = each.withColumn(q, F.least(F.lit(1.0), F.min("_value").over(w.rowsBetween(0, Window.unboundedFollowing)))).select(*by, p, q)
+    each = each.withColumn(q, F.least(F.lit(1.0), F.min("_value").over(w))).select(*by, p, q)
     return rows.join(each, [*by, p], "left")
 
 

@@ -38,6 +38,22 @@ def test_benjamini_hochberg(spark):
     assert [x.q for x in got[:5]] == pytest.approx([0.025, 0.05, 0.05, 0.025, 0.5]) and got[5].q is None
 
 
+def test_benjamini_hochberg_of_many_values(spark):
+    """Ties, groups and each group's own total against plain arithmetic; no frame looks ahead to the last row, which takes the square of the rows."""
+    data = [("ab"[i % 3 == 0], (i * 7919 % 4001) / 4001 * (i % 5 + 1) / 5) for i in range(9000)]
+    out = stats.benjamini_hochberg(spark.createDataFrame(data, "kind string, p double"), "p", "q", ["kind"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    want = {}
+    for kind in "ab":
+        own = sorted((p for k, p in data if k == kind), reverse=True)
+        least = 1.0
+        for i, p in enumerate(own):
+            least = min(least, p * len(own) / (len(own) - i))
+            want[kind, p] = least
+    got = out.collect()
+    assert len(got) == len(data) and all(math.isclose(r.q, want[r.kind, r.p], rel_tol=1e-12, abs_tol=1e-300) for r in got)
+
+
 def test_rounding(spark):
     got = spark.createDataFrame([(0.012345,), (0.000987,), (1.0,), (0.00115,)], "x double").select(scalars.round_2sig("x").alias("x")).collect()
     assert [x.x for x in got] == [0.012, 0.00099, 1.0, 0.0011]
