@@ -72,8 +72,18 @@ def benjamini_hochberg(rows: DataFrame, p: str, q: str, by: list[str] | None = N
 
 
 def poisson_upper(k: str, rate: str) -> Column:
-    """P(X >= k) for a Poisson rate."""
-    return F.expr(f"if({k} <= 0, 1D, greatest(0D, 1 - aggregate(sequence(0, {k} - 1), named_struct('s', 0D, 't', exp(-{rate})), (_acc, _i) -> named_struct('s', _acc.s + _acc.t, 't', _acc.t * {rate} / (_i + 1)), _acc -> _acc.s)))")
+    """P(X >= k) for a Poisson rate, as one less the sum of the terms below k, so what is under 1e-16 may be 0.
+
+    The terms are taken relative to that of k, up and down by their ratios: the
+    first one, exp(-rate), is 0 in floats from a rate of 746 on. Terms beyond
+    twelve standard deviations and 64 of k and the mean do not count in floats,
+    and no tail differs from 0 or 1 at forty and 400.
+    """
+    sd = f"sqrt({rate})"
+    up = f"aggregate(sequence(cast({k} as bigint), cast(greatest({k}, {rate} + 12 * {sd} + 64) as bigint) + cast(12 * {sd} + 64 as bigint)), named_struct('s', 0D, 't', 1D), (_acc, _i) -> named_struct('s', _acc.s + _acc.t, 't', _acc.t * {rate} / (_i + 1)), _acc -> _acc.s)"
+    low = f"cast(greatest(0, least({k}, {rate}) - 12 * {sd} - 64) as bigint)"
+    down = f"aggregate(sequence(cast({k} - 1 as bigint), least({low}, cast({k} - 1 as bigint)), -1), named_struct('s', 0D, 't', {k} / {rate}), (_acc, _i) -> named_struct('s', _acc.s + _acc.t, 't', _acc.t * _i / {rate}), _acc -> _acc.s)"
+    return F.expr(f"case when {k} <= 0 then 1D when {rate} <= 0 or {k} > {rate} + 40 * {sd} + 400 then 0D when {k} < {rate} - 40 * {sd} - 400 then 1D else 1 - 1 / (1 + {up} / {down}) end")
 
 
 def odds_ratio(a: str, b: str, c: str, d: str) -> Column:

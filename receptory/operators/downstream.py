@@ -77,7 +77,7 @@ def size_matched(groups: DataFrame, hits: DataFrame, chosen: DataFrame, cap: int
     rows = groups.join(hits, ["type", "tag"]).join(chosen.select("tag", F.lit(1).alias("chosen")), "tag", "left").select(F.least("cluster_size", F.lit(cap)).alias("bin"), "hit", F.coalesce("chosen", F.lit(0)).alias("chosen"))
     bins = rows.groupBy("bin").agg(F.sum("chosen").alias("n"), F.sum(F.col("chosen") * F.col("hit")).alias("seen"), F.sum(1 - F.col("chosen")).alias("rest"), F.sum((1 - F.col("chosen")) * F.col("hit")).alias("rest_hits"))
     one = bins.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("observed"), F.coalesce(F.sum(F.expr("if(rest > 0, n * rest_hits / rest, 0D)")), F.lit(0.0)).alias("expected"))
-    return one.withColumn("ratio", F.expr("if(expected > 0, round(observed / expected, 3), cast(null as double))")).withColumn("poisson_p", stats.poisson_upper("cast(observed as int)", "expected"))
+    return one.withColumn("ratio", F.expr("if(expected > 0, round(observed / expected, 3), cast(null as double))")).withColumn("poisson_p", stats.poisson_upper("observed", "expected"))
 
 
 def family_hla(family: DataFrame, members: DataFrame, rows: DataFrame, hla: DataFrame) -> DataFrame:

@@ -54,6 +54,24 @@ def test_benjamini_hochberg_of_many_values(spark):
     assert len(got) == len(data) and all(math.isclose(r.q, want[r.kind, r.p], rel_tol=1e-12, abs_tol=1e-300) for r in got)
 
 
+def test_poisson_of_large_rates(spark):
+    """Against the sum of exact logs; exp(-rate) is 0 from 746 on."""
+    cases = [(0, 3.5), (1, 0.0), (1, 2.0), (5, 0.222), (40, 12.25), (700, 745.0), (800, 800.5), (4676, 4727.787877), (4800, 4727.787877), (3703, 4422.10266), (9789, 8183.760357), (100000, 100100.0), (2000000, 100.0), (10, 2e6)]
+
+    def tail(k, rate):
+        own = math.fsum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k)) if rate else 1.0
+        return max(0.0, 1 - own) if k else 1.0
+
+    got = spark.createDataFrame(cases, "k long, rate double").select("k", "rate", stats.poisson_upper("k", "rate").alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(tail(min(r.k, 200000), r.rate), rel=1e-6, abs=1e-9), (r.k, r.rate)
+    assert stats_p(got, 4676) == 0.11 and stats_p(got, 3703) == 0.0
+
+
+def stats_p(rows, k):
+    return round(-math.log10(next(r.p for r in rows if r.k == k)), 3) + 0.0
+
+
 def test_rounding(spark):
     got = spark.createDataFrame([(0.012345,), (0.000987,), (1.0,), (0.00115,)], "x double").select(scalars.round_2sig("x").alias("x")).collect()
     assert [x.x for x in got] == [0.012, 0.00099, 1.0, 0.0011]
