@@ -26,8 +26,8 @@ def totals(sequences: DataFrame) -> DataFrame:
     return sequences.agg(F.coalesce(F.sum("in_sample"), F.lit(0)).alias("n_sample"), F.coalesce(F.sum("in_reference"), F.lit(0)).alias("n_reference"), F.max(F.when(F.col("in_sample") == 1, F.length("cdr3"))).alias("longest"))
 
 
-def motif_occurrences(sequences: DataFrame, region: str, lengths: tuple[int, ...], discontinuous: bool = False) -> DataFrame:
-    """sequences with motif and start (from 1) of every window of the region; with gaps windows of one more residue, one inside masked."""
+def motif_windows(region: str, lengths: tuple[int, ...], discontinuous: bool = False) -> Column:
+    """(motif, start from 1) of every window of the region as an array; with gaps windows of one more residue, one inside masked."""
     parts = []
     for k in lengths:
         windows = f"transform(sequence(1, length({region}) - {k - 1}), i -> named_struct('motif', substr({region}, i, {k}), 'start', i))"
@@ -35,7 +35,12 @@ def motif_occurrences(sequences: DataFrame, region: str, lengths: tuple[int, ...
         if discontinuous and 2 <= k < 6:
             gapped = f"flatten(transform(sequence(1, length({region}) - {k}), i -> transform(sequence(1, {k - 1}), g -> named_struct('motif', overlay(substr({region}, i, {k + 1}) placing '%' from g + 1 for 1), 'start', i))))"
             parts.append(f"if(length({region}) > {k}, {gapped}, array())")
-    return sequences.withColumn("_o", F.explode(F.expr(f"concat({', '.join(parts)})"))).select("*", "_o.motif", "_o.start").drop("_o")
+    return F.expr(f"concat({', '.join(parts)})")
+
+
+def motif_occurrences(sequences: DataFrame, region: str, lengths: tuple[int, ...], discontinuous: bool = False) -> DataFrame:
+    """sequences with motif and start of every window of the region."""
+    return sequences.withColumn("_o", F.explode(motif_windows(region, lengths, discontinuous))).select("*", "_o.motif", "_o.start").drop("_o")
 
 
 def motif_counts(sequences: DataFrame, params: GroupParams) -> DataFrame:

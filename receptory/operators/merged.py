@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from receptory.functions import stats
 from receptory.operators.components import connected_components
-from receptory.operators.groups import motif_occurrences
+from receptory.operators.groups import motif_windows
+from receptory.operators.keep import kept
 from receptory.plans.params import ClusterParams
 
 
@@ -25,9 +26,10 @@ def hamming_edges(sequences: DataFrame, trim: int = 0) -> DataFrame:
 
 
 def sequence_motifs(sequences: DataFrame, params: ClusterParams) -> DataFrame:
-    """Distinct (cdr3, motif) within the trimmed region."""
-    region = sequences.withColumn("region", F.expr(f"if(length(cdr3) > {2 * params.trim}, substr(cdr3, {params.trim + 1}, length(cdr3) - {2 * params.trim}), '')"))
-    return motif_occurrences(region, "region", params.motif_lengths, params.gapped).drop("region", "start").distinct()
+    """Distinct (cdr3, motif) within the trimmed region, of distinct sequences: each row's repeats are left out within the row."""
+    region = f"if(length(cdr3) > {2 * params.trim}, substr(cdr3, {params.trim + 1}, length(cdr3) - {2 * params.trim}), '')"
+    own = F.array_distinct(F.transform(motif_windows("region", params.motif_lengths, params.gapped), lambda x: x["motif"]))
+    return sequences.withColumn("region", F.expr(region)).withColumn("motif", F.explode(own)).drop("region")
 
 
 def enriched_motifs(sequences: DataFrame, reference: DataFrame, params: ClusterParams) -> DataFrame:
@@ -57,11 +59,14 @@ def clusters(sequences: DataFrame, edges_of: DataFrame | None, motifs: DataFrame
     Returns clusters (cluster_id, size, n_local_edges, motifs) and members (cluster_id, seq_id).
     """
     parts = edges_of if edges_of is not None else sequence_masks(sequences, params.mismatch_trim)
-    stars = parts.select("mask", "seq_id").groupBy("mask").agg(F.min("seq_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    links = parts.join(stars.select("mask", "b"), "mask").select(F.col("seq_id").alias("a"), "b")
+    # one exchange of the masks, sorted by a hash first; a mask's sequences are as many as there are residues at the most
+    w = Window.partitionBy("_h", "mask")
+    near = parts.select("mask", "seq_id").withColumn("_h", F.xxhash64("mask")).select("seq_id", F.min("seq_id").over(w).alias("b"), F.count("*").over(w).alias("n"))
+    near = kept(near.where("n > 1"))
+    stars, links = near.where("seq_id = b").select("b", "n"), near.select(F.col("seq_id").alias("a"), "b")
     carried = None
     if motifs is not None:
-        carried = motif_members(sequences, motifs, params)
+        carried = kept(motif_members(sequences, motifs, params))
         heads = carried.groupBy("motif").agg(F.min("seq_id").alias("b"))
         links = links.unionByName(carried.join(heads, "motif").select(F.col("seq_id").alias("a"), "b"))
     found = connected_components(links)

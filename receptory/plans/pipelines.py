@@ -131,6 +131,6 @@ class Clusters:
 def merged_clusters(sequences: DataFrame, reference: DataFrame | None = None, params: ClusterParams | None = None) -> Clusters:
     """sequences: distinct (seq_id, cdr3); reference: distinct (cdr3), or none to leave motifs out."""
     params = params or ClusterParams()
-    tested = merged.enriched_motifs(sequences, reference, params) if reference is not None and params.motifs else None
+    tested = kept(merged.enriched_motifs(sequences, reference, params)) if reference is not None and params.motifs else None
     found, members = merged.clusters(sequences, None, tested.where("passes") if tested is not None else None, params)
     return Clusters(found, members.join(sequences, "seq_id"), tested)

@@ -107,6 +107,21 @@ def test_hamming_and_clusters(spark):
     assert [(x.cluster_id, x.size, x.n_local_edges) for x in got] == [(0, 3, 2)]
 
 
+def test_masks_and_motifs_without_needless_exchanges(spark, monkeypatch):
+    """Motifs of a sequence are told apart within its row, tested motifs are worked out once, masks meet once."""
+    seqs = plain(spark, ["CASAAAAAAYTF", "CASAAC", "CASWDQYWDQYTF"]).select("cdr3")
+    found = merged.sequence_motifs(seqs, ClusterParams())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(x, x[3:-3][i : i + k]) for x in ("CASAAAAAAYTF", "CASWDQYWDQYTF") for k in (2, 3, 4) for i in range(len(x) - 6 - k + 1)}
+    got = [(x.cdr3, x.motif) for x in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    ids = spark.createDataFrame([(i, f"CASS{a}GQ{b}QYF") for i, (a, b) in enumerate((a, b) for a in "LPRT" for b in "EA")], "seq_id long, cdr3 string")
+    calls = []
+    monkeypatch.setattr(merged, "kept", lambda df, own=merged.kept: calls.append(df.columns) or own(df))
+    out = merged_clusters(ids, None, ClusterParams(mismatch_trim=3, motifs=False)).clusters.collect()
+    assert ["seq_id", "b", "n"] in calls and [(x.root, x.size, x.n_local_edges) for x in out] == [(0, 8, 4 + 2 * 6)]
+
+
 def test_global_groups(spark):
     found = convergence_groups(rows(spark, [("CASG%sETQYQF" % x,) for x in "IVW"]), plain(spark, ["CASSLGQETQYF"]), GroupParams(local=False))
     assert [x.tag for x in found.groups.collect()] == ["G%ETQ_IV"]
