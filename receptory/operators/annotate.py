@@ -69,6 +69,12 @@ def score_hla(groups: DataFrame, tests: DataFrame) -> DataFrame:
     return stats.benjamini_hochberg(groups.join(scored, ["type", "tag"], "left"), "hla_p", "hla_q")
 
 
+def has_filters(params: GroupParams, association: Association | None = None) -> bool:
+    """Whether filtered may leave groups out."""
+    own = (params.max_global_p, params.max_global_q, *((association.max_p, association.max_q) if association else ()))
+    return params.min_subjects > 1 or any(x is not None for x in own)
+
+
 def filtered(groups: DataFrame, params: GroupParams, association: Association | None = None) -> DataFrame:
     """The final filters; what was not tested fails a filter on its test."""
     is_global = F.col("type") == "global"

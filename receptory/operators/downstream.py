@@ -117,6 +117,9 @@ def group_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
     """(type, tag, members, side) of the groups that only one side has with just these members; none where they agree."""
-    lists = lambda x: x.groupBy("type", "tag").agg(F.array_join(F.array_sort(F.collect_set("cdr3")), " ").alias("members"))
-    a, b = lists(left), lists(right)
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    both = left.select("type", "tag", "cdr3", F.lit(True).alias("_l")).unionByName(right.select("type", "tag", "cdr3", F.lit(False).alias("_l")))
+    own = lambda side: F.array_join(F.array_sort(F.collect_set(F.when(side, F.col("cdr3")))), " ")
+    is_left, is_right = F.col("_l"), ~F.col("_l")
+    met = both.groupBy("type", "tag").agg(own(is_left).alias("a"), own(is_right).alias("b"), F.bool_or(is_left).alias("in_a"), F.bool_or(is_right).alias("in_b")).where("a <> b or in_a <> in_b")
+    sides = [F.when(F.col(there), F.struct(F.col(x).alias("members"), F.lit(side).alias("side"))) for there, x, side in (("in_a", "a", "left"), ("in_b", "b", "right"))]
+    return met.select("type", "tag", F.explode(F.array_compact(F.array(*sides))).alias("_s")).select("type", "tag", "_s.members", "_s.side")

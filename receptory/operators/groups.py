@@ -111,9 +111,14 @@ def masks(sequences: DataFrame, boundary: int) -> DataFrame:
     return inner.select("cdr3", "in_sample", "in_reference", F.expr("overlay(core placing '%' from pos for 1)").alias("mask"), F.expr("substr(core, pos, 1)").alias("residue"))
 
 
+def mask_counts() -> dict[str, Column]:
+    bits = f"bit_or(if(in_sample = 1, shiftleft(1, instr('{scalars.AMINO_ACIDS}', residue) - 1), 0))"
+    return {"n_s": F.sum("in_sample"), "n_r": F.sum("in_reference"), "bits": F.expr(bits)}
+
+
 def mask_groups(masked: DataFrame) -> DataFrame:
     """Masks that two or more sample sequences share: counts of each side and the residues as bits."""
-    return masked.groupBy("mask").agg(F.sum("in_sample").cast("long").alias("n_s"), F.sum("in_reference").cast("long").alias("n_r"), F.expr(f"bit_or(if(in_sample = 1, shiftleft(1, instr('{scalars.AMINO_ACIDS}', residue) - 1), 0))").alias("bits")).where("n_s >= 2")
+    return masked.groupBy("mask").agg(*[x.alias(name) for name, x in mask_counts().items()]).where("n_s >= 2")
 
 
 def global_groups(sequences: DataFrame, params: GroupParams, v_genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +129,11 @@ def global_groups(sequences: DataFrame, params: GroupParams, v_genes: DataFrame
     # reference sequences of lengths that no sample sequence has share no mask; there are few lengths
     lengths = sequences.where("in_sample = 1").select(F.length("cdr3").alias("_length")).distinct()
     near = sequences.join(F.broadcast(lengths), F.length("cdr3") == F.col("_length"), "left_semi")
-    masked = masks(near, params.boundary)
-    shared = mask_groups(masked)
-    nodes = masked.where("in_sample = 1").select("mask", "cdr3", "residue").join(shared, "mask").withColumn("bit", scalars.residue_bit("residue"))
+    # one exchange of the masks, sorted by a hash first; a mask's rows are few, as they differ in one residue and the ends
+    w = Window.partitionBy("_h", "mask")
+    masked = masks(near, params.boundary).withColumn("_h", F.xxhash64("mask"))
+    counts = [x.over(w).alias(name) for name, x in mask_counts().items()]
+    nodes = masked.select("mask", "cdr3", "residue", "in_sample", *counts).where("in_sample = 1 and n_s >= 2").drop("in_sample").withColumn("bit", scalars.residue_bit("residue"))
     if params.all_aa_interchangeable:
         nodes = nodes.withColumn("part", F.lit(0))
     else:
@@ -136,11 +143,11 @@ def global_groups(sequences: DataFrame, params: GroupParams, v_genes: DataFrame
         nodes = nodes.join(v_genes.select("cdr3", F.coalesce("v_gene", F.lit("NA")).alias("v")).distinct(), "cdr3")
     else:
         nodes = nodes.withColumn("v", F.lit(""))
-    nodes = kept(nodes)
-    groups = nodes.groupBy("mask", "v", "part").agg(F.count("*").alias("cluster_size"), F.countDistinct("cdr3").alias("unique_cdr3_sample"), F.max("n_r").alias("unique_cdr3_ref"), F.expr("bit_or(bit)").alias("found")).where("cluster_size >= 2")
+    nodes = kept(nodes)  # a sequence is once in a mask and V gene
+    groups = nodes.groupBy("mask", "v", "part").agg(F.count("*").alias("cluster_size"), F.max("n_r").alias("unique_cdr3_ref"), F.expr("bit_or(bit)").alias("found")).where("cluster_size >= 2").withColumn("unique_cdr3_sample", F.col("cluster_size"))
     tag = F.concat_ws("_", "mask", F.when(F.col("v") != "", F.col("v")), scalars.residues_of("found"))
     groups = groups.withColumn("tag", tag)
-    members = nodes.join(groups.select("mask", "v", "part", "tag"), ["mask", "v", "part"]).select(F.lit("global").alias("type"), "tag", "cdr3").distinct()
+    members = nodes.join(groups.select("mask", "v", "part", "tag"), ["mask", "v", "part"]).select(F.lit("global").alias("type"), "tag", "cdr3")
     groups = groups.join(F.broadcast(totals(sequences).select("n_sample", "n_reference", F.lit(1).alias("_j"))), F.lit(1) == F.col("_j"))
     groups = stats.with_upper_tail(groups, "fisher_score", "unique_cdr3_sample", "unique_cdr3_ref + unique_cdr3_sample", "n_reference + n_sample - unique_cdr3_ref - unique_cdr3_sample", "n_sample")
     return groups.select(F.lit("global").alias("type"), "tag", "cluster_size", "unique_cdr3_sample", "unique_cdr3_ref", F.lit(0.0).alias("ove"), "fisher_score"), members

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +17,38 @@ from receptory.plans.params import ClusterParams, GroupParams
 
 @dataclass
 class Convergence:
-    """groups: one row a group; members: (type, tag, cdr3); motifs: the selected ones; sequences: those that were used; tested: the groups before the final filters; rows: the input."""
+    """groups: one row a group; members: (type, tag, cdr3); motifs: the selected ones; sequences: those that were used; tested: the groups before the final filters; rows: the input. Donors, tests and q-values are worked out by finish when a table that shows them is first asked for."""
 
-    groups: DataFrame
-    members: DataFrame
+    all_members: DataFrame
     motifs: DataFrame | None
     sequences: DataFrame
-    tested: DataFrame
     rows: DataFrame
+    finish: Callable[[], tuple[DataFrame, DataFrame, DataFrame | None]]
+    filters: bool = False
     classes: DataFrame | None = None
-    hla_tests: DataFrame | None = None
     _summary: dict = field(default_factory=dict)
 
+    @cached_property
+    def _finished(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        return self.finish()
+
+    @property
+    def groups(self) -> DataFrame:
+        return self._finished[0]
+
+    @property
+    def tested(self) -> DataFrame:
+        return self._finished[1]
+
+    @property
+    def hla_tests(self) -> DataFrame | None:
+        return self._finished[2]
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Where no filter leaves groups out, donors and tests are not worked out for their members."""
+        return self.all_members.join(self.groups.select("type", "tag"), ["type", "tag"], "left_semi") if self.filters else self.all_members
+
     def with_members(self) -> DataFrame:
         """groups with their members as a sorted array."""
         arrays = self.members.groupBy("type", "tag").agg(F.array_sort(F.collect_list("cdr3")).alias("members"))
@@ -82,20 +104,25 @@ def convergence_groups(rows: DataFrame, reference: DataFrame, params: GroupParam
     found = found.where(F.col("cluster_size") >= params.cluster_min_size)
     found = kept(found)
     members = kept(members.join(found.select("type", "tag"), ["type", "tag"], "left_semi"))
-    found = found.withColumn("_p", F.when(F.isnan("fisher_score"), 1.0).otherwise(F.col("fisher_score")))
-    found = stats.benjamini_hochberg(found, "_p", "fdr_q", ["type"]).drop("_p")
-    donors = kept(annotate.group_donors(members, rows))
-    found = annotate.donor_counts(found, donors)
     a = params.association
+    classes = None
     if a:
         classes = annotate.subject_classes(rows, a.case, a.control) if a.permute_seed is None else annotate.permuted_classes(rows, a.case, a.control, a.permute_seed)
-        found = annotate.associate(found, donors, classes, a.min_donors)
-    tests = kept(annotate.hla_tests(donors, hla, rows)) if hla is not None else None
-    if tests is not None:
-        found = annotate.score_hla(found, tests)
-    tested = kept(found)  # the result's tables and totals all read it
-    found = annotate.filtered(tested, params, a)
-    return Convergence(found, members.join(found.select("type", "tag"), ["type", "tag"], "left_semi"), motifs, sequences, tested, rows, classes if a else None, tests)
+
+    def finish() -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        out = found.withColumn("_p", F.when(F.isnan("fisher_score"), 1.0).otherwise(F.col("fisher_score")))
+        out = stats.benjamini_hochberg(out, "_p", "fdr_q", ["type"]).drop("_p")
+        donors = kept(annotate.group_donors(members, rows))
+        out = annotate.donor_counts(out, donors)
+        if a:
+            out = annotate.associate(out, donors, classes, a.min_donors)
+        tests = kept(annotate.hla_tests(donors, hla, rows)) if hla is not None else None
+        if tests is not None:
+            out = annotate.score_hla(out, tests)
+        tested = kept(out)  # the result's tables and totals all read it
+        return annotate.filtered(tested, params, a), tested, tests
+
+    return Convergence(members, motifs, sequences, rows, finish, annotate.has_filters(params, a), classes)
 
 
 @dataclass

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from receptory.functions import scalars, stats
-from receptory.operators import annotate, groups, merged
+from receptory.operators import annotate, downstream, groups, merged
 from receptory.plans.params import Association, ClusterParams, GroupParams
 from receptory.plans.pipelines import convergence_groups, merged_clusters
 from receptory.sources import synth, tables
@@ -122,6 +122,20 @@ def test_masks_and_motifs_without_needless_exchanges(spark, monkeypatch):
     assert ["seq_id", "b", "n"] in calls and [(x.root, x.size, x.n_local_edges) for x in out] == [(0, 8, 4 + 2 * 6)]
 
 
+def test_members_are_had_without_donors_and_compared_in_one_pass(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(annotate, "group_donors", lambda *x, own=annotate.group_donors: calls.append(1) or own(*x))
+    rows = spark.createDataFrame([(f"CASS{a}GQETQYF", "V1", f"P{i}:A", i) for i, a in enumerate("LPR")], "cdr3 string, v_gene string, subject string, row_idx long")
+    found = convergence_groups(rows, rows.select("cdr3"), GroupParams(all_aa_interchangeable=True, local=False))
+    assert found.members.count() == 3 and not calls
+    assert [x.n_subjects for x in found.groups.collect()] == [3] and calls == [1]
+    few = convergence_groups(rows, rows.select("cdr3"), GroupParams(all_aa_interchangeable=True, local=False, min_subjects=4))
+    assert few.members.count() == 0 and few.all_members.count() == 3
+    sides = [spark.createDataFrame(x, "type string, tag string, cdr3 string") for x in ([("g", "A", "C1"), ("g", "A", "C2"), ("g", "B", "C1"), ("g", "D", "C4")], [("g", "A", "C2"), ("g", "A", "C1"), ("g", "B", "C3"), ("g", "E", "C5")])]
+    got = {(x.tag, x.members, x.side) for x in downstream.agreement(*sides).collect()}
+    assert got == {("B", "C1", "left"), ("B", "C3", "right"), ("D", "C4", "left"), ("E", "C5", "right")}
+
+
 def test_global_groups(spark):
     found = convergence_groups(rows(spark, [("CASG%sETQYQF" % x,) for x in "IVW"]), plain(spark, ["CASSLGQETQYF"]), GroupParams(local=False))
     assert [x.tag for x in found.groups.collect()] == ["G%ETQ_IV"]
